@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import simhash, token_table
+from veilgraph.llm import simhash, token_table, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,11 @@ def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {}
