@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import simhash, token_table, toxicity
+from veilgraph.llm import decontaminate, simhash, token_table, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {}
