@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import decontaminate, simhash, token_table, toxicity
+from veilgraph.llm import decontaminate, simhash, token_table, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +32,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {"op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {}
