@@ -29,7 +29,9 @@ MAGIC = b"VGSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, index bytes, filter at, filter bytes, entries, ids, magic
 BLOCK_BYTES = 1 << 16
 BITS_A_KEY, PROBES = 10, 7
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 600_000
+#: Marks that the pre-tokenizer always parts from letters before them.
+MARKS = ".,;:!?"
 _SIGN = 1 << 63
 _state: dict = {}
 
@@ -169,27 +171,54 @@ def _open(path: str):
     return store.open_input_file(at)
 
 
+def _words(tokenizer, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters alone, all in one call: a word ends where a token that ends words stands."""
+    ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+    stops = np.flatnonzero(ends[ids]) + 1
+    if len(stops) != len(words):  # a letter became more than letters, or the model marks no ends
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+    return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
 def encoder(path: str):
-    """text -> ids as little-endian unsigned 16- or 32-bit bytes, by the tokenizer file at `path`.
+    """texts -> ids of each by the tokenizer file at `path`.
 
-    Its pre-tokenizer never joins text over white space and its normaliser looks at no neighbours there, so the
-    ids of a text are those of its white-space chunks in order; the worker keeps the ids of chunks that recur.
+    Its pre-tokenizer never joins text over white space or letters with marks, and its normaliser looks at no
+    neighbours there, so the ids of a text are those of its white-space chunks in order, and those of a word with
+    marks after it are the word's and the marks'. A worker keeps the ids of the first CACHED_CHUNKS chunks.
     """
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), chunks={})
-    tokenizer, chunks = _state["tokenizer"], _state["chunks"]
-    if len(chunks) > CACHED_CHUNKS:
-        chunks.clear()
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _state.update(path=path, tokenizer=tokenizer, ends=ends, chunks={})
+    tokenizer, ends, chunks = _state["tokenizer"], _state["ends"], _state["chunks"]
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in chunks})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            chunks[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = chunks.__getitem__
+        new = {w for words in split for w in words if w not in chunks}
+        parts, plain, odd = {}, set(), set()
+        for w in new:
+            base = w.rstrip(MARKS)
+            if base.isalpha():
+                parts[w] = (base, w[len(base) :])
+                plain.add(base)
+                odd.add(w[len(base) :])
+            else:
+                odd.add(w)
+        known = {"": b""} | {w: chunks[w] for w in plain | odd if w in chunks}
+        for todo, call in ((sorted(plain - known.keys()), lambda x: _words(tokenizer, ends, x)), (sorted(odd - known.keys()), lambda x: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])):
+            known.update(zip(todo, call(todo) if todo else [], strict=True))
+        found = {w: known[parts[w][0]] + known[parts[w][1]] if w in parts else known[w] for w in new}
+        if len(chunks) < CACHED_CHUNKS:
+            chunks.update(found)
+            get = chunks.__getitem__
+        else:
+            get = lambda w: chunks[w] if w in chunks else found[w]
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
     return encode
