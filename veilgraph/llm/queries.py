@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import decontaminate, licences, mixing, simhash, token_table, topk, toxicity
+from veilgraph.llm import decontaminate, licences, mixing, pages, simhash, token_table, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", F.col("_epoch").cast("long").alias("epoch"))
 
 
-QUERIES = {"op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op7_pages": op7_pages, "op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {"op5_licences": licences.sql(), "op10_mixing": mixing.sql()}
