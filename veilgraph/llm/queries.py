@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import decontaminate, licences, mixing, pages, pii, simhash, token_table, topk, toxicity
+from veilgraph.llm import decontaminate, licences, mixing, pages, pii, simhash, suffixes, token_table, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_pii": op6_pii, "op7_pages": op7_pages, "op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_suffixes": op2_suffixes, "op6_pii": op6_pii, "op7_pages": op7_pages, "op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {"op5_licences": licences.sql(), "op10_mixing": mixing.sql()}
