@@ -39,16 +39,17 @@ def test_scan(spark):
     assert licences.scan(docs, licences.templates(spark).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("entropy", "repeats"), [(0.95, 4.0), (1.0, 2.0), (0.2, 4.0), (0.99, 1000.0)])
-def test_mix(spark, entropy, repeats):
+@pytest.mark.parametrize(("entropy", "repeats", "whole"), [(0.95, 4.0, False), (1.0, 2.0, False), (0.2, 4.0, True), (0.99, 1000.0, True)])
+def test_mix(spark, entropy, repeats, whole):
     many = DOCS + [(100 + i, "t " * (1 + i % 13), "big") for i in range(900)] + [(2000 + i, "t t t", f"s{i % 3}") for i in range(60)]
     pdf = pd.DataFrame(many, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     docs = spark.createDataFrame([(*d, "x") for d in many], "doc_id long, text string, source string, s string")
-    out = mixing.mix(docs, entropy, repeats)
+    out = mixing.mix(docs, entropy, repeats, whole=whole)
     assert out.columns == [*docs.columns, "_epoch"]
     got = out.select("doc_id", "source", "_epoch").toPandas()
-    assert rows(got) == rows(duck(mixing.sql(entropy=entropy, repeats=repeats), pdf))
-    assert set(got["_epoch"]) and got["_epoch"].max() <= repeats + 1
+    assert rows(got) == rows(duck(mixing.sql(entropy=entropy, repeats=repeats, whole=whole), pdf))
+    assert set(got["_epoch"]) and (whole or got["_epoch"].max() <= repeats + 1)
+    assert not whole or set(got["doc_id"].dropna()) == set(pdf["doc_id"].dropna())
 
 
 def test_mix_nothing(spark):

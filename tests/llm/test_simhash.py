@@ -72,9 +72,40 @@ def test_matches_spark_hash(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_groups(df).collect() == []
-    assert simhash.keep_one(df).columns == df.columns
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df).collect() == []
 
 
 def test_forest_joins_chains():
     node, root = simhash._forest(np.array([1, 2, 3, 9]), np.array([2, 3, 4, 8]))
     assert pd.Series(root, node).to_dict() == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
+def jaccard(a, b, words=5):
+    a, b = (set(zip(*(w[i:] for i in range(words)), strict=False)) for w in (a.split(), b.split()))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_keeps_one_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    shared = " ".join(rng.choice(vocab, 70))
+    rows, clean, k = [], set(), 0
+    for b in range(40):
+        w = list(rng.choice(vocab, int(rng.integers(60, 900))))
+        rows.append((k := k + 1, " ".join(w)))
+        clean.add(k)
+        for _ in range(4):
+            v = list(w)
+            for _ in range(len(w) // 60):
+                v[rng.integers(len(v))] = "edit"
+            if jaccard(" ".join(v), " ".join(w)) >= 0.8:
+                rows.append((k := k + 1, " ".join(v)))
+        rows.append((k := k + 1, shared + " " + " ".join(rng.choice(vocab, 200)) + " " + shared[:200]))
+        clean.add(k)
+    rows += [(5000, ""), (5001, None), (5002, "lone word"), (None, "no id at all but some words here"), (5003, "no id at all but some words here"), (5004, "twice"), (5004, "twice")]
+    df = spark.createDataFrame([(i, t, "x", "x") for i, t in rows], SCHEMA)
+    out = simhash.keep_one(df)
+    got = sorted(r["doc_id"] for r in out.collect())
+    assert out.columns == df.columns and len(got) == len(set(got))
+    assert clean <= set(got) and {5000, 5002, 5003, 5004} <= set(got) and 5001 not in got
+    assert len(got) <= len(clean) + 4 + 0.03 * len(rows)

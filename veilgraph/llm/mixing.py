@@ -57,10 +57,11 @@ def _key(epoch: Column, id_col: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED).cast("string"), epoch.cast("string"), id_col.cast("string")))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", whole: bool = False) -> DataFrame:
     """docs with a row for each epoch that a document is in, and its number `_epoch` from 0.
 
-    The token budget is the corpus's own size; a source's is its weight, rounded to 9 decimals, of that. Whole
+    The token budget is the corpus's own size or, if `whole`, the least that has every document in one epoch at
+    least; a source's is its weight, rounded to 9 decimals, of that. Whole
     epochs hold every document of a source; of the epoch after them, the documents whose running sum of tokens
     in md5 order stays in what is left, equal keys together. A null source is a source of its own; sources
     without tokens are kept once. Repeated rows and null texts count as they are. An empty table gives none.
@@ -74,7 +75,10 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_
     a = exponent(shares, entropy, repeats)
     z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
     weight = F.round(F.pow("p", F.lit(a)) / F.lit(z or 1.0), 9)
-    budget = shares.select("s", "t", F.floor(weight * F.lit(float(total)) + 0.5).cast("long").alias("b"))
+    if whole:
+        total = shares.agg(F.max(F.col("t") / weight)).first()[0] or 0
+    amount = F.floor(weight * F.lit(float(total)) + 0.5).cast("long")
+    budget = shares.select("s", "t", (F.greatest("t", amount) if whole else amount).alias("b"))
     plan = budget.select("s", F.floor(F.col("b") / F.col("t")).cast("long").alias("f"), F.pmod("b", "t").alias("left"))
     keyed = slim.join(plan, slim["s"].eqNullSafe(plan["s"])).where("left > 0").select(plan["s"], "left", "n", _key(F.col("f"), F.col("i")).alias("k")).withColumn("block", F.substring("k", 1, DIGITS))
     sums = keyed.groupBy("s", "block").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("block")) - F.col("n"))
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_
     return out.where(F.col("_epoch") < copies).select(*[docs[c] for c in docs.columns], "_epoch")
 
 
-def sql(source: str = "documents", columns: str = "doc_id, source, epoch", entropy: float = ENTROPY, repeats: float = REPEATS) -> str:
+def sql(source: str = "documents", columns: str = "doc_id, source, epoch", entropy: float = ENTROPY, repeats: float = REPEATS, whole: bool = False) -> str:
     """DuckDB's SQL for mix() of a table or view."""
     h = "ln(list_sum([pow(p, m) for p in ps])) - m * list_sum([pow(p, m) * ln(p) for p in ps]) / list_sum([pow(p, m) for p in ps])"
     r = "list_max([pow(p, m - 1) for p in ps]) / list_sum([pow(p, m) for p in ps])"
@@ -105,8 +109,8 @@ def sql(source: str = "documents", columns: str = "doc_id, source, epoch", entro
     {search("q", f"{r} > {repeats!r}")},
     a1 AS (SELECT ps, CASE WHEN (SELECT {h} FROM (SELECT 1.0::DOUBLE AS m, ps FROM g)) >= lim THEN 1.0 ELSE low END AS m FROM e WHERE i = {STEPS}),
     a AS (SELECT CASE WHEN {r} > {repeats!r} THEN (SELECT high FROM q WHERE i = {STEPS}) ELSE m END AS a FROM a1),
-    w AS (SELECT s, t, floor(round(pow(t::DOUBLE / total, a) / z, 9) * total + 0.5)::BIGINT AS b
-          FROM t, a, (SELECT sum(t)::DOUBLE AS total FROM t), (SELECT sum(pow(p, a)) AS z FROM (SELECT unnest(ps) AS p FROM g), a) WHERE t > 0),
+    w AS (SELECT s, t, {"greatest(t, " if whole else "("}floor(w * {"max(t / w) OVER ()" if whole else "total"} + 0.5)::BIGINT) AS b FROM (SELECT s, t, total, round(pow(t::DOUBLE / total, a) / z, 9) AS w
+          FROM t, a, (SELECT sum(t)::DOUBLE AS total FROM t), (SELECT sum(pow(p, a)) AS z FROM (SELECT unnest(ps) AS p FROM g), a) WHERE t > 0)),
     p AS (SELECT s, b // t AS f, b % t AS left_over FROM w),
     k AS (SELECT d.*, f, left_over, md5(concat_ws('|', '{SEED}', f::VARCHAR, doc_id::VARCHAR)) AS k FROM d LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.s),
     c AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY k RANGE UNBOUNDED PRECEDING) AS run FROM k),

@@ -170,6 +170,15 @@ def _compare(bits: int):
     return run
 
 
+def _links(prints: DataFrame, bits: int) -> DataFrame:
+    """(u, v): links that join the distinct fingerprints (fp) at most `bits` apart into their groups."""
+    spark = prints.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    copies = prints.mapInPandas(_replicas(bits), "anchor long, fp long, away boolean")
+    return copies.repartition(n, "anchor").sortWithinPartitions("anchor", "away").mapInPandas(_compare(bits), "u long, v long")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
     """One row a document: id, fp (long) and component, the smallest id reachable over links of `bits` or fewer.
 
@@ -183,11 +192,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     prints = staged(fingerprints(docs, id_col, text_col, words), "prints")
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    copies = classes.select("fp").mapInPandas(_replicas(bits), "anchor long, fp long, away boolean")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    links = copies.repartition(n, "anchor").sortWithinPartitions("anchor", "away").mapInPandas(_compare(bits), "u long, v long")
-    comp = connected_components(links)
+    comp = connected_components(_links(classes.select("fp"), bits))
     named = staged(
         comp.join(classes, comp["node"] == classes["fp"]).groupBy("component").agg(F.min("rep").alias("group")).join(comp, "component").select(F.col("node").alias("fp"), "group"),
         "named",
@@ -196,11 +201,94 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(by_fp, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
-    """The rows of docs whose id names their group; of repeated ids, all rows that carry it."""
-    groups = simhash_groups(docs, id_col, text_col, words, bits)
-    kept = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+SEGMENT_REACH, WIDE = 8, 8
+_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9], dtype=np.uint64)
+
+
+def _bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes from starts on."""
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    out = np.zeros(len(starts), np.uint64)
+    for b in range(64):
+        ones = np.add.reduceat((hashes >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
+        out |= (2 * ones > sizes).astype(np.uint64) << np.uint64(b)
+    return out
+
+
+def sketch(text: str | None, words: int) -> tuple[int, bytes, list[int]]:
+    """The fingerprint, WIDE of them by other hashes, and the SimHash of each segment.
+
+    Segments end where a shingle's hash is the least of those up to SEGMENT_REACH to either side, so an edit
+    changes those near it and no other. A text without words has one segment, zero.
+    """
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0, bytes(8 * WIDE), [0]
+    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
+    wide = []
+    for m in _MIX:
+        x = h * m
+        x ^= x >> np.uint64(32)
+        table = (h if m == 1 else x * np.uint64(0x94D049BB133111EB)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        wide.append(np.packbits(2 * np.concatenate([np.bincount(table[:, i], minlength=256) @ _BIT_OF_BYTE for i in range(8)]) > len(h)).tobytes())
+    padded = np.pad(h, SEGMENT_REACH, constant_values=np.uint64(2**64 - 1))
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * SEGMENT_REACH + 1).min(axis=1)
+    starts = np.union1d([0], np.flatnonzero(h == least))
+    return int.from_bytes(wide[0], "big"), b"".join(wide), _bits(h, starts).view(np.int64).tolist()
+
+
+def _similar(a, b, similarity: float):
+    """Whether the share of equal bits of two wide fingerprints tells of at least that Jaccard similarity."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    cosine = 2 * similarity / (1 + similarity)
+    return differ <= float(np.floor(64 * WIDE * np.arccos(cosine) / np.pi))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row_key, id, group): rows known by a hash of id and text, and the group that each is in.
+
+    A pair is linked if its fingerprints are at most MOST_BITS apart (anchor points), or if the two share a
+    segment's SimHash and the WIDE fingerprints, 512 bits, tell of the similarity or more. Of the texts with a
+    segment each is compared with the first and the last, so a segment that many share costs two pairs a text.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    kinds = "fp long, wide array<long>, segments array<long>"
+
+    @F.pandas_udf(kinds)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = [sketch(t, words) for t in texts]
+        return pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64), "wide": [np.frombuffer(r[1], ">i8").astype(np.int64) for r in rows], "segments": [r[2] for r in rows]})
+
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    seen = staged(docs.select(key.alias("row_key"), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row_key", "id", "x.*"), "sketches")
+    classes = staged(seen.groupBy("wide").agg(F.min("row_key").alias("rep"), F.min("fp").alias("fp")), "classes")
+    heads = seen.join(classes.select(F.col("rep").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    spots = heads.select("row_key", F.explode(F.array_distinct("segments")).alias("segment"))
+    ends = spots.groupBy("segment").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high")
+    pairs = spots.join(ends, "segment").select("row_key", F.explode(F.array("low", "high")).alias("other")).where("row_key <> other").select(F.least("row_key", "other").alias("u"), F.greatest("row_key", "other").alias("v")).distinct()
+    wides = classes.select("rep", "wide")
+    both = pairs.join(wides.select(F.col("rep").alias("u"), F.col("wide").alias("a")), "u").join(wides.select(F.col("rep").alias("v"), F.col("wide").alias("b")), "v")
+    by_segment = both.where(_similar(F.col("a"), F.col("b"), similarity)).select("u", "v")
+    prints = classes.groupBy("fp").agg(F.min("rep").alias("first"))
+    same = classes.join(prints, "fp").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    near = _links(prints.select("fp"), MOST_BITS).join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = connected_components(by_segment.unionByName(same).unionByName(near))
+    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("wide", F.coalesce("component", "rep").alias("group"))
+    return seen.join(named, "wide").select("row_key", "id", "group")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest identifier, null last, is kept.
+
+    Of rows equal in identifier and text one is kept. Texts without words are copies of each other.
+    """
+    groups = staged(near_groups(docs, id_col, text_col, words, similarity), "groups")
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("best")).select(F.col("best.row_key").alias("_kept"))
+    kept = docs.join(best, F.xxhash64(docs[id_col], docs[text_col]) == best["_kept"], "left_semi")
+    again = groups.join(best, groups["row_key"] == best["_kept"], "left_semi").groupBy("row_key").count().where("count > 1")
+    return kept.dropDuplicates([id_col, text_col]) if again.limit(1).count() else kept
 
 
-__all__ = ["anchors", "fingerprint", "fingerprints", "keep_one", "simhash_groups"]
+__all__ = ["anchors", "fingerprint", "fingerprints", "keep_one", "near_groups", "simhash_groups", "sketch"]
