@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Templates go to every task up to so many bigrams in all, over the sizes of lines that they meet; more are shuffled.
+BROADCAST_BIGRAMS = 200_000
 
 #: Licence statements as they are commonly worded.
 TEMPLATES = (
@@ -55,10 +57,11 @@ def scan(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD, id_col
     t = known.where(F.col("template").isNotNull()).select("licence", _bigrams(_words(F.col("template"))).alias("_b")).where(F.size("_b") > 0).distinct().withColumn("_n", F.size("_b"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sized = t.withColumn("_a", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("_n") * low - 1e-9).cast("int")), F.floor(F.col("_n") * high + 1e-9).cast("int"))))
+    few = sized.agg(F.coalesce(F.sum(F.col("_n") + 1), F.lit(0))).first()[0] <= BROADCAST_BIGRAMS
     lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
     words = lines.select("id", _words(F.col("line")).alias("w")).where((F.size("w") > 1) & (F.col("w")[0] != ""))
     grams = words.select("id", _bigrams(F.col("w")).alias("g")).withColumn("_size", F.size("g")).select("id", "g", "_size", F.monotonically_increasing_id().alias("_line"))
-    both = grams.join(sized, F.col("_size") == F.col("_a"))
+    both = grams.join(F.broadcast(sized) if few else sized, F.col("_size") == F.col("_a"))
     scored = both.select("id", "licence", "_line", (2.0 * F.size(F.array_intersect("g", "_b")) / (F.col("_size") + F.col("_n"))).alias("dice")).where(F.col("dice") >= threshold)
     return scored.groupBy("id", "licence").agg(F.countDistinct("_line").alias("n_lines"), F.max("dice").alias("dice"))
 
