@@ -3,8 +3,9 @@
 Texts are normalised to lower-case letters and digits with single blanks. A stretch of STRETCH item characters
 that a document repeats with at most EDITS edits shares at least STRETCH + 1 - Q * (EDITS + 1) q-grams with it,
 all on diagonals at most EDITS apart. So shared q-grams are counted in bands of diagonals that overlap by
-EDITS; where a band holds that many within one stretch, the item is aligned there inside the band, and it leaks
-if some stretch of the alignment keeps to the edit budget. Items shorter than a stretch must leak whole.
+EDITS; where a band holds that many within one stretch, each of its runs of q-grams is extended either way by a
+banded alignment of up to EDITS edits, and the item leaks if a run and its extensions make a stretch within the
+budget. A stretch in budget holds a whole run, so none is missed. Items shorter than a stretch must leak whole.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ class Index:
     """The q-grams of a block of items, sorted, with the item and place of each."""
 
     ids: list
-    items: list[np.ndarray]
+    items: list[str]
+    stretch: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
@@ -88,65 +90,45 @@ def build(rows: list[tuple]) -> Index:
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[h >> np.uint64(64 - _FILTER_BITS)] = True
-    return Index(ids, items, h[order], owner[order], place[order], seen)
+    strings = [x.astype("<u4").tobytes().decode("utf-32-le") for x in items]
+    stretch = np.minimum(STRETCH, np.array([len(x) for x in items], dtype=np.int64))
+    return Index(ids, strings, stretch, h[order], owner[order], place[order], seen)
 
 
-def _stretch(item: np.ndarray) -> tuple[int, int]:
-    """Characters and edits of the least region that leaks this item."""
-    n = min(STRETCH, len(item))
-    return n, EDITS * n // STRETCH
+def reach(a: str, b: str, budget: int) -> list[tuple[int, int]]:
+    """For 0, 1, .. budget edits, how far (characters of a, of b) an alignment of their beginnings gets.
 
+    The furthest place on each diagonal of the band, edit by edit; equal characters are always taken.
+    """
 
-def align(x: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) in x of a stretch of the item in budget, aligned on diagonals low..high, or None.
+    def slide(i: int, j: int) -> int:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        return i
+
+    front = {0: slide(0, 0)}
+    out = [(front[0], front[0])]
+    for e in range(1, budget + 1):
+        new = {}
+        for k in range(-e, e + 1):
+            i = max(front.get(k, -2) + 1, front.get(k + 1, -2) + 1, front.get(k - 1, -2))
+            i = min(i, len(a), len(b) - k)
+            if i >= 0 and i + k >= 0:
+                new[k] = slide(i, i + k)
+        front = new
+        out.append(max(((i, i + k) for k, i in front.items()), default=out[-1]))
+    return out
 
-    Ends in x are free. Cell (i, d) aligns item[:i] with x up to i + d; the cheapest path is traced back and its
-    edits are counted over each window of item characters.
-    """
-    n, budget = _stretch(item)
-    m, width = len(item), high - low + 1
-    j = np.arange(width) + low
-    infinite = np.int32(1 << 20)
-    cost = np.where((j >= 0) & (j <= len(x)), 0, infinite).astype(np.int32)
-    ramp = np.arange(width, dtype=np.int32)
-    back = np.zeros((m, width), np.int8)
-    padded = np.full(m + width + 2, 0, dtype=np.uint64)
-    lo, hi = max(0, low), min(len(x), low + m + width)
-    if hi <= lo:
-        return None
-    padded[lo - low : hi - low] = x[lo:hi]
-    real = np.zeros(len(padded), bool)
-    real[lo - low : hi - low] = True
-    for i in range(m):
-        ok = real[i : i + width]
-        step = cost + (padded[i : i + width] != item[i])
-        step[~ok] = infinite
-        drop = np.append(cost[1:], infinite) + 1  # an item character that x lacks
-        best = np.minimum(step, drop)
-        slide = np.minimum.accumulate(best - ramp) + ramp  # characters that only x has
-        ends = i + 1 + j
-        slide[(ends < 0) | (ends > len(x))] = infinite
-        back[i] = np.where(slide < best, 2, np.where(step <= drop, 0, 1))
-        cost = np.minimum(slide, infinite)
-    d = int(cost.argmin())
-    edits, at, i = np.zeros(m, np.int64), np.zeros(m, np.int64), m - 1
-    while i >= 0:
-        at[i] = i + low + d
-        if back[i, d] == 2:
-            edits[i] += 1
-            d -= 1
-        elif back[i, d] == 1:
-            edits[i] += 1
-            d += 1
-            i -= 1
-        else:
-            at[i] = i + low + d
-            edits[i] += not (0 <= at[i] < len(x) and x[at[i]] == item[i])
-            i -= 1
-    total = np.r_[0, np.cumsum(edits)]
-    windows = total[n:] - total[:-n]
-    s = int(windows.argmin())
-    return (max(0, int(at[s])), min(len(x), int(at[s + n - 1]) + 1), int(windows[s])) if windows[s] <= budget else None
+
+def verify(x: str, item: str, p: int, o: int, length: int, n: int, budget: int) -> tuple[int, int, int] | None:
+    """(start, end, edits) in x if a stretch of n item characters in budget holds item[o : o + length] at p."""
+    left = reach(item[max(0, o - n) : o][::-1], x[max(0, p - n - budget) : p][::-1], budget)
+    right = reach(item[o + length : o + length + n], x[p + length : p + length + n + budget], budget)
+    for edits in range(budget + 1):
+        for e in range(edits + 1):
+            if left[e][0] + length + right[edits - e][0] >= n:
+                return p - left[e][1], p + length + right[edits - e][1], edits
+    return None
 
 
 def leaks(text: str | None, index: Index) -> list[tuple]:
@@ -169,23 +151,34 @@ def leaks(text: str | None, index: Index) -> list[tuple]:
     band = diagonal // wide
     second = diagonal - band * wide < EDITS  # also the top of the band below, which reaches EDITS up
     owner, p, band = np.r_[owner, owner[second]], np.r_[p, p[second]], np.r_[band, band[second] - 1]
+    place = np.r_[place, place[second]]
     order = np.lexsort((p, band, owner))
-    owner, p, band = owner[order], p[order], band[order]
-    sizes = np.array([len(i) for i in index.items])
-    stretch = np.minimum(STRETCH, sizes)[owner]
+    owner, p, band, place = owner[order], p[order], band[order], place[order]
+    stretch = index.stretch[owner]
     bound = np.maximum(1, stretch + 1 - Q * (EDITS * stretch // STRETCH + 1))
     last = np.arange(len(p)) + bound - 1
     inside = last < len(p)
     last = np.minimum(last, len(p) - 1)
     good = inside & (owner[last] == owner) & (band[last] == band) & (p[last] - p <= stretch + EDITS - Q)
-    found, done = [], set()
+    if not good.any():
+        return []
+    found, done, points = [], set(), None
     for o, d in dict.fromkeys(zip(owner[good].tolist(), band[good].tolist(), strict=True)):
         if o in done:
             continue
-        hit = align(x, index.items[o], d * wide - EDITS, (d + 1) * wide + 2 * EDITS)
-        if hit:
-            done.add(o)
-            found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
+        points = points or x.astype("<u4").tobytes().decode("utf-32-le", "replace")
+        s, e = np.searchsorted(owner, [o, o + 1])
+        here = s + np.flatnonzero(band[s:e] == d)
+        here = here[np.lexsort((p[here], p[here] - place[here]))]
+        q, r = p[here], place[here]
+        first = np.flatnonzero(np.r_[True, (np.diff(q) != 1) | (np.diff(r) != 1)])
+        n = int(index.stretch[o])
+        for a, b in zip(first, np.r_[first[1:], len(q)], strict=True):  # runs of q-grams on a diagonal
+            hit = verify(points, index.items[o], int(q[a]), int(r[a]), int(q[b - 1] - q[a]) + Q, n, EDITS * n // STRETCH)
+            if hit:
+                done.add(o)
+                found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
+                break
     return found
 
 
