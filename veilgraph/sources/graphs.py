@@ -42,7 +42,7 @@ def read_labels(spark: SparkSession, path: str, nodes: DataFrame, default: str =
 
 def read_gml_edges(spark: SparkSession, path: str) -> DataFrame:
     """(u, v) of the edge blocks of GML files."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)edge\s*\[([^\]]*)\]"), 1)).alias("b"))
     return normalised(blocks.select(F.regexp_extract("b", r"source\s+(\d+)", 1).cast("long").alias("u"), F.regexp_extract("b", r"target\s+(\d+)", 1).cast("long").alias("v")))
 
