@@ -6,7 +6,8 @@ equal windows have equal anchors at equal offsets, so only windows whose anchor
 windows with one anchor whose bytes are equal throughout repeat as a whole. The suffixes of the other runs are
 sorted, cut at WIDTH bytes, bucket by bucket: by multikey quicksort on words to a shallow depth, then what is
 still equal by blind tries, which look only at the words where strings part. Suffixes that stay together to the
-end repeat. Suffixes of buckets too large for a task are counted by a digest of their bytes instead.
+end repeat. Runs of buckets too large for a task are cut into pieces of a few windows; equal pieces repeat, and the
+windows of pieces that only share their core are counted by a digest of their bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PLACES = WIDTH - GRAM + 1
 SHALLOW = 4
 #: Distinct runs of a bucket that one task sorts, and suffixes that it sorts at a time.
 BUCKET_RUNS, BATCH = 512, 100_000
+#: Windows of a piece of a run in a bucket too large for that.
+PIECE = 8
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -110,20 +113,37 @@ def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["hash", "id", "n_bytes", "packed", "whole", "data"])
 
 
-def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A digest of each window of runs of oversized buckets."""
+def _pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of oversized buckets cut into PIECE windows by the anchor's offset, with digests of each piece's bytes
+    and of its core, the bytes that any window of such a piece holds."""
 
     def one(r) -> tuple:
-        d, p, a = [], [], []
+        d, c, p, q, w = [], [], [], [], []
         for x in r.runs:
             place, first, last = map(int, _unpack(np.int64(x["packed"])))
-            d += [xxhash.xxh3_128_digest(r.data[i : i + WIDTH]) for i in range(first, last + 1)]
-            p += range(first, last + 1)
-            a += [x["whole"]] * (last + 1 - first)
-        v = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
-        return v[:, 0], v[:, 1], *_key(r, len(v)), np.array(p, np.int64), np.array(a, bool)
+            for cell in range((place - last) // PIECE, (place - first) // PIECE + 1):
+                low, high = max(first, place - cell * PIECE - PIECE + 1), min(last, place - cell * PIECE)
+                core = place - cell * PIECE
+                d.append(xxhash.xxh3_128_digest(r.data[low : high + WIDTH] + b"%d" % (place - low)))
+                c.append(xxhash.xxh3_128_digest(r.data[core : core + WIDTH - PIECE + 1] + b"%d" % cell))
+                p.append(low)
+                q.append(high)
+                w.append(x["whole"])
+        v, u = (np.frombuffer(b"".join(y), "<i8").reshape(-1, 2) for y in (d, c))
+        return v[:, 0], v[:, 1], u[:, 0], u[:, 1], *_key(r, len(v)), np.array(p, np.int64), np.array(q, np.int64), np.array(w, bool)
+
+    return _each(parts, one, ["d1", "d2", "c1", "c2", "id", "n_bytes", "p", "q", "whole"])
+
+
+def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A digest of each window of some pieces."""
+
+    def one(r) -> tuple:
+        spots = [(i, x["done"]) for x in r.runs for i in range(x["p"], x["q"] + 1)]
+        v = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r.data[i : i + WIDTH]) for i, _ in spots]), "<i8").reshape(-1, 2)
+        return v[:, 0], v[:, 1], *_key(r, len(v)), np.array([i for i, _ in spots], np.int64), np.array([x for _, x in spots], bool)
 
-    return _each(parts, one, ["d1", "d2", "id", "n_bytes", "p", "whole"])
+    return _each(parts, one, ["d1", "d2", "id", "n_bytes", "p", "done"])
 
 
 def equal_suffixes(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -253,27 +273,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = copies.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     texts = _bucketed(spark, rows.where(F.col("n_bytes") >= WIDTH).groupBy(*key).agg(F.first("data").alias("data")), n)
 
-    def runs_of(refs: DataFrame, *more: str) -> DataFrame:
-        return texts.join(refs.groupBy(*key).agg(F.collect_list(F.struct("hash", "packed", *more)).alias("runs")), key)
+    def runs_of(refs: DataFrame, *columns: str) -> DataFrame:
+        return texts.join(refs.groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("runs")), key)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     known = texts.select("id", "n_bytes", "data")
     found = known.mapInPandas(_anchor_rows, "hash long, id long, n_bytes long, packed long")
     again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     repeated = staged(found.join(again, "hash"), "repeated")
-    contexts = staged(runs_of(repeated).mapInPandas(_contexts, "hash long, d1 long, d2 long, id long, n_bytes long, packed long"), "contexts")
+    contexts = staged(runs_of(repeated, "hash", "packed").mapInPandas(_contexts, "hash long, d1 long, d2 long, id long, n_bytes long, packed long"), "contexts")
     distinct = staged(contexts.groupBy("hash", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_bytes", "packed")).alias("x")), "distinct")
     whole = contexts.join(distinct.where("n > 1").select("hash", "d1", "d2"), ["hash", "d1", "d2"]).select(*key, *_span(F.col("packed")))
     sizes = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     mixed = staged(distinct.join(sizes, "hash").select("hash", "m", "x.*", (F.col("n") > 1).alias("whole")), "mixed")
-    sortable = runs_of(mixed.where(F.col("m") <= BUCKET_RUNS), "whole").mapInPandas(_runs, "hash long, id long, n_bytes long, packed long, whole boolean, data binary")
+    sortable = runs_of(mixed.where(F.col("m") <= BUCKET_RUNS), "hash", "packed", "whole").mapInPandas(_runs, "hash long, id long, n_bytes long, packed long, whole boolean, data binary")
     sort = sortable.repartition(n, "hash").sortWithinPartitions("hash").mapInPandas(_sort, "id long, n_bytes long, start long, stop long")
-    big = runs_of(mixed.where(F.col("m") > BUCKET_RUNS), "whole").mapInPandas(_windows, "d1 long, d2 long, id long, n_bytes long, p long, whole boolean")
-    twice = big.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    large = big.where(~F.col("whole")).join(twice, ["d1", "d2"]).select(*key, F.col("p").alias("start"), (F.col("p") + WIDTH).alias("stop"))
+    big = runs_of(mixed.where(F.col("m") > BUCKET_RUNS), "hash", "packed", "whole")
+    pieces = staged(big.mapInPandas(_pieces, "d1 long, d2 long, c1 long, c2 long, id long, n_bytes long, p long, q long, whole boolean"), "pieces")
+    kinds = staged(pieces.groupBy("d1", "d2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_bytes", "p", "q")).alias("x"), F.max("whole").alias("whole")), "kinds")
+    alike = pieces.where(~F.col("whole")).join(kinds.where("n > 1").select("d1", "d2"), ["d1", "d2"]).select(*key, F.col("p").alias("start"), (F.col("q") + WIDTH).alias("stop"))
+    cores = kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c1", "c2")
+    parted = kinds.join(cores, ["c1", "c2"]).select("x.*", ((F.col("n") > 1) | F.col("whole")).alias("done"))
+    windows = runs_of(parted, "p", "q", "done").mapInPandas(_windows, "d1 long, d2 long, id long, n_bytes long, p long, done boolean")
+    twice = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
+    large = alike.unionByName(windows.where(~F.col("done")).join(twice, ["d1", "d2"]).select(*key, F.col("p").alias("start"), (F.col("p") + WIDTH).alias("stop")))
     spans = whole.unionByName(sort).unionByName(large).groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = texts.join(spans, key, "left").select("id", "n_bytes", "data", "spans").mapInPandas(_cut, kinds)
+    columns = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    cut = texts.join(spans, key, "left").select("id", "n_bytes", "data", "spans").mapInPandas(_cut, columns)
     classes = many.join(cut, key, "left")
     nothing, empty = F.lit(0).cast("long"), hashlib.sha256(b"").hexdigest()
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WIDTH)
