@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, structure
+from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, segments, structure
 from veilgraph.operators.components import connected_components
 from veilgraph.sources import graphs
 
@@ -176,3 +176,66 @@ def test_edge_list_files(spark, tmp_path):
     assert graphs.read_tokens(spark, f"{tmp_path}/g.csv").count() == 2
     (tmp_path / "g.gml").write_text("graph [\n node [ id 1 ]\n edge [\n source 1\n target 2\n ]\n edge [ source 3 target 1 ] ]")
     assert {tuple(r) for r in graphs.read_gml_edges(spark, f"{tmp_path}/g.gml").collect()} == {(1, 2), (1, 3)}
+
+
+def plain_segments(degs, k, squared):
+    """The same rule over the whole sorted list of degrees."""
+
+    def cost(part):
+        if not part:
+            return 0
+        mean, m = round(sum(part) / len(part)), sorted(part)
+        median = round((m[(len(m) - 1) // 2] + m[len(m) // 2]) / 2)
+        return min(sum(abs(d - c) ** (1 + squared) for d in part) for c in (mean, median))
+
+    out, s = [], 0
+    while len(degs) - s >= 2 * k:
+        e = s + k
+        while len(degs) - e >= k + 1 and cost(degs[s : e + 1]) + cost(degs[e + 1 : e + 1 + k]) < cost(degs[s:e]) + cost(degs[e : e + k]):
+            e += 1
+        out.append(e - s)
+        s = e
+    return out + [len(degs) - s] if degs else []
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_segments(spark, squared):
+    for seed in range(30):
+        rng = random.Random(seed)
+        degs = sorted((int(rng.expovariate(0.2)) + 1 for _ in range(rng.randrange(5, 60))), reverse=True)
+        hist = [(d, len(list(g))) for d, g in itertools.groupby(degs)]
+        assert [n for _, n, _ in segments.cut(hist, 4, squared)] == plain_segments(degs, 4, squared)
+    edges = random_edges(60, 150, 2)
+    rows = sorted(segments.degree_segments(frame(spark, edges), 4, squared).collect(), key=lambda r: r["rank"])
+    adj = adjacency(edges)
+    degs = sorted(map(len, adj.values()), reverse=True)
+    assert [r["deg"] for r in rows] == degs
+    assert [len(list(g)) for _, g in itertools.groupby(rows, key=lambda r: r["segment"])] == plain_segments(degs, 4, squared)
+
+
+def test_rewire_moves_towards_targets(spark):
+    edges = random_edges(60, 200, 4)
+    df = frame(spark, edges)
+    targets = segments.degree_segments(df, 5).select("n", "target")
+    want = {r["n"]: r["target"] for r in targets.collect()}
+    out = [tuple(r) for r in segments.rewire(df, targets).collect()]
+    assert all(u < v for u, v in out) and len(set(out)) == len(out)
+    off = lambda adj: sum(abs(len(adj.get(n, ())) - t) for n, t in want.items())
+    assert off(adjacency(out)) < off(adjacency(edges))
+
+
+def test_forest_and_codes(spark):
+    edges = random_edges(40, 45, 6)
+    df, adj = frame(spark, edges), adjacency(edges)
+    comp = connected_components(df)
+    roots = comp.selectExpr("component AS n").distinct()
+    forest = {r["n"]: r["parent"] for r in segments.spanning_forest(df, comp, structure.distances(df, roots)).collect()}
+    assert len(forest) == len(adj) - len(parts(adj, adj)) and all(p in adj[n] for n, p in forest.items())
+    vectors = structure.ncc_vectors(df)
+    vec = {r["n"]: r["vec"] for r in vectors.collect()}
+    for r in structure.ncc_distance(vectors, df).collect():
+        a, b = vec[r["u"]], vec[r["v"]]
+        gap = sum(abs(x - y) for x, y in itertools.zip_longest(a, b, fillvalue=0))
+        assert abs(r["distance"] - gap / max(sum(a), sum(b), 1)) < 1e-12
+    paths = structure.path_lengths(structure.distances(frame(spark, NAMED["two"]), graphs.nodes_of(frame(spark, NAMED["two"]))), 4).first()
+    assert paths["reachable_mean"] == 1 and abs(paths["all_pairs_mean"] - 1 / 3) < 1e-12 and paths["pairs"] == 2

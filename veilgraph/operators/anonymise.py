@@ -54,6 +54,26 @@ def external_template(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(edges, ["u", "v"], "left_anti")
 
 
+def anchor_template(edges: DataFrame, groups: DataFrame, most: int = 3) -> DataFrame:
+    """(u, v): new edges from every node of a group to its anchors, the `most` nodes of largest degree in it."""
+    size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("g").orderBy(F.col("deg").desc(), "n")
+    anchors = groups.withColumn("r", F.row_number().over(order)).join(size, "g").where(F.col("r") <= F.least(F.lit(most), F.col("size") - 1)).select("g", F.col("n").alias("m"))
+    pairs = groups.select("g", "n").join(anchors, "g").where("n <> m")
+    return pairs.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct().join(edges, ["u", "v"], "left_anti")
+
+
+def clique_template(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v): new edges that make each group a clique; groups have under 2k nodes, so pairs stay few."""
+    a, b = groups.select("g", F.col("n").alias("u")), groups.select("g", F.col("n").alias("v"))
+    return a.join(b, "g").where("u < v").select("u", "v").join(edges, ["u", "v"], "left_anti")
+
+
+def group_profile(groups: DataFrame) -> DataFrame:
+    """(g, size, low, high, median_degree): half-even median."""
+    return groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("deg").alias("low"), F.max("deg").alias("high"), F.bround(F.median("deg"), 0).cast("long").alias("median_degree"))
+
+
 def publish(edges: DataFrame, k: int) -> DataFrame:
     """(u, v) of the graph with both templates of groups of k added."""
     groups = fixed_groups(edges, k)

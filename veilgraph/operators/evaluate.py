@@ -103,3 +103,9 @@ def trend(results: DataFrame, by: str, along: str, score: str) -> DataFrame:
     """(by, change): mean score at the largest step less that at the smallest."""
     means = results.groupBy(by, along).agg(F.avg(finite(F.col(score))).alias("s"))
     return means.groupBy(by).agg((F.max_by("s", along) - F.min_by("s", along)).alias("change"))
+
+
+def fill_grid(results: DataFrame, a: str, b: str, score: str) -> DataFrame:
+    """(a, b, score, present): every pair of the values of a and b that occur; few, as they name methods and steps."""
+    grid = results.select(a).distinct().crossJoin(results.select(b).distinct())
+    return grid.join(results.select(a, b, score), [a, b], "left").withColumn("present", F.col(score).isNotNull())

@@ -114,6 +114,36 @@ def ncc(edges: DataFrame) -> DataFrame:
     return ego_components(edges).groupBy("ego").agg(F.array_join(text, "|").alias("code"))
 
 
+def ncc_vectors(edges: DataFrame, most: int = 8, width: int = 8) -> DataFrame:
+    """(n, vec, weight): of a node's `most` largest components size, edges and `width` largest degrees, 0 for none.
+
+    The weight is the sum of the numbers, and what distances between codes are divided by.
+    """
+    padded = lambda d: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(d, i), F.lit(0)).cast("long"))
+    one = F.struct("size", "edges", "degrees")
+    top = ego_components(edges).groupBy("ego").agg(F.slice(F.reverse(F.array_sort(F.collect_list(one))), 1, most).alias("cs"))
+    flat = F.flatten(F.transform("cs", lambda c: F.concat(F.array(c["size"], c["edges"]), padded(c["degrees"]))))
+    return top.select(F.col("ego").alias("n"), flat.alias("vec")).withColumn("weight", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def ncc_distance(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v, distance) of pairs: the L1 distance of padded codes over the larger of both weights and 1."""
+    a = vectors.select(F.col("n").alias("u"), F.col("vec").alias("p"), F.col("weight").alias("wp"))
+    b = vectors.select(F.col("n").alias("v"), F.col("vec").alias("q"), F.col("weight").alias("wq"))
+    gap = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return pairs.join(a, "u").join(b, "v").select("u", "v", (gap / F.greatest(F.col("wp"), F.col("wq"), F.lit(1))).alias("distance"))
+
+
+def path_lengths(dist: DataFrame, nodes: int) -> DataFrame:
+    """One row (pairs, reachable_mean, all_pairs_mean, longest) of (src, dst, dist) from every node.
+
+    Unreachable pairs are left out of the first mean and count as 0 in the second.
+    """
+    far = dist.where("dist > 0").agg(F.count(F.lit(1)).alias("c"), F.sum("dist").alias("s"), F.max("dist").alias("longest"))
+    every = float(max(nodes * (nodes - 1), 1))
+    return far.select((F.col("c") / 2).cast("long").alias("pairs"), (F.col("s") / F.col("c")).alias("reachable_mean"), (F.col("s") / every).alias("all_pairs_mean"), "longest")
+
+
 def signatures(edges: DataFrame) -> DataFrame:
     """(n, deg, triangles, clustering, avg_neighbour_degree, ego_edges, largest, second): seven numbers a node."""
     comps = ego_components(edges).groupBy("ego").agg(F.reverse(F.array_sort(F.collect_list("size"))).alias("s"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, structure
+from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, segments, structure
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
 from veilgraph.sources import graphs
@@ -354,3 +354,89 @@ def common_ancestors(spark, sf):
 def reidentification(spark, sf):
     g = _graph(spark, sf, "sparse")
     return attack.success(attack.propagate(g, anonymise.publish(g, K), attack.seeds(g)))
+
+
+@query(_with("dense", _GROUPS + ", q AS (SELECT g.g, n, row_number() OVER (PARTITION BY g.g ORDER BY deg DESC, n) AS r, count(*) OVER (PARTITION BY g.g) AS size FROM g), x AS (SELECT g, n AS m FROM q WHERE r <= least(3, size - 1)) SELECT DISTINCT least(n, m) AS u, greatest(n, m) AS v FROM g JOIN x USING (g) WHERE n <> m EXCEPT SELECT u, v FROM e"))
+def anchor_template(spark, sf):
+    g = _graph(spark, sf, "dense")
+    return anonymise.anchor_template(g, anonymise.fixed_groups(g, K))
+
+
+@query(_with("dense", _GROUPS + " SELECT a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n EXCEPT SELECT u, v FROM e"))
+def clique_template(spark, sf):
+    g = _graph(spark, sf, "dense")
+    return anonymise.clique_template(g, anonymise.fixed_groups(g, K))
+
+
+@query(_with("dense", _GROUPS + " SELECT g, count(*) AS size, min(deg) AS low, max(deg) AS high, round_even(median(deg), 0)::BIGINT AS median_degree FROM g GROUP BY g"))
+def group_profile(spark, sf):
+    return anonymise.group_profile(anonymise.fixed_groups(_graph(spark, sf, "dense"), K))
+
+
+_COMPONENTS = ", r(n, c) AS (SELECT n, n FROM d UNION SELECT s.m, r.c FROM r JOIN s ON s.n = r.n WHERE r.c < s.m), cc AS MATERIALIZED (SELECT n AS node, min(c) AS component FROM r GROUP BY n)"
+
+
+@query(_with("sparse", _COMPONENTS + " SELECT component, count(*) AS size FROM cc GROUP BY component"))
+def component_sizes(spark, sf):
+    return connected_components(_graph(spark, sf, "sparse")).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(_with("sparse", _COMPONENTS + ", b(n, dist) AS (SELECT DISTINCT component, 0 FROM cc UNION SELECT s.m, b.dist + 1 FROM b JOIN s ON s.n = b.n WHERE b.dist < 24), l AS MATERIALIZED (SELECT n, min(dist) AS dist FROM b GROUP BY n) SELECT x.n, min(s.m) AS parent FROM l x JOIN s ON s.n = x.n JOIN l y ON y.n = s.m AND y.dist = x.dist - 1 GROUP BY x.n"))
+def spanning_forest(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    comp = staged(connected_components(g), "components")
+    roots = comp.select(F.col("component").alias("n")).distinct()
+    return segments.spanning_forest(g, comp, structure.distances(g, roots))
+
+
+@query()
+def path_lengths(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    nodes = staged(graphs.nodes_of(g), "nodes")
+    p = structure.path_lengths(structure.distances(g, nodes), nodes.count())
+    return p.select("pairs", F.round("reachable_mean", 9).alias("reachable_mean"), F.round("all_pairs_mean", 9).alias("all_pairs_mean"), "longest")
+
+
+@query()
+def ego_code_distances(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return structure.ncc_distance(staged(structure.ncc_vectors(g), "vectors"), g)
+
+
+@query()
+def degree_segments_mae(spark, sf):
+    return segments.degree_segments(_graph(spark, sf, "dense"), K)
+
+
+@query()
+def degree_segments_squared(spark, sf):
+    return segments.degree_segments(_graph(spark, sf, "dense"), K, squared=True)
+
+
+@query()
+def rewired_graph(spark, sf):
+    g = _graph(spark, sf, "dense")
+    return segments.rewire(g, staged(segments.degree_segments(g, K).select("n", "target"), "targets"))
+
+
+@query(_with("sparse", _GROUPS + _RING + _OUTSIDE + ", p AS MATERIALIZED (SELECT u, v FROM e UNION SELECT u, v FROM ring UNION SELECT u, v FROM ext), pd AS (SELECT n, count(*) AS deg FROM (SELECT u AS n FROM p UNION ALL SELECT v FROM p) GROUP BY n) SELECT (SELECT count(*) FROM e) AS preserved, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) AS added, 0::BIGINT AS removed, (SELECT min(c) FROM (SELECT count(*) AS c FROM pd GROUP BY deg)) AS smallest_class, (SELECT round(avg(pd.deg - d.deg), 9) FROM d JOIN pd USING (n)) AS mae"))
+def published_diagnosis(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    p = staged(anonymise.publish(g, K), "published")
+    changes = compare.edge_changes(g, p).select("preserved", "added", "removed")
+    least = compare.k_degree(p, (K,)).select("smallest_class")
+    return changes.crossJoin(least).crossJoin(compare.degree_loss(g, p).select(F.round("mae", 9).alias("mae")))  # a row each
+
+
+@query("WITH m AS (SELECT o_orderpriority AS method, o_orderstatus AS k, round(avg(o_totalprice), 4) AS s FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderstatus <> 'F' GROUP BY ALL) SELECT a.method, b.k, s, s IS NOT NULL AS present FROM (SELECT DISTINCT method FROM m) a CROSS JOIN (SELECT DISTINCT k FROM m) b LEFT JOIN m ON m.method = a.method AND m.k = b.k")
+def filled_grid(spark, sf):
+    orders = _table(spark, sf, "orders").where("o_orderpriority <> '5-LOW' OR o_orderstatus <> 'F'")
+    means = orders.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("k")).agg(F.round(F.avg("o_totalprice"), 4).alias("s"))
+    return evaluate.fill_grid(staged(means, "means"), "method", "k", "s")
+
+
+@query()
+def neighbour_classes(spark, sf):
+    g = _graph(spark, sf, "dense")
+    labels = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), (F.col("p_size") > 25).cast("long").alias("y"))
+    return evaluate.classification(learn.predict(g, labels))
