@@ -60,9 +60,9 @@ def stratified_split(rows: DataFrame, key: str, label: str, shares: tuple[float,
     """(key, label, part): train, val or test by md5 order within each label; the first of a label trains."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     w = Window.partitionBy(label)
-    ranked = rows.select(key, label, F.row_number().over(w.orderBy(h, key)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    first = F.greatest(F.lit(1), F.floor(F.col("n") * shares[0]))
-    part = F.when(F.col("r") <= first, "train").when(F.col("r") <= first + F.floor(F.col("n") * shares[1]), "val").otherwise("test")
+    ranked = rows.select(key, label, F.row_number().over(w.orderBy(h, key)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    first = F.greatest(F.lit(1), F.floor(F.col("_n") * shares[0]))
+    part = F.when(F.col("_r") <= first, "train").when(F.col("_r") <= first + F.floor(F.col("_n") * shares[1]), "val").otherwise("test")
     return ranked.select(key, label, part.alias("part"))
 
 
