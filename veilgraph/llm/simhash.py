@@ -201,7 +201,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(by_fp, "fp").select("id", "fp", "component")
 
 
-SEGMENT_REACH, WIDE = 8, 8
+SEGMENT_REACH, WIDE, MARGIN = 8, 8, 0.12
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
 
@@ -238,18 +238,35 @@ def sketch(text: str | None, words: int) -> tuple[int, bytes, list[int]]:
     return int.from_bytes(wide[0], "big"), b"".join(wide), _bits(h, starts).view(np.int64).tolist()
 
 
-def _similar(a, b, similarity: float):
-    """Whether the share of equal bits of two wide fingerprints tells of at least that Jaccard similarity."""
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0])))
-    cosine = 2 * similarity / (1 + similarity)
-    return differ <= float(np.floor(64 * WIDE * np.arccos(cosine) / np.pi))
+def _differ(a, b):
+    """Bits that differ in two wide fingerprints."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _most(similarity: float) -> float:
+    """Bits of wide fingerprints that differ at a Jaccard similarity of sets of one size."""
+    return float(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def shingle_set(text: str | None, words: int) -> bytes:
+    """The hashes of a text's word shingles, each once, ascending, as bytes."""
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8")).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_key, id, group): rows known by a hash of id and text, and the group that each is in.
 
     A pair is linked if its fingerprints are at most MOST_BITS apart (anchor points), or if the two share a
-    segment's SimHash and the WIDE fingerprints, 512 bits, tell of the similarity or more. Of the texts with a
+    segment's SimHash and have the similarity: the WIDE fingerprints, 512 bits, settle pairs that are clearly over
+    or under it, and the shingles of the texts the rest, those within MARGIN. Of the texts with a
     segment each is compared with the first and the last, so a segment that many share costs two pairs a text.
     """
     spark = docs.sparkSession
@@ -270,7 +287,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = spots.join(ends, "segment").select("row_key", F.explode(F.array("low", "high")).alias("other")).where("row_key <> other").select(F.least("row_key", "other").alias("u"), F.greatest("row_key", "other").alias("v")).distinct()
     wides = classes.select("rep", "wide")
     both = pairs.join(wides.select(F.col("rep").alias("u"), F.col("wide").alias("a")), "u").join(wides.select(F.col("rep").alias("v"), F.col("wide").alias("b")), "v")
-    by_segment = both.where(_similar(F.col("a"), F.col("b"), similarity)).select("u", "v")
+    rated = staged(both.select("u", "v", _differ(F.col("a"), F.col("b")).alias("d")).where(F.col("d") <= _most(similarity - MARGIN)), "rated")
+    sure = F.col("d") <= _most(min(1.0, similarity + MARGIN))
+    close = rated.where(~sure)
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts])
+
+    @F.pandas_udf("double")
+    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
+
+    asked = close.select(F.explode(F.array("u", "v")).alias("k")).distinct()
+    texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(asked, "k", "left_semi").dropDuplicates(["k"])
+    sets = staged(texts.select("k", shingles("t").alias("s")), "shingles")
+    held = close.join(sets.select(F.col("k").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("q")), "v")
+    by_segment = rated.where(sure).select("u", "v").unionByName(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"))
     prints = classes.groupBy("fp").agg(F.min("rep").alias("first"))
     same = classes.join(prints, "fp").select(F.col("rep").alias("u"), F.col("first").alias("v"))
     near = _links(prints.select("fp"), MOST_BITS).join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
