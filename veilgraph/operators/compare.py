@@ -44,6 +44,12 @@ def k_degree(edges: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return least.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "smallest_class").select("k", F.coalesce(F.col("smallest_class") >= F.col("k"), F.lit(True)).alias("anonymous"), "smallest_class")
 
 
+def k_neighbourhood(codes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(k, anonymous, smallest_class) of (ego, code): whether each neighbourhood code is shared by k nodes or more."""
+    least = codes.groupBy("code").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("smallest_class"))
+    return least.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "smallest_class").select("k", F.coalesce(F.col("smallest_class") >= F.col("k"), F.lit(True)).alias("anonymous"), "smallest_class")
+
+
 def wasserstein(original: DataFrame, published: DataFrame) -> DataFrame:
     """One row (distance): sum over the degrees that occur of the gap between the two cumulative shares."""
     hist = lambda e, c: degrees(e).groupBy("deg").agg(F.count(F.lit(1)).alias(c))

@@ -151,14 +151,28 @@ def core_numbers(spark, sf):
     return structure.core_numbers(_graph(spark, sf, "sparse"))
 
 
-@query()
+_EGO = (
+    _TRIANGLES + ", i AS MATERIALIZED (SELECT ego, p, q FROM (SELECT x AS ego, y AS p, z AS q FROM t UNION ALL SELECT y, x, z FROM t UNION ALL SELECT z, x, y FROM t) UNION ALL SELECT ego, q, p FROM (SELECT x AS ego, y AS p, z AS q FROM t UNION ALL SELECT y, x, z FROM t UNION ALL SELECT z, x, y FROM t)), "
+    "er(ego, n, c) AS (SELECT n, m, m FROM s UNION SELECT er.ego, i.q, er.c FROM er JOIN i ON i.ego = er.ego AND i.p = er.n WHERE er.c < i.q), el AS (SELECT ego, n, min(c) AS c FROM er GROUP BY ego, n), "
+    "ed AS (SELECT ego, p AS n, count(*) AS k FROM i GROUP BY ego, p), ec AS MATERIALIZED (SELECT el.ego, el.c, count(*) AS size, (sum(coalesce(k, 0)) / 2)::BIGINT AS edges, list(coalesce(k, 0) ORDER BY coalesce(k, 0) DESC) AS degrees FROM el LEFT JOIN ed ON ed.ego = el.ego AND ed.n = el.n GROUP BY el.ego, el.c), "
+    "en AS MATERIALIZED (SELECT ego, string_agg(size || ':' || edges || ':' || array_to_string(degrees, ','), '|' ORDER BY size DESC, edges DESC, degrees DESC) AS code FROM ec GROUP BY ego)"
+)
+
+
+@query(_with("sparse", _EGO + " SELECT ego, code FROM en"))
 def ego_component_codes(spark, sf):
     return structure.ncc(_graph(spark, sf, "sparse"))
 
 
-@query()
+@query(_with("sparse", _EGO + f" SELECT k, c >= k AS anonymous, c AS smallest_class FROM (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM en GROUP BY code)), (SELECT unnest([{', '.join(map(str, KS))}]) AS k)"))
+def k_neighbourhood_anonymity(spark, sf):
+    return compare.k_neighbourhood(structure.ncc(_graph(spark, sf, "sparse")), KS)
+
+
+@query(_with("sparse", _EGO + _CLUSTERING.removeprefix(_TRIANGLES) + ", nd AS (SELECT s.n, avg(d.deg) AS a FROM s JOIN d ON d.n = s.m GROUP BY s.n), z AS (SELECT ego, list(size ORDER BY size DESC) AS l FROM ec GROUP BY ego) SELECT c.n, deg, triangles, round(clustering, 9) AS clustering, round(a, 9) AS avg_neighbour_degree, triangles AS ego_edges, l[1] AS largest, coalesce(l[2], 0) AS second FROM c JOIN nd ON nd.n = c.n JOIN z ON z.ego = c.n"))
 def structural_signatures(spark, sf):
-    return structure.signatures(_graph(spark, sf, "sparse"))
+    s = structure.signatures(_graph(spark, sf, "sparse"))
+    return s.withColumns({c: F.round(c, 9) for c in ("clustering", "avg_neighbour_degree")})
 
 
 @query(_two(" SELECT count(*) FILTER (a = 1 AND b = 1) AS preserved, count(*) FILTER (a = 0) AS added, count(*) FILTER (b = 0) AS removed, count(*) FILTER (a + b = 1) AS changes FROM (SELECT u, v, max(x) AS a, max(y) AS b FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY u, v)"))
