@@ -55,5 +55,6 @@ def test_mix(spark, entropy, repeats, whole):
 def test_mix_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == []
-    one = spark.createDataFrame([(1, "a", "x"), (2, "b c", "x")], "doc_id long, text string, source string")
-    assert sorted(r["doc_id"] for r in mixing.mix(one).collect()) == [1, 2]
+    one = spark.createDataFrame([(1, "a", "x", 5, "y", 7), (2, "b c", "x", None, None, None)], "doc_id long, text string, source string, _epoch int, _row string, _f int")
+    rows = mixing.mix(one).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 2] and {r["_epoch"] for r in rows} == {5, None} and {r["__epoch"] for r in rows} == {0}

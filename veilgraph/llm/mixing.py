@@ -58,7 +58,9 @@ def _key(epoch: Column, id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """docs with a row for each epoch that a document is in, and its number `_epoch` from 0.
+    """docs with a row for each epoch that a document is in, and last its number from 0.
+
+    The number's column is `_epoch`, with more underscores before it if docs has one of that name.
 
     The token budget is the corpus's own size or, if `whole`, the least that has every document in one epoch at
     least; a source's is its weight, rounded to 9 decimals, of that. Whole
@@ -66,8 +68,6 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_
     in md5 order stays in what is left, equal keys together. A null source is a source of its own; sources
     without tokens are kept once. Repeated rows and null texts count as they are. An empty table gives none.
     """
-    if "_epoch" in docs.columns:
-        raise ValueError("docs has a column _epoch")
     slim = staged(docs.select(F.col(source_col).alias("s"), F.col(id_col).alias("i"), tokens(F.col(text_col)).alias("n")), "mix")
     totals = staged(slim.groupBy("s").agg(F.sum("n").alias("t")), "sources")
     total = totals.agg(F.sum("t")).first()[0] or 0
@@ -87,9 +87,18 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, id_
     cut = run.where("before + inner <= left").groupBy("s").agg(F.max("k").alias("cut"))
     plan = plan.join(cut.select(F.col("s").alias("s2"), "cut"), F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias("_s"), F.col("f").alias("_f"), "cut")
     held = staged(plan.withColumnRenamed("cut", "_cut"), "plan")
-    copies = F.when(F.col("_f").isNull(), 1).otherwise(F.col("_f") + F.when(_key(F.col("_f"), docs[id_col]) <= F.col("_cut"), 1).otherwise(0))
-    out = docs.join(held, docs[source_col].eqNullSafe(held["_s"]), "left").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.least(F.greatest(copies, F.lit(0)), F.lit(1 << 30)).cast("int"))))
-    return out.where(F.col("_epoch") < copies).select(*[docs[c] for c in docs.columns], "_epoch")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[source_col].alias("_source"), docs[id_col].alias("_id"))
+    copies = F.when(F.col("_f").isNull(), 1).otherwise(F.col("_f") + F.when(_key(F.col("_f"), F.col("_id")) <= F.col("_cut"), 1).otherwise(0))
+    met = rows.join(held, F.col("_source").eqNullSafe(F.col("_s")), "left").where(copies > 0)
+    out = met.select("_row", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("_e"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("_e").alias(free_name(docs, "_epoch")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of _name, __name and so on that no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def sql(source: str = "documents", columns: str = "doc_id, source, epoch", entropy: float = ENTROPY, repeats: float = REPEATS, whole: bool = False) -> str:
