@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.operators.compare import ordered_by_degree
+from veilgraph.operators.structure import degrees, edge_common_neighbours
 from veilgraph.sources.graphs import both_ways
 
 SEED = 42
@@ -88,12 +89,10 @@ def edge_weights(edges: DataFrame, seed: int = SEED) -> DataFrame:
 
 def edge_significance(edges: DataFrame) -> DataFrame:
     """(u, v, nc, common): the share of ends' neighbours that only one of them has, over twice the largest degree."""
-    from veilgraph.operators.structure import common_neighbours, degrees
-
     d = degrees(edges)
     top = d.agg(F.max("deg").alias("top"))
     both = edges.join(d.select(F.col("n").alias("u"), F.col("deg").alias("du")), "u").join(d.select(F.col("n").alias("v"), F.col("deg").alias("dv")), "v")
-    met = both.join(common_neighbours(edges, edges).select("u", "v", "common"), ["u", "v"], "left").crossJoin(F.broadcast(top))  # top is one row
+    met = both.join(edge_common_neighbours(edges).select("u", "v", "common"), ["u", "v"], "left").crossJoin(F.broadcast(top))  # top is one row
     c = F.coalesce("common", F.lit(0)).cast("long")
     return met.select("u", "v", ((F.col("du") + F.col("dv") - 2 * c) / (2.0 * F.col("top"))).alias("nc"), c.alias("common"))
 
@@ -103,8 +102,6 @@ def influence(edges: DataFrame) -> DataFrame:
 
     An edge's degree there is du + dv - 2; the ball of two steps holds the edges with an end next to u or v.
     """
-    from veilgraph.operators.structure import degrees
-
     d = degrees(edges)
     e = edges.join(d.select(F.col("n").alias("u"), F.col("deg").alias("du")), "u").join(d.select(F.col("n").alias("v"), F.col("deg").alias("dv")), "v").withColumn("x", F.col("du") + F.col("dv") - 3)
     near = both_ways(edges).select("n", F.col("m").alias("c")).unionByName(d.select("n", F.col("n").alias("c"))).distinct()

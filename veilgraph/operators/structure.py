@@ -65,6 +65,14 @@ def common_neighbours(edges: DataFrame, pairs: DataFrame | None = None) -> DataF
     return met.join(weight, "w").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum("weight").alias("adamic_adar"))
 
 
+def edge_common_neighbours(edges: DataFrame) -> DataFrame:
+    """As common_neighbours() for the edges themselves: their common neighbours are their triangles' third nodes."""
+    weight = degrees(edges).select(F.col("n").alias("w"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(0.0).alias("weight"))
+    sides = [("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x")]
+    each = triangles(edges).select(F.explode(F.array(*[F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(w).alias("w")) for a, b, w in sides])).alias("t")).select("t.*")
+    return each.join(weight, "w").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum("weight").alias("adamic_adar"))
+
+
 def core_numbers(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """(n, core): a node's h-index over its neighbours' values, from degrees on, until nothing changes."""
     s = staged(both_ways(edges), "edges")

@@ -131,8 +131,7 @@ def common_neighbours(spark, sf):
 
 @query(_with("dense", f" SELECT e.u, e.v, {_AA} FROM e JOIN s a ON a.n = e.u JOIN s b ON b.n = e.v AND a.m = b.m JOIN d ON d.n = a.m GROUP BY e.u, e.v"))
 def edge_adamic_adar(spark, sf):
-    g = _graph(spark, sf, "dense")
-    return structure.common_neighbours(g, g).withColumn("adamic_adar", F.round("adamic_adar", 9))
+    return structure.edge_common_neighbours(_graph(spark, sf, "dense")).withColumn("adamic_adar", F.round("adamic_adar", 9))
 
 
 @query(_with("sparse", ", r(n, c) AS (SELECT n, n FROM d UNION SELECT s.m, r.c FROM r JOIN s ON s.n = r.n WHERE r.c < s.m) SELECT n AS node, min(c) AS component FROM r GROUP BY n"))
