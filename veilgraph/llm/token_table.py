@@ -29,7 +29,7 @@ MAGIC = b"VGSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, index bytes, filter at, filter bytes, entries, ids, magic
 BLOCK_BYTES = 1 << 16
 BITS_A_KEY, PROBES = 10, 7
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_200_000
 #: Marks that the pre-tokenizer always parts from letters before them.
 MARKS = ".,;:!?"
 _SIGN = 1 << 63
@@ -211,7 +211,7 @@ def encoder(path: str):
             else:
                 odd.add(w)
         known = {"": b""} | {w: chunks[w] for w in plain | odd if w in chunks}
-        for todo, call in ((sorted(plain - known.keys()), lambda x: _words(tokenizer, ends, x)), (sorted(odd - known.keys()), lambda x: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])):
+        for todo, call in ((list(plain - known.keys()), lambda x: _words(tokenizer, ends, x)), (list(odd - known.keys()), lambda x: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])):
             known.update(zip(todo, call(todo) if todo else [], strict=True))
         found = {w: known[parts[w][0]] + known[parts[w][1]] if w in parts else known[w] for w in new}
         if len(chunks) < CACHED_CHUNKS:
