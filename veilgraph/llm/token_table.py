@@ -214,12 +214,12 @@ def encoder(path: str):
         for todo, call in ((list(plain - known.keys()), lambda x: _words(tokenizer, ends, x)), (list(odd - known.keys()), lambda x: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])):
             known.update(zip(todo, call(todo) if todo else [], strict=True))
         found = {w: known[parts[w][0]] + known[parts[w][1]] if w in parts else known[w] for w in new}
-        if len(chunks) < CACHED_CHUNKS:
-            chunks.update(found)
-            get = chunks.__getitem__
-        else:
-            get = lambda w: chunks[w] if w in chunks else found[w]
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        chunks.update(found)
+        out = [np.frombuffer(b"".join(map(chunks.__getitem__, words)), "<u4") for words in split]
+        if len(chunks) > CACHED_CHUNKS:
+            for w in found:
+                del chunks[w]
+        return out
 
     return encode
 
