@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +39,7 @@ class Model:
     weights: tuple[float, float, float]  # constant, log(1 + windows over threshold), largest gain
 
 
-def codes(text: str | None) -> list[bytes]:
+def codes(text: str | None) -> bytes:
     """A code for each word and, after it, for its stems: its first STEMS letters, for each number of letters that it has."""
     digest, out = xxhash.xxh64_digest, []
     for w in _WORD.findall((text or "").lower()):
@@ -48,7 +47,7 @@ def codes(text: str | None) -> list[bytes]:
         for n in STEMS:
             if len(w) >= n:
                 out.append(digest(w[:n], n))
-    return out
+    return b"".join(out)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -59,13 +58,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **more)
 
 
-def features(words: list[bytes], toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> np.ndarray:
-    """Gains of the windows; the last one is whole too, by overlap or, in a short text, by repetition."""
-    if not words:
+def features(data: bytes, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> np.ndarray:
+    """Gains of the windows of codes; the last one is whole too, by overlap or, in a short text, by repetition."""
+    if not data:
         return np.zeros(0, np.int64)
-    if len(words) < WINDOW:
-        words = (words * WINDOW)[:WINDOW]
-    data, step, a, b = b"".join(words), 8 * WINDOW, ordinary.compress, toxic.compress
+    step, a, b = 8 * WINDOW, ordinary.compress, toxic.compress
+    if len(data) < step:
+        data = (data * WINDOW)[:step]
     starts = [*range(0, len(data) - step, step), len(data) - step]
     return np.array([len(a(w := data[i : i + step])) - len(b(w)) for i in starts], dtype=np.int64)
 
@@ -74,12 +73,12 @@ def _inputs(gains: list[np.ndarray], threshold: int) -> np.ndarray:
     return np.array([(1.0, math.log1p((g >= threshold).sum()), math.log1p(g[g >= threshold].sum())) for g in gains]).reshape(-1, 3)
 
 
-def _distinct(texts: list[str]) -> list[list[bytes]]:
-    """Words of the texts but near copies: a text goes if one of four least shingle hashes was met before."""
+def _distinct(texts: list[str]) -> list[bytes]:
+    """Codes of the texts but near copies: a text goes if one of four least shingle hashes was met before."""
     seen, out = [set() for _ in range(4)], []
     for t in texts:
         w = codes(t)
-        h = np.array([xxhash.xxh64_intdigest(b"".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))], dtype=np.uint64)
+        h = np.array([xxhash.xxh64_intdigest(w[i : i + 40]) for i in range(0, max(1, len(w) - 39), 8)], dtype=np.uint64)
         least = [int((h * np.uint64(m)).min()) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
         if not any(x in s for x, s in zip(least, seen, strict=True)):
             out.append(w)
@@ -88,27 +87,33 @@ def _distinct(texts: list[str]) -> list[list[bytes]]:
     return out
 
 
+def _document_counts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, ascending, and in how many documents each occurs."""
+    return np.unique(np.concatenate([np.unique(np.frombuffer(d, "<u8")) for d in docs]), return_counts=True)
+
+
 def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     """A model of the two classes; without texts of one, it scores every text by the other's base rate."""
     yes, no = _distinct(toxic), _distinct(ordinary)
     n, m = len(yes), len(no)
     if not n or not m:
         return Model(b"", b"", 1, (math.log((n + 0.5) / (m + 0.5)) if n + m else -4.0, 0.0, 0.0))
-    a, b = (Counter(x for w in docs for x in set(w)) for docs in (yes, no))
-
-    def own(x: Counter, y: Counter, n: int, m: int) -> list[bytes]:
-        found = []
-        for w, c in x.items():
-            p, q, both = c / n, y[w] / m, (c + y[w]) / (n + m)
-            z = (p - q) / math.sqrt(max(both * (1 - both), 1e-9) * (1 / n + 1 / m))
-            if p >= MIN_SHARE and (c + 0.5) / (n + 1) > MIN_RATIO * (y[w] + 0.5) / (m + 1) and z > MIN_Z:
-                found.append((z, w))
-        return [w for _, w in sorted(found)]
+    found = [_document_counts(yes), _document_counts(no)]
+    every = np.unique(np.concatenate([x for x, _ in found]))
+    a, b = (np.zeros(len(every), np.int64) for _ in range(2))
+    for into, (x, c) in zip((a, b), found, strict=True):
+        into[np.searchsorted(every, x)] = c
+
+    def own(x: np.ndarray, y: np.ndarray, n: int, m: int) -> np.ndarray:
+        both = (x + y) / (n + m)
+        z = (x / n - y / m) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / m))
+        clear = (x / n >= MIN_SHARE) & ((x + 0.5) / (n + 1) > MIN_RATIO * (y + 0.5) / (m + 1)) & (z > MIN_Z)
+        return np.flatnonzero(clear)[np.argsort(z[clear], kind="stable")]
 
     mine, theirs = own(a, b, n, m), own(b, a, m, n)
-    apart = {*mine, *theirs}
-    base = [w for w, _ in sorted((a + b).items(), key=lambda x: (x[1], x[0]), reverse=True)[:BASE_WORDS] if w not in apart][::-1]
-    dictionaries = b"".join(mine + base), b"".join(theirs + base)
+    common = np.argsort(a + b, kind="stable")[-BASE_WORDS:]
+    base = common[~np.isin(common, np.r_[mine, theirs])]
+    dictionaries = tuple(np.r_[every[x], every[base]].astype("<u8").tobytes() for x in (mine, theirs))
     t, o = map(_compressor, dictionaries)
     gains = [features(w, t, o) for w in yes + no]
     y = np.r_[np.ones(n), np.zeros(m)]
