@@ -279,12 +279,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     known = texts.select("id", "n_bytes", "data")
     found = known.mapInPandas(_anchor_rows, "hash long, id long, n_bytes long, packed long")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    again = staged(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")  # apart, so that a hot hash splits
     repeated = staged(found.join(again, "hash"), "repeated")
     contexts = staged(runs_of(repeated, "hash", "packed").mapInPandas(_contexts, "hash long, d1 long, d2 long, id long, n_bytes long, packed long"), "contexts")
     distinct = staged(contexts.groupBy("hash", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_bytes", "packed")).alias("x")), "distinct")
     whole = contexts.join(distinct.where("n > 1").select("hash", "d1", "d2"), ["hash", "d1", "d2"]).select(*key, *_span(F.col("packed")))
-    sizes = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = staged(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
     mixed = staged(distinct.join(sizes, "hash").select("hash", "m", "x.*", (F.col("n") > 1).alias("whole")), "mixed")
     sortable = runs_of(mixed.where(F.col("m") <= BUCKET_RUNS), "hash", "packed", "whole").mapInPandas(_runs, "hash long, id long, n_bytes long, packed long, whole boolean, data binary")
     sort = sortable.repartition(n, "hash").sortWithinPartitions("hash").mapInPandas(_sort, "id long, n_bytes long, start long, stop long")
