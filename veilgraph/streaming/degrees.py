@@ -11,5 +11,7 @@ def interaction_degrees(events: DataFrame, late: str = "1 hour", window: str = "
 
     Users and event types are the two sides of a graph; the count is the weight of an edge in a window.
     """
-    timed = events.where(F.col("ts").isNotNull()).withWatermark("ts", late) if events.isStreaming else events.where(F.col("ts").isNotNull())
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts").isNotNull())
+    if events.isStreaming:
+        timed = timed.withWatermark("ts", late)
     return timed.groupBy(F.window("ts", window).alias("window"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("events"))
