@@ -109,3 +109,52 @@ def test_keeps_one_of_near_copies(spark):
     assert out.columns == df.columns and len(got) == len(set(got))
     assert clean <= set(got) and {5000, 5002, 5003, 5004} <= set(got) and 5001 not in got
     assert len(got) <= len(clean) + 4 + 0.03 * len(rows)
+
+
+def survivors(rows, similarity=0.8):
+    """Smallest identifiers of the groups that pairs of the similarity join, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append(set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else {" ".join(w)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(k, least.get(find(i), k))
+    return sorted(least.values())
+
+
+def test_no_pair_of_the_similarity_is_lost(spark):
+    rng = np.random.default_rng(3)
+    vocab = [f"v{i}" for i in range(4000)]
+    line = " ".join(rng.choice(vocab, 30))
+    texts, edits = [], 0
+    for size in (200, 300, 120):  # stars: copies near the original and not each other
+        base = list(rng.choice(vocab, size))
+        texts.append(" ".join(base))
+        for _ in range(150):
+            w = list(base)
+            for i in rng.choice(np.arange(5, size, 10), size // 50, replace=False):
+                w[i] = f"e{(edits := edits + 1)}"
+            texts.append(" ".join(w))
+    w = list(rng.choice(vocab, 250))
+    for i in range(30):  # a chain: each near the next
+        w[8 * i + 4] = f"c{i}"
+        texts.append(" ".join(w))
+    texts += [line + " " + " ".join(rng.choice(vocab, int(n))) for n in rng.integers(3, 60, 120)]
+    short = list(rng.choice(vocab, 9))
+    texts += [" ".join(short), " ".join(short[:8]), " ".join(short[:7])]
+    rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows)

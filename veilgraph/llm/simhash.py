@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.staging import small_batches, staged
+from veilgraph.plans.staging import discard, small_batches, staged
 
 #: Generator polynomial of the (23, 12) Golay code, its length and covering radius.
 GENERATOR, LENGTH, RADIUS = 0xC75, 23, 3
@@ -201,51 +201,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(by_fp, "fp").select("id", "fp", "component")
 
 
-SEGMENT_REACH, WIDE, MARGIN = 8, 8, 0.12
-_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9], dtype=np.uint64)
-
-
-def _bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of hashes from starts on."""
-    sizes = np.diff(np.r_[starts, len(hashes)])
-    out = np.zeros(len(starts), np.uint64)
-    for b in range(64):
-        ones = np.add.reduceat((hashes >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
-        out |= (2 * ones > sizes).astype(np.uint64) << np.uint64(b)
-    return out
-
-
-def sketch(text: str | None, words: int) -> tuple[int, bytes, list[int]]:
-    """The fingerprint, WIDE of them by other hashes, and the SimHash of each segment.
-
-    Segments end where a shingle's hash is the least of those up to SEGMENT_REACH to either side, so an edit
-    changes those near it and no other. A text without words has one segment, zero.
-    """
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0, bytes(8 * WIDE), [0]
-    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
-    wide = []
-    for m in _MIX:
-        x = h * m
-        x ^= x >> np.uint64(32)
-        table = (h if m == 1 else x * np.uint64(0x94D049BB133111EB)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        wide.append(np.packbits(2 * np.concatenate([np.bincount(table[:, i], minlength=256) @ _BIT_OF_BYTE for i in range(8)]) > len(h)).tobytes())
-    padded = np.pad(h, SEGMENT_REACH, constant_values=np.uint64(2**64 - 1))
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * SEGMENT_REACH + 1).min(axis=1)
-    starts = np.union1d([0], np.flatnonzero(h == least))
-    return int.from_bytes(wide[0], "big"), b"".join(wide), _bits(h, starts).view(np.int64).tolist()
-
-
-def _differ(a, b):
-    """Bits that differ in two wide fingerprints."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0])))
-
-
-def _most(similarity: float) -> float:
-    """Bits of wide fingerprints that differ at a Jaccard similarity of sets of one size."""
-    return float(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+#: Texts whose shingles are counted to tell popular ones, a shingle's least count there, and the most that are told. They steer
+#: the work and not the result: any order of shingles that all texts share finds every pair.
+SAMPLE, POPULAR, MOST_POPULAR = 30000, 3, 200000
 
 
 def shingle_set(text: str | None, words: int) -> bytes:
@@ -261,35 +219,49 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def prefix(hashes: np.ndarray, popular: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, popular ones last, of which two sets of the similarity share one at least."""
+    names, counts = popular
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(names[at] == hashes, counts[at], 0)))]
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def _popular(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of distinct texts have, ascending, and their counts."""
+    mark = F.xxhash64(F.col(text_col))
+    part = docs.select(F.col(text_col).alias("t"), mark.alias("m")).where(F.pmod("m", F.lit(max(1, docs.count() // SAMPLE))) == 0)
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(shingle_set(t, words), ">u8").astype(np.uint64).view(np.int64) for t in texts])
+
+    counts = part.dropDuplicates(["m"]).select(F.explode(shingles("t")).alias("s")).groupBy("s").count().where(F.col("count") >= POPULAR)
+    rows = counts.orderBy(F.col("count").desc(), "s").limit(MOST_POPULAR).toPandas()
+    names = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], rows["count"].to_numpy(np.int64)[order]
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_key, id, group): rows known by a hash of id and text, and the group that each is in.
 
-    A pair is linked if its fingerprints are at most MOST_BITS apart (anchor points), or if the two share a
-    segment's SimHash and have the similarity: the WIDE fingerprints, 512 bits, settle pairs that are clearly over
-    or under it, and the shingles of the texts the rest, those within MARGIN. Of the texts with a
-    segment each is compared with the first and the last, so a segment that many share costs two pairs a text.
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are
+    what links join, and no such pair is lost. Texts of equal sets are met once. Two sets of the similarity share a
+    shingle of their prefixes, and nearly all of these are in one prefix only. Of those that share a shingle each is
+    first compared with the text that shares most of its prefix, as an original does; then all pairs that this has
+    not joined are met, and those that share enough of their prefixes compared.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kinds = "fp long, wide array<long>, segments array<long>"
+    popular = spark.sparkContext.broadcast(_popular(docs, text_col, words))
 
-    @F.pandas_udf(kinds)
+    @F.pandas_udf("same binary, n long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = [sketch(t, words) for t in texts]
-        return pd.DataFrame({"fp": np.array([r[0] for r in rows], np.uint64).view(np.int64), "wide": [np.frombuffer(r[1], ">i8").astype(np.int64) for r in rows], "segments": [r[2] for r in rows]})
-
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    seen = staged(docs.select(key.alias("row_key"), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row_key", "id", "x.*"), "sketches")
-    classes = staged(seen.groupBy("wide").agg(F.min("row_key").alias("rep"), F.min("fp").alias("fp")), "classes")
-    heads = seen.join(classes.select(F.col("rep").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
-    spots = heads.select("row_key", F.explode(F.array_distinct("segments")).alias("segment"))
-    ends = spots.groupBy("segment").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low < high")
-    pairs = spots.join(ends, "segment").select("row_key", F.explode(F.array("low", "high")).alias("other")).where("row_key <> other").select(F.least("row_key", "other").alias("u"), F.greatest("row_key", "other").alias("v")).distinct()
-    wides = classes.select("rep", "wide")
-    both = pairs.join(wides.select(F.col("rep").alias("u"), F.col("wide").alias("a")), "u").join(wides.select(F.col("rep").alias("v"), F.col("wide").alias("b")), "v")
-    rated = staged(both.select("u", "v", _differ(F.col("a"), F.col("b")).alias("d")).where(F.col("d") <= _most(similarity - MARGIN)), "rated")
-    sure = F.col("d") <= _most(min(1.0, similarity + MARGIN))
-    close = rated.where(~sure)
+        sets = [shingle_set(t, words) for t in texts]
+        first = [prefix(np.frombuffer(s, ">u8").astype(np.uint64), popular.value, similarity).view(np.int64) for s in sets]
+        return pd.DataFrame({"same": [xxhash.xxh3_128_digest(s) for s in sets], "n": [len(s) // 8 for s in sets], "prefix": first})
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -299,17 +271,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
 
-    asked = close.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(asked, "k", "left_semi").dropDuplicates(["k"])
-    sets = staged(texts.select("k", shingles("t").alias("s")), "shingles")
-    held = close.join(sets.select(F.col("k").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("q")), "v")
-    by_segment = rated.where(sure).select("u", "v").unionByName(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"))
-    prints = classes.groupBy("fp").agg(F.min("rep").alias("first"))
-    same = classes.join(prints, "fp").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-    near = _links(prints.select("fp"), MOST_BITS).join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = connected_components(by_segment.unionByName(same).unionByName(near))
-    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("wide", F.coalesce("component", "rep").alias("group"))
-    return seen.join(named, "wide").select("row_key", "id", "group")
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) that have the similarity."""
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
+        texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(asked, "k", "left_semi").dropDuplicates(["k"])
+        sets = staged(texts.select("k", shingles("t").alias("s")), "shingles")
+        held = pairs.join(sets.select(F.col("k").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("q")), "v")
+        out = staged(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"), "linked")
+        discard(sets)
+        return out
+
+    seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), key.alias("row_key"), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "row_key", "id", "x.*"), "sets")
+    classes = staged(seen.groupBy("same").agg(F.min(F.struct("row", "row_key")).alias("r")).select("same", "r.row", F.col("r.row_key").alias("rep")), "classes")
+    heads = seen.join(classes.select("row"), "row", "left_semi")
+    by_shingle = Window.partitionBy("shingle")
+    met = heads.select(F.col("row_key").alias("k"), F.explode("prefix").alias("shingle")).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1").drop("c")
+    shared = staged(met, "shared")
+    rated = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).join(heads.select(F.col("row_key").alias("k"), "n", F.size("prefix").cast("long").alias("p")), "k")
+    spots = staged(shared.join(rated, "k"), "spots")
+    discard(shared)
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    best = spots.groupBy("shingle").agg(F.max(F.struct((F.col("m") / F.col("p")).alias("rate"), "n", F.col("k").alias("lead"))).alias("best"))
+    to_best = spots.join(best.select("shingle", "best.lead", F.col("best.n").alias("o")), "shingle").where((F.col("k") != F.col("lead")) & fits(F.col("n"), F.col("o")))
+    first = linked(staged(to_best.select(F.least("k", "lead").alias("u"), F.greatest("k", "lead").alias("v")).distinct(), "pairs"))
+
+    comp = connected_components(first)
+    named = spots.join(comp.withColumnRenamed("node", "k"), "k", "left").select("shingle", "k", "n", "p", F.coalesce("component", "k").alias("c"))
+    apart = named.withColumn("low", F.min("c").over(by_shingle)).withColumn("high", F.max("c").over(by_shingle)).where("low < high").drop("low", "high")
+    apart = staged(apart, "apart")
+    discard(spots)
+    x = apart.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("k", "n", "p", "c")])
+    y = apart.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("k", "n", "p", "c")])
+    both = x.join(y, "shingle").where((F.col("k1") < F.col("k2")) & (F.col("c1") != F.col("c2")) & fits(F.col("n1"), F.col("n2")))
+    # What a pair shares is in both prefixes or in what follows one of them.
+    need = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6 - F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    enough = both.groupBy("k1", "k2", "n1", "n2", "p1", "p2").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") >= need)
+    rest = linked(staged(enough.select(F.col("k1").alias("u"), F.col("k2").alias("v")), "pairs"))
+    comp = connected_components(first.unionByName(rest))
+    groups = classes.join(comp, classes["rep"] == comp["node"], "left").select("same", F.coalesce("component", "rep").alias("group"))
+    return seen.join(groups, "same").select("row_key", "id", "group")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -324,4 +326,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return kept.dropDuplicates([id_col, text_col]) if again.limit(1).count() else kept
 
 
-__all__ = ["anchors", "fingerprint", "fingerprints", "keep_one", "near_groups", "simhash_groups", "sketch"]
+__all__ = ["anchors", "fingerprint", "fingerprints", "keep_one", "near_groups", "prefix", "simhash_groups"]
