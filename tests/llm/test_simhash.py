@@ -158,3 +158,13 @@ def test_no_pair_of_the_similarity_is_lost(spark):
     rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows)
+
+
+def test_repeated_lines_neither_link_nor_part(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"v{i}" for i in range(4000)]
+    line, base = " ".join(rng.choice(vocab, 12)), " ".join(rng.choice(vocab, 150))
+    rows = [(k, " ".join([line] * 60 + list(rng.choice(vocab, own)))) for own, ks in ((40, range(50)), (100, range(50, 100))) for k in ks]
+    rows += [(100, f"{base} {line}"), (101, " ".join([base] + [line] * 20)), (102, " ".join([base] + [line] * 60))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows) == list(range(101))
