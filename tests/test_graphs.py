@@ -239,3 +239,24 @@ def test_forest_and_codes(spark):
         assert abs(r["distance"] - gap / max(sum(a), sum(b), 1)) < 1e-12
     paths = structure.path_lengths(structure.distances(frame(spark, NAMED["two"]), graphs.nodes_of(frame(spark, NAMED["two"]))), 4).first()
     assert paths["reachable_mean"] == 1 and abs(paths["all_pairs_mean"] - 1 / 3) < 1e-12 and paths["pairs"] == 2
+
+
+def test_code_distances_keep_whole_codes(spark):
+    star = [(0, i) for i in range(1, 13)]
+    clique = list(itertools.combinations(range(20, 32), 2))
+    edges = star + clique + [(0, 20), (0, 21), (12, 22), (40, 41), (41, 42), (40, 42)]
+    adj = adjacency(edges)
+    codes = {}
+    for n in adj:
+        comps = [(len(c), [len(adj[x] & c) for x in c]) for c in map(set, parts(adj, adj[n]))]
+        codes[n] = sorted(((size, sum(d) // 2, sorted(d, reverse=True)) for size, d in comps), reverse=True)
+    width = max(len(d) for code in codes.values() for _, _, d in code)
+    weight = {n: sum(s + e + sum(d) for s, e, d in code) for n, code in codes.items()}
+    flat = {n: [x for s, e, d in code for x in (s, e, *d, *[0] * (width - len(d)))] for n, code in codes.items()}
+    pairs = list(itertools.combinations(sorted(adj), 2))
+    want = {(u, v): sum(abs(x - y) for x, y in itertools.zip_longest(flat[u], flat[v], fillvalue=0)) / max(weight[u], weight[v], 1) for u, v in pairs}
+    df = frame(spark, edges)
+    for made in (structure.ncc_vectors(df), structure.ncc_codes(df)):
+        got = {(r["u"], r["v"]): r["distance"] for r in structure.ncc_distance(made, frame(spark, pairs)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in pairs)
+    assert max(len(c) for c in codes.values()) > 8 and width > 9

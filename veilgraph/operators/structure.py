@@ -122,23 +122,35 @@ def ncc(edges: DataFrame) -> DataFrame:
     return ego_components(edges).groupBy("ego").agg(F.array_join(text, "|").alias("code"))
 
 
-def ncc_vectors(edges: DataFrame, most: int = 8, width: int = 8) -> DataFrame:
-    """(n, vec, weight): of a node's `most` largest components size, edges and `width` largest degrees, 0 for none.
+def ncc_codes(edges: DataFrame) -> DataFrame:
+    """(n, code, weight): of each of a node's components, in descending order, size, edges and all degrees; nothing is cut.
 
     The weight is the sum of the numbers, and what distances between codes are divided by.
     """
-    padded = lambda d: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(d, i), F.lit(0)).cast("long"))
     one = F.struct("size", "edges", "degrees")
-    top = ego_components(edges).groupBy("ego").agg(F.slice(F.reverse(F.array_sort(F.collect_list(one))), 1, most).alias("cs"))
-    flat = F.flatten(F.transform("cs", lambda c: F.concat(F.array(c["size"], c["edges"]), padded(c["degrees"]))))
-    return top.select(F.col("ego").alias("n"), flat.alias("vec")).withColumn("weight", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x))
+    whole = ego_components(edges).groupBy("ego").agg(F.reverse(F.array_sort(F.collect_list(one))).alias("cs"))
+    codes = whole.select(F.col("ego").alias("n"), F.transform("cs", lambda c: F.concat(F.array(c["size"], c["edges"]), c["degrees"])).alias("code"))
+    return codes.withColumn("weight", F.aggregate(F.flatten("code"), F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def ncc_vectors(edges: DataFrame) -> DataFrame:
+    """(n, vec, weight): codes as flat arrays, each component's degrees filled up with 0 to the most that any node has."""
+    codes = staged(ncc_codes(edges), "codes")
+    width = codes.agg(F.coalesce(F.max(F.array_max(F.transform("code", F.size))), F.lit(0))).first()[0]
+    padded = F.transform("code", lambda c: F.concat(c, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(c))))
+    return codes.select("n", F.flatten(padded).alias("vec"), "weight")
 
 
 def ncc_distance(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v, distance) of pairs: the L1 distance of padded codes over the larger of both weights and 1."""
-    a = vectors.select(F.col("n").alias("u"), F.col("vec").alias("p"), F.col("weight").alias("wp"))
-    b = vectors.select(F.col("n").alias("v"), F.col("vec").alias("q"), F.col("weight").alias("wq"))
-    gap = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))), F.lit(0).cast("long"), lambda s, x: s + x)
+    """(u, v, distance) of pairs: the L1 distance of padded codes, or of vectors, over the larger of both weights and 1."""
+    nested = "code" in vectors.columns
+    what = "code" if nested else "vec"
+    a = vectors.select(F.col("n").alias("u"), F.col(what).alias("p"), F.col("weight").alias("wp"))
+    b = vectors.select(F.col("n").alias("v"), F.col(what).alias("q"), F.col("weight").alias("wq"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    l1 = lambda p, q: total(F.zip_with(p, q, lambda x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))))
+    none = F.array().cast("array<long>")
+    gap = total(F.zip_with("p", "q", lambda x, y: l1(F.coalesce(x, none), F.coalesce(y, none)))) if nested else l1("p", "q")
     return pairs.join(a, "u").join(b, "v").select("u", "v", (gap / F.greatest(F.col("wp"), F.col("wq"), F.lit(1))).alias("distance"))
 
 

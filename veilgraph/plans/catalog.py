@@ -413,7 +413,7 @@ def path_lengths(spark, sf):
 @query()
 def ego_code_distances(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return structure.ncc_distance(staged(structure.ncc_vectors(g), "vectors"), g)
+    return structure.ncc_distance(staged(structure.ncc_codes(g), "codes"), g)
 
 
 @query()
