@@ -50,3 +50,18 @@ def test_order_and_wide_ids():
     with pytest.raises(ValueError):
         w.add(T.key_of(-5), np.array([1], "<u4"))
     assert T.key_of(None) < T.key_of(-(2**63)) < T.key_of(-1) < T.key_of(0) < T.key_of(2**63 - 1)
+
+
+def test_random_unicode_as_the_library_encodes_it():
+    tok, rng = Tokenizer.from_file(PATH), np.random.default_rng(7)
+    odd = [chr(c) for c in range(1, 0x3000) if chr(c).isalpha()] + list("İıſßẞΣςŉǰΐᾳﬁ\u0307\u0301") * 40
+    texts = ["İ.", "KEDİ, VE", "GELDİ! EVET"]
+    for _ in range(4000):
+        word = lambda: "".join(rng.choice(odd, rng.integers(1, 5))) + "".join(rng.choice(list(".,;:!?"), rng.integers(0, 3)))
+        texts.append(" ".join(word() for _ in range(rng.integers(1, 4))))
+    assert [list(x) for x in T.encoder(PATH)(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_chunks_are_not_kept():
+    encode = T.encoder(PATH)
+    assert len(encode(["q" * 5000])[0]) and "q" * 5000 not in T._state["chunks"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -23,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import new_path, small_batches
+from veilgraph.llm.batches import slices
+from veilgraph.plans.staging import new_path
 
 MAGIC = b"VGSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, index bytes, filter at, filter bytes, entries, ids, magic
 BLOCK_BYTES = 1 << 16
 BITS_A_KEY, PROBES = 10, 7
-CACHED_CHUNKS = 1_200_000
+#: Chunks that a worker keeps, and the longest of them, in characters.
+CACHED_CHUNKS, CACHED_CHARS = 1_200_000, 64
 #: Marks that the pre-tokenizer always parts from letters before them.
 MARKS = ".,;:!?"
 _SIGN = 1 << 63
@@ -74,7 +77,7 @@ class TableWriter:
     """Writes one shard to a binary stream; keys must come in ascending order."""
 
     def __init__(self, out) -> None:
-        self.out, self.at, self.block, self.index, self.filter_keys = out, 0, [], [], []
+        self.out, self.at, self.block, self.index, self.filter_keys = out, 0, [], [], bytearray()
         self.size = self.entries = self.ids = 0
         self.last = b""
         self.zip = zstandard.ZstdCompressor(level=1)
@@ -91,7 +94,7 @@ class TableWriter:
         self.last = key
         self.entries += 1
         self.ids += len(ids)
-        self.filter_keys.append(key[:9])
+        self.filter_keys += key[:9]
         if self.size >= BLOCK_BYTES:
             self._flush()
 
@@ -107,7 +110,8 @@ class TableWriter:
         self._flush()
         size = max(64, BITS_A_KEY * self.entries)
         bits = np.zeros((size + 7) // 8 * 8, dtype=np.uint8)
-        bits[[p for k in self.filter_keys for p in _probes(k, size)]] = 1
+        for i in range(0, len(self.filter_keys), 9):
+            bits[_probes(bytes(self.filter_keys[i : i + 9]), size)] = 1
         bloom = struct.pack("<Q", size) + np.packbits(bits).tobytes()
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QQ", at, n) for k, at, n in self.index)
         self.out.write(bloom + index)
@@ -186,7 +190,9 @@ def encoder(path: str):
 
     Its pre-tokenizer never joins text over white space or letters with marks, and its normaliser looks at no
     neighbours there, so the ids of a text are those of its white-space chunks in order, and those of a word with
-    marks after it are the word's and the marks'. A worker keeps the ids of the first CACHED_CHUNKS chunks.
+    marks after it are the word's and the marks', as long as the normalised word is letters alone: a letter may become
+    one and a mark, which joins what follows. A worker keeps the ids of the first CACHED_CHUNKS chunks of at most
+    CACHED_CHARS characters.
     """
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,7 +210,7 @@ def encoder(path: str):
         parts, plain, odd = {}, set(), set()
         for w in new:
             base = w.rstrip(MARKS)
-            if base.isalpha():
+            if base.isalpha() if base.isascii() else unicodedata.normalize("NFC", base).lower().isalpha():
                 parts[w] = (base, w[len(base) :])
                 plain.add(base)
                 odd.add(w[len(base) :])
@@ -216,8 +222,9 @@ def encoder(path: str):
         found = {w: known[parts[w][0]] + known[parts[w][1]] if w in parts else known[w] for w in new}
         chunks.update(found)
         out = [np.frombuffer(b"".join(map(chunks.__getitem__, words)), "<u4") for words in split]
-        if len(chunks) > CACHED_CHUNKS:
-            for w in found:
+        full = len(chunks) > CACHED_CHUNKS
+        for w in found:
+            if full or len(w) > CACHED_CHARS:
                 del chunks[w]
         return out
 
@@ -231,7 +238,7 @@ def _write(out_dir: str, tokenizer_path: str, end_id: int):
         store.create_dir(root)
         name, part, stream, writer = f"shard-{shard:06d}.sst", f"{root}/.shard-{shard:06d}-{attempt}", None, None
         last, n = object(), 0
-        for rows in parts:
+        for rows in slices(parts):
             encode = encoder(tokenizer_path)
             for doc_id, null, ids in zip(rows["id"], rows["no_id"], encode(list(rows["text"])), strict=True):
                 if writer is None:
@@ -257,7 +264,6 @@ def write_tables(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     are all kept, by text. An empty table writes no shard. Other columns are ignored. The list has a row a shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("no_id").desc(), F.col("id"), F.xxhash64("text")]
