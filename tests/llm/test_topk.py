@@ -27,7 +27,7 @@ def test_against_brute_force(spark, monkeypatch):
     queries = [0, 5, 9, 100, 1000, 2000, 2002, 2004, 2005, 2006]
     want = sorted(brute(rows, queries, 10))
     assert run(spark, rows, queries) == want
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "GROUP", 3)
     monkeypatch.setattr(topk, "SAMPLE", 5)
     assert run(spark, rows, queries) == want
 
@@ -41,3 +41,18 @@ def test_few_and_none(spark):
 def test_large_components(spark):
     rows = [(i, [float(2**18 + i % 3), float(i % 2)]) for i in range(30)]
     assert run(spark, rows, [3]) == brute(rows, [3], 10)
+
+
+def test_scores_beyond_floats_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.uniform(1e5, 3e5, 8)]) for i in range(60)]
+    assert run(spark, rows, [0, 7]) == sorted(brute(rows, [0, 7], 10))
+    wide = [(i, [float(x) for x in rng.uniform(-1e9, 1e9, 3)]) for i in range(40)]
+    most = 2**63 - 1
+    clipped = sorted((q, -min(max(s, -most), most), v) for q, _, v, s in brute(wide, [3], 100))[:10]
+    assert [(q, -s, v) for q, r, v, s in run(spark, wide, [3])] == clipped
+
+
+def test_components_beyond_longs_count_as_their_limits(spark):
+    got = run(spark, [(1, [1e300]), (2, [1e200]), (3, [-1e300]), (4, [1.0])], [1])
+    assert [r[2] for r in got] == [2, 4, 3] and got[0][3] == 2**63 - 1

@@ -1,10 +1,10 @@
 """Exact inner-product search: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-Components are quantised to floor(scale * x), so scores are integers. Vectors are dealt by ranges of their
-length. A task takes them in descending length and in blocks; a query is done with a block if the product of
-lengths cannot reach its threshold, and a pair if the sum over the leading rotated components plus the product
-of what is left of the two lengths cannot. The rotation and the first thresholds come from a bounded sample of
-the vectors; they decide how much is pruned, never what is found.
+Components are quantised to floor(scale * x), so scores are integers. Vectors are packed into blocks by descending
+length and queries into groups; blocks and groups meet in cells, a cell holding one group and streaming its blocks
+longest first. A query is done with a block if the product of lengths cannot reach its threshold, and a pair if the
+sum over the leading rotated components plus the product of what is left of the two lengths cannot. The rotation and
+the first thresholds come from a bounded sample of the vectors; they decide how much is pruned, never what is found.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import staged
+from veilgraph.plans.staging import discard, staged
 
-QUERY_BLOCK, SAMPLE, BLOCK, LEAD = 8192, 4096, 2048, 16
-#: Largest score that leaves a float room for the place in a block.
-EXACT = float(1 << 40)
+#: Queries of a group (about), vectors of the sample, vectors of a block and rotated components summed first.
+GROUP, SAMPLE, BLOCK, LEAD = 4096, 4096, 2048, 16
+NONE = np.iinfo(np.int64).min
+_TOP = np.iinfo(np.int64).max
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -38,60 +40,118 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-class _Queries:
-    """A block of queries with what the tasks need to prune."""
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact a @ b.T of integers held as doubles, as longs; what no long holds becomes the nearest but NONE."""
+    most = np.sqrt((a**2).sum(1).max(initial=0.0) * (b**2).sum(1).max(initial=0.0))
+    if most < 1 << 52:
+        return (a @ b.T).astype(np.int64)
+    if most < 1 << 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(a) @ whole(b).T, NONE + 1, _TOP).astype(np.int64)
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, sample_ids: np.ndarray, sample: np.ndarray) -> None:
-        self.ids, self.q, self.k = ids, q, k
-        self.turn = np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) else np.eye(q.shape[1])
-        rotated = q @ self.turn
-        self.lead, self.rest = np.ascontiguousarray(rotated[:, :LEAD]), np.sqrt((rotated[:, LEAD:] ** 2).sum(1))
-        self.norm = np.sqrt((q**2).sum(1))
-        self.floor = np.full(len(q), -np.inf)
-        if len(sample) > k:
-            scores = q @ sample.T
-            scores[ids[:, None] == sample_ids[None, :]] = -np.inf
-            self.floor = np.partition(scores, -k, axis=1)[:, -k]
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of each row and their ids, ties to smaller ids; ids ascend or are given a row each."""
+    if ids.ndim == 1 and scores.shape[1] > k and np.abs(scores, where=scores > NONE, out=np.zeros_like(scores)).max(initial=0) < 1 << 50:
+        ranked = np.where(scores > NONE, scores, -(1 << 50)) * BLOCK + np.arange(len(ids))[::-1]
+        top = np.argpartition(-ranked, k - 1, axis=1)[:, :k]
+        scores, ids = np.take_along_axis(scores, top, 1), ids[top]
+    ids = np.broadcast_to(ids, scores.shape)
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
 
-def _search(shared, width: int):
+def _blocks(width: int, cells: int):
+    """Vectors, longest first, as rows of up to BLOCK vectors dealt over the cells."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = shared.value
-        n, k = len(b.ids), b.k
-        best, owner = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        n = TaskContext.get().partitionId()
         for part in parts:
             for s in range(0, len(part), BLOCK):
-                ids, v = part["id"].to_numpy(np.int64)[s : s + BLOCK], _matrix(part["v"].to_numpy()[s : s + BLOCK], width)
-                norm = np.sqrt(part["norm2"].to_numpy()[s : s + BLOCK])
-                floor = np.maximum(b.floor, best[:, -1])
-                slack = 1e-9 * b.norm * norm.max() + 1e-6
-                open_q = np.flatnonzero(b.norm * norm.max() + slack >= floor)
-                if not len(open_q):
-                    continue
-                order = np.argsort(ids, kind="stable")
-                ids, v, norm = ids[order], v[order], norm[order]
-                r = v @ b.turn
-                bound = b.lead[open_q] @ r[:, :LEAD].T
-                bound += b.rest[open_q, None] * np.sqrt((r[:, LEAD:] ** 2).sum(1))
-                reach = bound + slack[open_q, None] >= floor[open_q, None]
-                rows, cols = reach.any(1), reach.any(0)
-                if not rows.any():
-                    continue
-                open_q, ids, v, reach = open_q[rows], ids[cols], v[cols], reach[np.ix_(rows, cols)]
-                scores = b.q[open_q] @ v.T
-                scores[~reach | (b.ids[open_q][:, None] == ids[None, :])] = -np.inf
-                if b.norm.max() * norm.max() < EXACT:
-                    ranked = scores * BLOCK + np.arange(len(ids))[::-1]  # equal scores: the smaller id first
-                    top = np.argpartition(-ranked, min(k, len(ids)) - 1, axis=1)[:, :k]
-                else:
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                both = np.concatenate([best[open_q], np.take_along_axis(scores, top, 1)], axis=1)
-                whose = np.concatenate([owner[open_q], ids[top]], axis=1)
-                pick = np.lexsort((whose, -both), axis=1)[:, :k]
-                best[open_q], owner[open_q] = np.take_along_axis(both, pick, 1), np.take_along_axis(whose, pick, 1)
-        i, j = np.nonzero((best > -np.inf) & (best >= b.floor[:, None]))
-        if len(i):
-            yield pd.DataFrame({"query_id": b.ids[i], "vec_id": owner[i, j], "score": best[i, j].astype(np.int64)})
+                p = part.iloc[s : s + BLOCK].sort_values("id", kind="stable")
+                n += 1
+                yield pd.DataFrame({"r": [n % cells], "kind": [1], "top": [float(np.sqrt(p["norm2"].max()))], "ids": [_bytes(p["id"].to_numpy(np.int64))], "v": [_bytes(_matrix(p["v"].to_numpy(), width))], "floor": [b""]})
+
+    return run
+
+
+def _groups(shared, width: int, k: int):
+    """The queries of a partition as one row, with the k-th best score in the sample for each."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = list(parts)
+        rows = pd.concat(every) if every else []
+        if not len(rows):
+            return
+        sample_ids, sample, _ = shared.value
+        ids, q = rows["id"].to_numpy(np.int64), _matrix(rows["v"].to_numpy(), width)
+        floor = np.full(len(q), NONE)
+        if len(sample) > k:
+            scores = products(q, sample)
+            scores[ids[:, None] == sample_ids[None, :]] = NONE
+            floor = np.partition(scores, -k, axis=1)[:, -k]
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "kind": [0], "top": [0.0], "ids": [_bytes(ids)], "v": [_bytes(q)], "floor": [_bytes(floor)]})
+
+    return run
+
+
+class _Cell:
+    """A group of queries and the best that its cell has found for each."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, turn: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.floor, self.turn, self.k = ids, q, floor, turn, k
+        rotated = q @ turn
+        self.lead, self.rest = np.ascontiguousarray(rotated[:, :LEAD]), np.sqrt((rotated[:, LEAD:] ** 2).sum(1))
+        self.norm = np.sqrt((q**2).sum(1))
+        self.best, self.owner = np.full((len(ids), k), NONE), np.full((len(ids), k), _TOP)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray, top: float) -> None:
+        floor = np.maximum(self.floor, self.best[:, -1])
+        low = np.where(floor > NONE, floor.astype(np.float64), -np.inf)
+        slack = 1e-9 * self.norm * top + 1e-6
+        open_q = np.flatnonzero(self.norm * top + slack >= low)
+        if not len(open_q):
+            return
+        r = v @ self.turn
+        bound = self.lead[open_q] @ r[:, :LEAD].T
+        bound += self.rest[open_q, None] * np.sqrt((r[:, LEAD:] ** 2).sum(1))
+        bound += (slack - low)[open_q, None]
+        reach = bound >= 0
+        rows, cols = reach.any(1), reach.any(0)
+        if not rows.any():
+            return
+        open_q, ids, v, reach = open_q[rows], ids[cols], v[cols], reach[np.ix_(rows, cols)]
+        scores = products(self.q[open_q], v)
+        scores[~reach | (self.ids[open_q][:, None] == ids[None, :])] = NONE
+        found, whose = best_of(scores, ids, self.k)
+        self.best[open_q], self.owner[open_q] = best_of(np.concatenate([self.best[open_q], found], 1), np.concatenate([self.owner[open_q], whose], 1), self.k)
+
+    def result(self) -> pd.DataFrame:
+        i, j = np.nonzero((self.best > NONE) & (self.best >= self.floor[:, None]))
+        return pd.DataFrame({"query_id": self.ids[i], "vec_id": self.owner[i, j], "score": self.best[i, j]})
+
+
+def _search(shared, width: int, k: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cell = None, None
+        for part in parts:
+            for row in part.itertuples(index=False):
+                if (row.g, row.r) != at:
+                    if cell is not None:
+                        yield cell.result()
+                    at, cell = (row.g, row.r), None
+                ids, v = np.frombuffer(row.ids, np.int64), np.frombuffer(row.v).reshape(-1, width)
+                if row.kind == 0:
+                    cell = _Cell(ids, v, np.frombuffer(row.floor, np.int64), shared.value[2], k)
+                elif cell is not None:
+                    cell.meet(ids, v, row.top)
+        if cell is not None:
+            yield cell.result()
 
     return run
 
@@ -101,32 +161,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     Rows whose identifier or vector is null, or whose vector holds null or non-finite components, take no part;
     shorter vectors count as padded with zeros. A vector with the query's identifier is not its candidate;
-    repeated candidates count each; of queries that share an identifier the least vector is used. Queries go to
-    the tasks in blocks of QUERY_BLOCK, each against all vectors; other columns are ignored.
+    repeated candidates count each; of queries that share an identifier the least vector is used. Scores are exact;
+    components and scores that no long holds count as the nearest that one does. Queries never pass the driver: they
+    are dealt to groups of about GROUP, and every group meets all blocks of vectors in cells. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BLOCK))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    usable = quantised(vectors, id_col, vec_col, scale)
+    usable, asked = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale)
+    asked = staged(asked.groupBy("id").agg(F.min("v").alias("v")), "queries")
+    count, wide = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    sample = usable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("w")).first()
+    width = max(1, wide, sample["w"])
+    share = min(1.0, 2.0 * SAMPLE / max(1, sample["n"]))
+    picked = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("id", "v").collect()
+    sample_v = _matrix([r["v"] for r in picked], width)
+    turn = np.linalg.svd(sample_v, full_matrices=True)[2].T if len(picked) else np.eye(width)
+    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in picked], np.int64), sample_v, turn))
+    groups = max(1, -(-count // GROUP))
+    cells = max(1, n // groups)
     longest = F.col("norm2").desc()
-    table = staged(usable.repartitionByRange(n, longest, "id").sortWithinPartitions(longest, "id"), "vectors")
-    width = table.agg(F.max(F.size("v"))).first()[0] or 1
-    sample = table.orderBy(F.xxhash64("id"), "v").limit(SAMPLE).collect()
-    sample_ids, sample_v = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], width)
-    asked = quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    found = None
-
-    def block(rows: list) -> DataFrame:
-        q = _matrix([r["v"] for r in rows], width)
-        shared = spark.sparkContext.broadcast(_Queries(np.array([r["id"] for r in rows], np.int64), q, k, sample_ids, sample_v))
-        return table.mapInPandas(_search(shared, width), "query_id long, vec_id long, score long")
-
-    rows: list = []
-    for row in asked.toLocalIterator():
-        rows.append(row)
-        if len(rows) == QUERY_BLOCK:
-            found, rows = block(rows) if found is None else found.unionByName(block(rows)), []
-    if rows or found is None:
-        found = block(rows) if found is None else found.unionByName(block(rows))
+    placed = usable.repartitionByRange(n, longest, "id").sortWithinPartitions(longest, "id")
+    blocks = placed.mapInPandas(_blocks(width, cells), "r int, kind int, top double, ids binary, v binary, floor binary")
+    q = staged(asked.repartition(groups, "id").mapInPandas(_groups(shared, width, k), "g int, kind int, top double, ids binary, v binary, floor binary"), "groups")
+    every = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)
+    met = q.select("g", every("r", cells), "kind", "top", "ids", "v", "floor").unionByName(blocks.select(every("g", groups), "r", "kind", "top", "ids", "v", "floor"))
+    ordered = met.repartition(n, "g", "r").sortWithinPartitions("g", "r", "kind", F.col("top").desc())
+    found = staged(ordered.mapInPandas(_search(shared, width, k), "query_id long, vec_id long, score long"), "found")
+    discard(asked)
+    discard(q)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
