@@ -23,7 +23,7 @@ def edited(rng, text, n):
 def align(x, item):
     """Whether n item characters align with a part of x in budget: the whole table, for each start in the item."""
     n = min(D.STRETCH, len(item))
-    budget = D.EDITS * n // D.STRETCH
+    budget = min(D.EDITS * n // D.STRETCH, n // D.Q - 1)
     starts = len(item) - n + 1
     cost = np.zeros((starts, len(x) + 1), np.int32)
     rows = np.array([[ord(c) for c in item[s : s + n]] for s in range(starts)])
@@ -44,7 +44,7 @@ def brute(text, rows):
 
 def test_planted_and_clean():
     rng = np.random.default_rng(3)
-    items = [(str(i), words(rng, 40)) for i in range(8)] + [("short", words(rng, 6)), ("none", None), ("tiny", "abc")]
+    items = [(str(i), words(rng, 40)) for i in range(8)] + [("short", words(rng, 6)), ("none", None), ("tiny", "xyz")]
     index = D.build(items)
     for k in range(40):
         i, edits = rng.integers(8), int(rng.integers(0, 5))
@@ -60,6 +60,38 @@ def test_planted_and_clean():
     assert [h[0] for h in D.leaks("x " + items[8][1] + " y", index)] == ["short"]
 
 
+def test_short_items():
+    rng = np.random.default_rng(8)
+    for n in (12, 17, 23, 24, 33, 35, 36, 47, 60, 79):
+        item = (words(rng, 30)[: n - 1] + "q")[:n]
+        index, budget = D.build([("i", item)]), min(D.EDITS * n // D.STRETCH, n // D.Q - 1)
+        for edits in range(budget + 3):
+            for _ in range(12):
+                text = words(rng, 12) + " " + edited(rng, item, edits) + " " + words(rng, 12)
+                assert {h[0] for h in D.leaks(text, index)} == brute(text, [("i", item)])
+    index = D.build([("a", "to be"), ("b", "Be?"), ("c", "..."), ("d", "to be or no"), ("e", "to be")])
+    got = {h[0]: h[1:] for h in D.leaks("So: TO  be, it", index)}
+    assert got == {"a": (4, 10, 0), "e": (4, 10, 0), "b": (8, 10, 0)}
+    assert D.leaks("tobe", index) == [] and D.leaks("", index) == []
+
+
+def test_repeats_stay_small():
+    index = D.build([("a", "a" * 3000), ("b", "ab" * 1500 + "x")])
+    assert {h[0] for h in D.leaks("a" * 20000, index)} == {"a"}
+    assert {h[0] for h in D.leaks("ba" * 9000, index)} == {"b"}
+    assert D.leaks(("a" * 40 + " zq ") * 300, D.build([("c", "a" * 30 + "y" * 60)])) == []
+
+
+def test_parts_find_what_one_part_finds(monkeypatch):
+    rng = np.random.default_rng(9)
+    items = [(str(i), words(rng, 40)) for i in range(3)]
+    index = D.build(items)
+    text = " ".join(words(rng, 20) + " " + items[i % 3][1] for i in range(6))
+    one = {h[0] for h in D.leaks(text, index)}
+    monkeypatch.setattr(D, "PAIRS", 10)
+    assert {h[0] for h in D.leaks(text, index)} == one == {"0", "1", "2"}
+
+
 def test_table(spark):
     rng = np.random.default_rng(4)
     items = [(i, words(rng, 30), "x") for i in range(3)] + [(9, None, "x"), (None, words(rng, 30), "x")]

@@ -5,7 +5,9 @@ that a document repeats with at most EDITS edits shares at least STRETCH + 1 - Q
 all on diagonals at most EDITS apart. So shared q-grams are counted in bands of diagonals that overlap by
 EDITS; where a band holds that many within one stretch, each of its runs of q-grams is extended either way by a
 banded alignment of up to EDITS edits, and the item leaks if a run and its extensions make a stretch within the
-budget. A stretch in budget holds a whole run, so none is missed. Items shorter than a stretch must leak whole.
+budget. A stretch in budget holds a whole run, so none is missed. Items shorter than a stretch must leak whole, with
+EDITS in proportion to their length, but never more edits than leave a shared q-gram; items shorter than a q-gram must
+stand in the document word for word.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import small_batches
+from veilgraph.llm.batches import slices
 
 Q, STRETCH, EDITS = 12, 80, 5
 #: Benchmark characters that a task holds at once; a larger benchmark is searched block by block.
 BLOCK_CHARS = 4_000_000
+#: Pairs of equal q-grams that are looked at together, and places by which such parts of a document overlap.
+PAIRS, OVERLAP = 1_000_000, STRETCH + 2 * EDITS
 _FILTER_BITS = 22
 _tables: list[np.ndarray] = []
 
@@ -63,26 +67,35 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items, sorted, with the item and place of each."""
+    """The q-grams of a block of items, sorted, with the item and place of each; words are the items without one."""
 
     ids: list
     items: list[str]
+    words: dict[int, dict[str, list]]
     stretch: np.ndarray
+    budget: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
     filter: np.ndarray
 
 
+def points(x: np.ndarray) -> str:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "replace")
+
+
 def build(rows: list[tuple]) -> Index:
-    """Of (id, text) rows; items without a whole q-gram are left out."""
-    ids, items = [], []
+    """Of (id, text) rows; items without a letter or digit are left out."""
+    ids, items, words = [], [], {}
     for i, t in rows:
         x, _ = normalise(t)
         x = x[:-1] if len(x) and x[-1] == 32 else x
         if len(x) >= Q:
             ids.append(i)
             items.append(x)
+        elif len(x):
+            w = points(x)
+            words.setdefault(w.count(" ") + 1, {}).setdefault(w, []).append(i)
     grams = [qgrams(x) for x in items]
     h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
@@ -90,9 +103,9 @@ def build(rows: list[tuple]) -> Index:
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
     seen[h >> np.uint64(64 - _FILTER_BITS)] = True
-    strings = [x.astype("<u4").tobytes().decode("utf-32-le") for x in items]
     stretch = np.minimum(STRETCH, np.array([len(x) for x in items], dtype=np.int64))
-    return Index(ids, strings, stretch, h[order], owner[order], place[order], seen)
+    budget = np.minimum(EDITS * stretch // STRETCH, stretch // Q - 1)
+    return Index(ids, [points(x) for x in items], words, stretch, budget, h[order], owner[order], place[order], seen)
 
 
 def reach(a: str, b: str, budget: int) -> list[tuple[int, int]]:
@@ -131,60 +144,101 @@ def verify(x: str, item: str, p: int, o: int, length: int, n: int, budget: int)
     return None
 
 
-def leaks(text: str | None, index: Index) -> list[tuple]:
-    """(item id, start, end, edits) of each item that the text leaks, at its first region in the order of bands."""
-    if not len(index.hashes):
-        return []
+def short_leaks(x: np.ndarray, where: np.ndarray, index: Index) -> list[tuple]:
+    """As leaks(), for the items that are shorter than a q-gram: their first whole-word occurrence."""
+    text = points(x)
+    ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+    starts = [0] + [e + 1 for e in ends[:-1]]
+    found: dict = {}
+    for n, items in index.words.items():
+        for i in range(len(starts) - n + 1):
+            s, e = starts[i], ends[i + n - 1]
+            if e - s < Q and e > s:
+                for item in items.get(text[s:e], ()):
+                    found.setdefault(item, (item, int(where[s]), int(where[e - 1]) + 1, 0))
+    return list(found.values())
+
+
+def _parts(n: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the places p that share q-grams, of about PAIRS pairs each, overlapping by OVERLAP places."""
+    total, s = np.cumsum(n), 0
+    while True:
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PAIRS, "right")))
+        e = max(e, int(np.searchsorted(p, p[s] + 2 * OVERLAP)))
+        yield s, min(e, len(p))
+        if e >= len(p):
+            return
+        s = int(np.searchsorted(p, p[e] - OVERLAP))
+
+
+def leaks(text: str | None, index: Index, one: bool = False) -> list[tuple]:
+    """(item id, start, end, edits) of each item that the text leaks, at its first region found; if `one`, of one item.
+
+    Documents go part by part, so that repeats in text and item cost bounded memory, and an item that was found in a
+    part is not looked for in those after it.
+    """
     x, where = normalise(text)
+    found = short_leaks(x, where, index) if index.words and len(x) else []
+    if not len(index.hashes) or (one and found):
+        return found
     h = qgrams(x)
     p = np.flatnonzero(index.filter[h >> np.uint64(64 - _FILTER_BITS)])
     if not len(p):
-        return []
+        return found
     a, b = (np.searchsorted(index.hashes, h[p], side) for side in ("left", "right"))
-    n = b - a
-    if not n.any():
-        return []
+    some = b > a
+    p, a, n = p[some], a[some], (b - a)[some]
+    if not len(p):
+        return found
+    string, done = points(x), np.zeros(len(index.ids), bool)
+    for s, e in _parts(n, p):
+        for o, hit in _part_leaks(string, p[s:e], a[s:e], n[s:e], index, done):
+            done[o] = True
+            found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
+            if one:
+                return found
+    return found
+
+
+def _part_leaks(text: str, p: np.ndarray, a: np.ndarray, n: np.ndarray, index: Index, done: np.ndarray) -> Iterator[tuple]:
+    """(item, (start, end, edits)) of the items not yet done that leak where places p share n q-grams from a on."""
     p = np.repeat(p, n)
     k = np.repeat(a - np.cumsum(n) + n, n) + np.arange(len(p))
     owner, place = index.owner[k], index.place[k]
-    diagonal, wide = p - place, 4 * EDITS
-    band = diagonal // wide
-    second = diagonal - band * wide < EDITS  # also the top of the band below, which reaches EDITS up
-    owner, p, band = np.r_[owner, owner[second]], np.r_[p, p[second]], np.r_[band, band[second] - 1]
-    place = np.r_[place, place[second]]
+    left = ~done[owner]
+    owner, place, p = owner[left], place[left], p[left]
+    wide = 4 * EDITS
+    band = (p - place) // wide
+    second = p - place - band * wide < EDITS  # also the top of the band below, which reaches EDITS up
+    owner, p, band, place = np.r_[owner, owner[second]], np.r_[p, p[second]], np.r_[band, band[second] - 1], np.r_[place, place[second]]
     order = np.lexsort((p, band, owner))
     owner, p, band, place = owner[order], p[order], band[order], place[order]
     stretch = index.stretch[owner]
-    bound = np.maximum(1, stretch + 1 - Q * (EDITS * stretch // STRETCH + 1))
+    bound = stretch + 1 - Q * (index.budget[owner] + 1)
     last = np.arange(len(p)) + bound - 1
     inside = last < len(p)
     last = np.minimum(last, len(p) - 1)
     good = inside & (owner[last] == owner) & (band[last] == band) & (p[last] - p <= stretch + EDITS - Q)
-    if not good.any():
-        return []
-    found, done, points = [], set(), None
+    met: set = set()
     for o, d in dict.fromkeys(zip(owner[good].tolist(), band[good].tolist(), strict=True)):
-        if o in done:
+        if o in met:
             continue
-        points = points or x.astype("<u4").tobytes().decode("utf-32-le", "replace")
         s, e = np.searchsorted(owner, [o, o + 1])
         here = s + np.flatnonzero(band[s:e] == d)
         here = here[np.lexsort((p[here], p[here] - place[here]))]
         q, r = p[here], place[here]
         first = np.flatnonzero(np.r_[True, (np.diff(q) != 1) | (np.diff(r) != 1)])
-        n = int(index.stretch[o])
-        for a, b in zip(first, np.r_[first[1:], len(q)], strict=True):  # runs of q-grams on a diagonal
-            hit = verify(points, index.items[o], int(q[a]), int(r[a]), int(q[b - 1] - q[a]) + Q, n, EDITS * n // STRETCH)
+        for i, j in zip(first, np.r_[first[1:], len(q)], strict=True):  # runs of q-grams on a diagonal
+            hit = verify(text, index.items[o], int(q[i]), int(r[i]), int(q[j - 1] - q[i]) + Q, int(index.stretch[o]), int(index.budget[o]))
             if hit:
-                done.add(o)
-                found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
+                met.add(o)
+                yield o, hit
                 break
-    return found
 
 
 def _search(index: Index):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in slices(parts):
             rows = [(i, *hit) for i, null, t in zip(part["id"], part["no_id"], part["text"], strict=True) for hit in leaks(t, index) for i in [None if null else int(i)]]
             if rows:
                 yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "item_id": [r[1] for r in rows], "start": [r[2] for r in rows], "stop": [r[3] for r in rows], "edits": [r[4] for r in rows]})
@@ -203,27 +257,36 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Inde
     yield build(rows)
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
+    return (docs.sparkSession.sparkContext.broadcast(index) for index in _blocks(benchmark, item_col, item_text))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, stop, edits): each document and benchmark item that it leaks, with the region.
 
-    No shuffle: every block of the benchmark, BLOCK_CHARS at most, goes to the tasks that read the documents.
-    Null texts leak nothing and null items are not searched for; repeated rows are reported each; null
-    identifiers stay null. item_id is text. start and stop are code points of the document. Other columns are
-    ignored.
+    No shuffle: every block of the benchmark, BLOCK_CHARS at most, goes to the tasks that read the documents, which are
+    read once a block. Null texts leak nothing and null items and those without a letter or digit are not searched for;
+    repeated rows are reported each; null identifiers stay null. item_id is text. start and stop are code points of the
+    document. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
     out = None
-    for index in _blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(index)
+    for shared in _shared(docs, benchmark, item_col, item_text):
         part = rows.mapInPandas(lambda parts, shared=shared: _search(shared.value)(parts), "doc_id long, item_id string, start int, stop int, edits int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose identifier leaks no item; rows without an identifier are judged by their text."""
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.xxhash64(docs[id_col], docs[text_col]).alias("_key"), docs[text_col].alias("_text"))
-    bad = find_leaks(marked, benchmark, "_key", "_text").select("doc_id").distinct()
-    return marked.join(bad, marked["_key"] == bad["doc_id"], "left_anti").select("_row.*")
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs whose text leaks no item; no shuffle, and what one block drops the next does not read."""
+
+    def clean(shared):
+        @F.pandas_udf("boolean")
+        def of(texts: pd.Series) -> pd.Series:
+            return pd.Series([not leaks(t, shared.value, one=True) for t in texts])
+
+        return of
+
+    for shared in _shared(docs, benchmark, item_col, item_text):
+        docs = docs.where(clean(shared)(docs[text_col]))
+    return docs
