@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.staging import discard, small_batches, staged
+from veilgraph.plans.staging import discard, staged
 
 #: Generator polynomial of the (23, 12) Golay code, its length and covering radius.
 GENERATOR, LENGTH, RADIUS = 0xC75, 23, 3
@@ -43,8 +43,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, fp): fp is the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
@@ -173,7 +171,6 @@ def _compare(bits: int):
 def _links(prints: DataFrame, bits: int) -> DataFrame:
     """(u, v): links that join the distinct fingerprints (fp) at most `bits` apart into their groups."""
     spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     copies = prints.mapInPandas(_replicas(bits), "anchor long, fp long, away boolean")
     return copies.repartition(n, "anchor").sortWithinPartitions("anchor", "away").mapInPandas(_compare(bits), "u long, v long")
@@ -244,8 +241,13 @@ def _popular(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np
     return names[order], rows["count"].to_numpy(np.int64)[order]
 
 
+def _names(id_col: str, text_col: str) -> list:
+    """Two hashes that know a row by its identifier and text."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2")]
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row_key, id, group): rows known by a hash of id and text, and the group that each is in.
+    """(k1, k2, id, group): rows known by two hashes of id and text, and the group that each is in.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are
     what links join, and no such pair is lost. Texts of equal sets are met once. Two sets of the similarity share a
@@ -254,7 +256,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not joined are met, and those that share enough of their prefixes compared.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     popular = spark.sparkContext.broadcast(_popular(docs, text_col, words))
 
     @F.pandas_udf("same binary, n long, prefix array<long>")
@@ -271,25 +272,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
 
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), *_names(id_col, text_col), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "k1", "k2", "id", "x.*"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that have the similarity."""
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-        texts = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(asked, "k", "left_semi").dropDuplicates(["k"])
-        sets = staged(texts.select("k", shingles("t").alias("s")), "shingles")
-        held = pairs.join(sets.select(F.col("k").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("q")), "v")
+        """Those of the pairs (u, v) of rows that have the similarity."""
+        asked = seen.select("row", "k1", "k2").join(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row")
+        texts = docs.select(*_names(id_col, text_col), F.col(text_col).alias("t")).join(asked, ["k1", "k2"]).dropDuplicates(["row"])
+        sets = staged(texts.select("row", shingles("t").alias("s")), "shingles")
+        held = pairs.join(sets.select(F.col("row").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("row").alias("v"), F.col("s").alias("q")), "v")
         out = staged(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"), "linked")
         discard(sets)
         return out
 
-    seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), key.alias("row_key"), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "row_key", "id", "x.*"), "sets")
-    classes = staged(seen.groupBy("same").agg(F.min(F.struct("row", "row_key")).alias("r")).select("same", "r.row", F.col("r.row_key").alias("rep")), "classes")
-    heads = seen.join(classes.select("row"), "row", "left_semi")
+    classes = staged(seen.groupBy("same").agg(F.min("row").alias("rep")), "classes")
+    heads = seen.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     by_shingle = Window.partitionBy("shingle")
-    met = heads.select(F.col("row_key").alias("k"), F.explode("prefix").alias("shingle")).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1").drop("c")
+    met = heads.select(F.col("row").alias("k"), F.explode("prefix").alias("shingle")).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1").drop("c")
     shared = staged(met, "shared")
-    rated = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).join(heads.select(F.col("row_key").alias("k"), "n", F.size("prefix").cast("long").alias("p")), "k")
+    rated = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).join(heads.select(F.col("row").alias("k"), "n", F.size("prefix").cast("long").alias("p")), "k")
     spots = staged(shared.join(rated, "k"), "spots")
     discard(shared)
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
@@ -311,7 +311,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = linked(staged(enough.select(F.col("k1").alias("u"), F.col("k2").alias("v")), "pairs"))
     comp = connected_components(first.unionByName(rest))
     groups = classes.join(comp, classes["rep"] == comp["node"], "left").select("same", F.coalesce("component", "rep").alias("group"))
-    return seen.join(groups, "same").select("row_key", "id", "group")
+    return seen.join(groups, "same").select("k1", "k2", "id", "group")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -320,10 +320,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Of rows equal in identifier and text one is kept. Texts without words are copies of each other.
     """
     groups = staged(near_groups(docs, id_col, text_col, words, similarity), "groups")
-    best = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("best")).select(F.col("best.row_key").alias("_kept"))
-    kept = docs.join(best, F.xxhash64(docs[id_col], docs[text_col]) == best["_kept"], "left_semi")
-    again = groups.join(best, groups["row_key"] == best["_kept"], "left_semi").groupBy("row_key").count().where("count > 1")
-    return kept.dropDuplicates([id_col, text_col]) if again.limit(1).count() else kept
+    key = ["k1", "k2"]
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key)).alias("best")).select("best.k1", "best.k2")
+    again = groups.join(best, key, "left_semi").groupBy(*key).count().where("count > 1")
+    one, two = (c.alias(n) for c, n in zip(_names(id_col, text_col), ("_k1", "_k2"), strict=True))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), one, two)
+    kept = marked.join(best.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_semi")
+    kept = kept.dropDuplicates(["_k1", "_k2"]) if again.limit(1).count() else kept
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 __all__ = ["anchors", "fingerprint", "fingerprints", "keep_one", "near_groups", "prefix", "simhash_groups"]
