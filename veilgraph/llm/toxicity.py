@@ -20,12 +20,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import small_batches
-
 WINDOW, LEVEL, BASE_WORDS = 24, 6, 256
 STEMS = (4, 6)
-#: Bounds of the training sample, in labelled documents of each class and characters of a document.
-TOXIC_DOCS, ORDINARY_DOCS, TRAIN_CHARS = 2000, 4000, 20_000
+#: Bounds of the training sample, in labelled documents of each class.
+TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
 MIN_RATIO, MIN_Z, MIN_SHARE = 20.0, 5.0, 0.012
 _WORD = re.compile(r"\w+")
 _made: dict = {}
@@ -145,20 +143,22 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from at most TOXIC_DOCS and ORDINARY_DOCS labelled rows outside the held-out third, in hash order.
 
-    Longer texts than TRAIN_CHARS teach nothing. Null labels and texts are left out.
+    Null labels and texts are left out, and so are documents labelled both ways. Rows that share an identifier all
+    teach; near copies teach once (see _distinct).
     """
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).distinct()
-    chosen = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))]
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"), F.min("toxic").alias("_least")).where("_toxic = _least")
+    chosen = [known.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n).select("_id", "_toxic") for c, n in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= TRAIN_CHARS).join(ids, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).join(ids, "_id")
     got = sorted(rows.select("_id", "_text", "_toxic").collect())
     return fit_texts([r[1] for r in got if r[2] == 1], [r[1] for r in got if r[2] == 0])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
-    """docs with a column `to`: the chance, 0 to 1, that a text is toxic; null and empty texts have no window."""
-    small_batches(docs.sparkSession)
+    """docs with a column `to`, in place of one of that name: the chance, 0 to 1, that a text is toxic.
 
+    Null and empty texts have no window and get the chance that follows from the constant alone.
+    """
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(model, texts))
