@@ -8,6 +8,8 @@ home anchor of either, whatever the other 18 bits are, and are compared there on
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.llm.batches import slices
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import discard, staged
 
@@ -201,6 +204,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Texts whose shingles are counted to tell popular ones, a shingle's least count there, and the most that are told. They steer
 #: the work and not the result: any order of shingles that all texts share finds every pair.
 SAMPLE, POPULAR, MOST_POPULAR = 30000, 3, 200000
+#: Words of the sketch by which pairs of texts that differ too much are told before they leave the join.
+SKETCH = 8
 
 
 def shingle_set(text: str | None, words: int) -> bytes:
@@ -225,22 +230,48 @@ def prefix(hashes: np.ndarray, popular: tuple[np.ndarray, np.ndarray], similarit
     return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words of 64 bits, each bit the parity of the shingles that fall on it.
+
+    Two sets whose sketches differ in d bits differ in d shingles at least.
+    """
+    return np.packbits(np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+def _shingle_rows(words: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(parts):
+            yield pd.DataFrame({"s": np.concatenate([np.frombuffer(shingle_set(t, words), ">u8").astype(np.uint64).view(np.int64) for t in part["t"]])})
+
+    return run
+
+
 def _popular(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a sample of distinct texts have, ascending, and their counts."""
     mark = F.xxhash64(F.col(text_col))
     part = docs.select(F.col(text_col).alias("t"), mark.alias("m")).where(F.pmod("m", F.lit(max(1, docs.count() // SAMPLE))) == 0)
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(shingle_set(t, words), ">u8").astype(np.uint64).view(np.int64) for t in texts])
-
-    counts = part.dropDuplicates(["m"]).select(F.explode(shingles("t")).alias("s")).groupBy("s").count().where(F.col("count") >= POPULAR)
+    counts = part.dropDuplicates(["m"]).select("t").mapInPandas(_shingle_rows(words), "s long").groupBy("s").count().where(F.col("count") >= POPULAR)
     rows = counts.orderBy(F.col("count").desc(), "s").limit(MOST_POPULAR).toPandas()
     names = rows["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     return names[order], rows["count"].to_numpy(np.int64)[order]
 
 
+def _described(text: str | None, popular: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> tuple:
+    """A digest of a text's set, its size, its prefix and its sketch."""
+    data = shingle_set(text, words)
+    hashes = np.frombuffer(data, ">u8").astype(np.uint64)
+    return xxhash.xxh3_128_digest(data), len(hashes), prefix(hashes, popular, similarity).view(np.int64), *sketch(hashes).tolist()
+
+
+def _set_bytes(words: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(parts):
+            yield pd.DataFrame({"row": part["row"], "s": [shingle_set(t, words) for t in part["t"]]})
+
+    return run
+
+
 def _names(id_col: str, text_col: str) -> list:
     """Two hashes that know a row by its identifier and text."""
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2")]
@@ -253,32 +284,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     what links join, and no such pair is lost. Texts of equal sets are met once. Two sets of the similarity share a
     shingle of their prefixes, and nearly all of these are in one prefix only. Of those that share a shingle each is
     first compared with the text that shares most of its prefix, as an original does; then all pairs that this has
-    not joined are met, and those that share enough of their prefixes compared.
+    not joined are met, and those that share enough of their prefixes compared; of these the join itself lets go all that
+    sketches show to differ too much, so that a large group under the similarity leaves few rows.
     """
     spark = docs.sparkSession
     popular = spark.sparkContext.broadcast(_popular(docs, text_col, words))
 
-    @F.pandas_udf("same binary, n long, prefix array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        first = [prefix(np.frombuffer(s, ">u8").astype(np.uint64), popular.value, similarity).view(np.int64) for s in sets]
-        return pd.DataFrame({"same": [xxhash.xxh3_128_digest(s) for s in sets], "n": [len(s) // 8 for s in sets], "prefix": first})
-
-    @F.pandas_udf("binary")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words) for t in texts])
-
     @F.pandas_udf("double")
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
 
+    bits = [f"b{i}" for i in range(SKETCH)]
+    columns = ["same", "n", "prefix", *bits]
+
+    @F.pandas_udf(f"same binary, n long, prefix array<long>, {', '.join(f'{b} long' for b in bits)}")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_described(t, popular.value, words, similarity) for t in texts], columns=columns)
+
     seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), *_names(id_col, text_col), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "k1", "k2", "id", "x.*"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) of rows that have the similarity."""
         asked = seen.select("row", "k1", "k2").join(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row")
         texts = docs.select(*_names(id_col, text_col), F.col(text_col).alias("t")).join(asked, ["k1", "k2"]).dropDuplicates(["row"])
-        sets = staged(texts.select("row", shingles("t").alias("s")), "shingles")
+        sets = staged(texts.select("row", "t").mapInPandas(_set_bytes(words), "row long, s binary"), "shingles")
         held = pairs.join(sets.select(F.col("row").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("row").alias("v"), F.col("s").alias("q")), "v")
         out = staged(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"), "linked")
         discard(sets)
@@ -300,11 +329,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = connected_components(first)
     named = spots.join(comp.withColumnRenamed("node", "k"), "k", "left").select("shingle", "k", "n", "p", F.coalesce("component", "k").alias("c"))
     apart = named.withColumn("low", F.min("c").over(by_shingle)).withColumn("high", F.max("c").over(by_shingle)).where("low < high").drop("low", "high")
-    apart = staged(apart, "apart")
+    apart = staged(apart.join(seen.select(F.col("row").alias("k"), *bits), "k"), "apart")
     discard(spots)
-    x = apart.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("k", "n", "p", "c")])
-    y = apart.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("k", "n", "p", "c")])
-    both = x.join(y, "shingle").where((F.col("k1") < F.col("k2")) & (F.col("c1") != F.col("c2")) & fits(F.col("n1"), F.col("n2")))
+    held = ("k", "n", "p", "c", *bits)
+    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in held]).withColumnsRenamed({f"{c}_{i}": f"{c}{i}" for c in held[:4]}) for i in (1, 2))
+    differ = functools.reduce(operator.add, [F.bit_count(F.col(f"{b}_1").bitwiseXOR(F.col(f"{b}_2"))) for b in bits])
+    near = fits(F.col("n1"), F.col("n2")) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n1") + F.col("n2")) + 1e-6)
+    both = x.join(y, "shingle").where((F.col("k1") < F.col("k2")) & (F.col("c1") != F.col("c2")) & near)
     # What a pair shares is in both prefixes or in what follows one of them.
     need = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6 - F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     enough = both.groupBy("k1", "k2", "n1", "n2", "p1", "p2").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") >= need)
