@@ -37,3 +37,69 @@ def test_learns_from_contexts(spark):
     assert got[0]["spans"] == "phone:27:44" and got[0]["n_phone"] == 1
     assert got[60]["spans"] == "email:200000:200007" and got[54]["spans"] == "phone:4:15"
     assert pii.find(docs.limit(0)).collect() == []
+
+
+def brute_spans(texts):
+    """The bootstrap by plain loops over all patterns and values: text number -> spans learned."""
+    seen = [(n, *x) for n, t in enumerate(texts) for x in pii.instances(t or "", pii.base_spans(t or ""))]
+    values = {}
+    for _, _, _, _, patterns, value in seen:
+        for p in patterns:
+            values.setdefault(p, set()).add(value)
+    score = {(value, kind): 1.0 for _, kind, _, _, _, value in seen if kind is not None}
+    good = {}
+    while True:
+        new = {}
+        for p, vs in values.items():
+            for k in range(5):
+                got = [score[v, k] for v in vs if (v, k) in score]
+                if len(got) >= pii.SUPPORT and sum(got) >= pii.TRUST * len(vs):
+                    new[p, k] = sum(got) / len(vs)
+        if len(new) == len(good):
+            good = new
+            break
+        good = new
+        for _, kind, _, _, patterns, value in seen:
+            for p in patterns:
+                for k in range(5):
+                    if kind is None and (p, k) in good:
+                        score[value, k] = max(score.get((value, k), 0), good[p, k])
+    out = {}
+    for n, kind, s, e, patterns, _ in seen:
+        found = sorted((-good[p, k], k) for p in patterns for k in range(5) if (p, k) in good)
+        if kind in (None, pii.SECRET) and found:
+            out.setdefault(n, set()).add((found[0][1], s, e))
+    return out
+
+
+def test_learned_spans_equal_plain_loops(spark):
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    forms = {
+        "call me:": [lambda: f"+1 (555) {some(3)}-{some(4)}"] * 4 + [lambda: f"(555) {some(3)} {some(4)}"],
+        'token = "': [lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))] * 4 + [lambda: f"x-{some(5)}"],
+        "mail to": [lambda: f"a{some(2)}@b.org"] * 4 + [lambda: f"a{some(2)}@local"],
+        "host is": [lambda: f"10.0.{rng.randrange(256)}.7"] * 4 + [lambda: f"10.0.999.{some(2)}"],
+        "ref no": [lambda: some(6)],
+        "and then": [lambda: some(6), lambda: f"a{some(2)}@b.org"],
+    }
+
+    def piece():
+        lead = rng.choice(list(forms))
+        return f"w{rng.choice('abc')} {lead}{'' if lead[-1] == chr(34) else ' '}{rng.choice(forms[lead])()} end"
+
+    texts = [f"{piece()} {piece()}" for _ in range(150)] + [None, ""]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_spans(texts)
+    assert sum(map(len, want.values())) > 20
+    for n, t in enumerate(texts):
+        every = sorted([*pii.base_spans(t or ""), *want.get(n, ())])
+        assert got[n]["spans"] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in every)
+        assert got[n]["n_learned"] == len(want.get(n, ()))
+
+
+def test_secrets_by_context():
+    text = 'key = "' + "0a" * 20 + '" and (555) 010-4477, 12'
+    found = pii.instances(text, pii.base_spans(text))
+    assert [(k, text[s:e]) for k, s, e, _, _ in found] == [(pii.SECRET, "0a" * 20), (None, "(555) 010-4477")]
+    assert found[0][3] == ['1 "', '2 = "', '3 key = "']
