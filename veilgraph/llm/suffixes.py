@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import new_path, small_batches, staged
+from veilgraph.llm.batches import slices
+from veilgraph.plans.staging import discard, new_path, staged
 
 WIDTH, GRAM, WORD = 200, 32, 8
 PLACES = WIDTH - GRAM + 1
@@ -30,7 +31,8 @@ SHALLOW = 4
 BUCKET_RUNS, BATCH = 512, 100_000
 #: Windows of a piece of a run in a bucket too large for that.
 PIECE = 8
-_LOW = np.uint64((1 << 28) - 1)
+#: Places take 34 bits of an anchor's hash; a text has fewer bytes than that in Spark. Lengths take 31 bits of a key.
+_LOW, _LENGTH = np.uint64((1 << 34) - 1), (1 << 31) - 1
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ def _key(record, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _each(parts: Iterator[pd.DataFrame], one, columns: list[str], rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Frames of the columns that one(record) gives as arrays."""
     held, size = [], 0
-    for part in parts:
+    for part in slices(parts):
         for record in part.itertuples(index=False):
             got = one(record)
             if len(got[0]):
@@ -107,7 +109,7 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of runs that are to be sorted."""
-    for part in parts:
+    for part in slices(parts):
         rows = [(x["hash"], r.id, r.n_bytes, x["packed"], x["whole"], r.data[f : e + WIDTH]) for r in part.itertuples(index=False) for x in r.runs for f, e in [map(int, _unpack(np.int64(x["packed"]))[1:])]]
         if rows:
             yield pd.DataFrame(rows, columns=["hash", "id", "n_bytes", "packed", "whole", "data"])
@@ -230,7 +232,7 @@ def _sort(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Bytes and runs removed from each class and the SHA-256 of what is left."""
-    for part in parts:
+    for part in slices(parts):
         rows = []
         for r in part.itertuples(index=False):
             kept, at, runs, gone = hashlib.sha256(), 0, 0, 0
@@ -249,34 +251,38 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _bucketed(spark: SparkSession, df: DataFrame, n: int) -> DataFrame:
-    """df as a table in the warehouse, bucketed by id and n_bytes: joins on both move only the other side."""
-    name = new_path(spark, "t").rsplit("/", 1)[1].replace("-", "_")
-    df.write.bucketBy(n, "id", "n_bytes").saveAsTable(name, format="parquet")
-    return spark.table(name)
+def _bucketed(spark: SparkSession, df: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """df as a table under the shared folder, bucketed by id and n_bytes, and its name: joins on both move only the other side."""
+    path = new_path(spark, "texts")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, "id", "n_bytes").option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._veilgraph_path = path
+    return out, name
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row a row of docs.
 
     Null and empty texts have no bytes and lose none; texts under WIDTH bytes lose none. Repeated rows are
-    copies of each other; null identifiers stay null. Other columns are ignored. Texts are known by 8 bytes of
-    their SHA-256 and their length.
+    copies of each other; null identifiers stay null. Other columns are ignored. Texts are known by 92 bits of
+    their SHA-256 and their length. The result is written; what led to it is deleted.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).withColumn("id", F.conv(F.substring(F.sha2("data", 256), 1, 15), 16, 10).cast("long")).withColumn("n_bytes", F.octet_length("data").cast("long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).withColumn("id", F.conv(F.substring(F.sha2("data", 256), 1, 15), 16, 10).cast("long"))
+    more = F.conv(F.substring(F.sha2("data", 256), 16, 8), 16, 10).cast("long")
+    rows = rows.withColumn("n_bytes", more * (_LENGTH + 1) + F.octet_length("data"))
+    size = F.col("n_bytes").bitwiseAND(F.lit(_LENGTH))
     key = ["id", "n_bytes"]
     copies = staged(rows.select("doc_id", *key), "copies")
     many = copies.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-    texts = _bucketed(spark, rows.where(F.col("n_bytes") >= WIDTH).groupBy(*key).agg(F.first("data").alias("data")), n)
+    texts, name = _bucketed(spark, rows.where(size >= WIDTH).groupBy(*key).agg(F.first("data").alias("data")), n)
 
     def runs_of(refs: DataFrame, *columns: str) -> DataFrame:
         return texts.join(refs.groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("runs")), key)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     known = texts.select("id", "n_bytes", "data")
     found = known.mapInPandas(_anchor_rows, "hash long, id long, n_bytes long, packed long")
     again = staged(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")  # apart, so that a hot hash splits
@@ -302,14 +308,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = texts.join(spans, key, "left").select("id", "n_bytes", "data", "spans").mapInPandas(_cut, columns)
     classes = many.join(cut, key, "left")
     nothing, empty = F.lit(0).cast("long"), hashlib.sha256(b"").hexdigest()
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WIDTH)
+    gone = (F.col("copies") > 1) & (size >= WIDTH)
     result = classes.select(
-        *key, F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", nothing)).alias("n_removed"), F.when(gone, 1).otherwise(F.coalesce("n_spans", nothing)).cast("long").alias("n_spans"),
+        *key, F.when(gone, size).otherwise(F.coalesce("n_removed", nothing)).alias("n_removed"), F.when(gone, 1).otherwise(F.coalesce("n_spans", nothing)).cast("long").alias("n_spans"),
         F.when(gone, F.lit(empty)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
-    short = rows.where(F.col("n_bytes") < WIDTH).select("doc_id", "n_bytes", nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"))
-    long = copies.where(F.col("n_bytes") >= WIDTH).join(result, key).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return long.unionByName(short)
+    short = rows.where(size < WIDTH).select("doc_id", size.alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"))
+    long = copies.where(size >= WIDTH).join(result, key).select("doc_id", size.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    out = staged(long.unionByName(short), "removed")
+    spark.sql(f"DROP TABLE {name}")
+    for done in (texts, copies, again, repeated, contexts, distinct, sizes, mixed, pieces, kinds):
+        discard(done)
+    return out
 
 
 def _span(packed):
