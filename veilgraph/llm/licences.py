@@ -121,15 +121,17 @@ def scan(docs: DataFrame, known: DataFrame, threshold: float = THRESHOLD, id_col
     small = F.broadcast if few else (lambda df: df)
     key = ["k1", "k2"]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "id").alias("k2"))
-    words = lambda df, *more: _placed(df.select(*more, *key, _words(F.col("text")).alias("w")), *more, *key)
-    able = staged(words(texts).join(small(grams.where("rare").select("tid", "a", "b")), ["a", "b"]).select(*key, "tid").distinct(), "able")
-    met = texts.join(able.select(*key).distinct(), key, "left_semi")
-    hits = words(met, "id").join(small(grams.drop("rare")), ["a", "b"]).join(able, [*key, "tid"], "left_semi").dropDuplicates([*key, "tid", "pos"])
-    hits = staged(hits.withColumn("part", F.floor(F.col("pos") / F.col("most"))), "hits")
+    words = _placed(texts.select("id", *key, _words(F.col("text")).alias("w")), "id", *key)
+    able = staged(words.join(small(grams.where("rare").select("tid", "a", "b")), ["a", "b"]).select("id", *key, "tid").distinct(), "able")
+    named = grams.withColumn("g", F.xxhash64("a", "b")).drop("a", "b", "rare")
+    seen = words.join(small(grams.select("a", "b").distinct()), ["a", "b"]).select(*key, "pos", F.xxhash64("a", "b").alias("g"))
+    # Places are dealt out whatever the size of able, and texts are not moved.
+    met = seen.join(able.hint("shuffle_hash"), key).join(small(named), ["tid", "g"]).dropDuplicates([*key, "tid", "pos"])
+    hits = staged(met.withColumn("part", F.floor(F.col("pos") / F.col("most"))), "hits")
     starts = hits.select("id", "licence", "m", "most", *key, "tid", F.col("pos").alias("s"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    pairs = starts.join(hits.select(*key, "tid", "part", F.col("pos").alias("e"), "a", "b", "c"), [*key, "tid", "part"]).where((F.col("e") >= F.col("s")) & (F.col("e") < F.col("s") + F.col("most")))
+    pairs = starts.join(hits.select(*key, "tid", "part", F.col("pos").alias("e"), "g", "c"), [*key, "tid", "part"]).where((F.col("e") >= F.col("s")) & (F.col("e") < F.col("s") + F.col("most")))
     passage = [*key, "tid", "s"]
-    dealt = pairs.repartition(*passage).withColumn("r", F.row_number().over(Window.partitionBy(*passage, "a", "b").orderBy("e")))
+    dealt = pairs.repartition(*passage).withColumn("r", F.row_number().over(Window.partitionBy(*passage, "g").orderBy("e")))
     shared = F.sum((F.col("r") <= F.col("c")).cast("int")).over(Window.partitionBy(*passage).orderBy("e"))
     scored = dealt.withColumn("dice", 2.0 * shared / (F.col("e") - F.col("s") + 1 + F.col("m"))).where(F.col("dice") >= threshold)
     best = scored.groupBy("id", "licence").agg(F.max(F.struct("dice", (-F.col("s")).alias("s"), (-F.col("e")).alias("e"))).alias("x"))
