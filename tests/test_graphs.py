@@ -105,7 +105,23 @@ def test_groups_and_templates(spark):
     edges = random_edges(23, 50, 5)
     adj, df = adjacency(edges), frame(spark, edges)
     rows = sorted(anonymise.fixed_groups(df, 5).collect(), key=lambda r: (r["g"], r["pos"]))
-    assert [r["n"] for r in rows] == sorted(adj, key=lambda n: (-len(adj[n]), n))
+
+    def short(n):
+        """(size, edges) of the components among n's neighbours, descending, four at most."""
+        left, found = set(adj[n]), []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                part.add(x := todo.pop())
+                todo += [y for y in adj[x] if y in left]
+                left -= set(todo)
+            found.append((len(part), sum(y in part for x in part for y in adj[x]) // 2))
+        return sorted(found, reverse=True)[:4]
+
+    order = sorted(adj, key=lambda n: (-len(adj[n]), short(n), n))
+    cut = [order[i : i + 5] for i in range(0, len(order), 5)]
+    cut = cut if len(cut[-1]) == 5 else [*cut[:-2], cut[-2] + cut[-1]]
+    assert [r["n"] for r in rows] == [n for g in cut for n in sorted(g)]
     sizes = [len(list(g)) for _, g in itertools.groupby(rows, key=lambda r: r["g"])]
     assert min(sizes) >= 5 and max(sizes) < 10
     out = {tuple(r) for r in anonymise.publish(df, 5).collect()}
@@ -260,3 +276,45 @@ def test_code_distances_keep_whole_codes(spark):
         got = {(r["u"], r["v"]): r["distance"] for r in structure.ncc_distance(made, frame(spark, pairs)).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in pairs)
     assert max(len(c) for c in codes.values()) > 8 and width > 9
+
+
+def test_ranks_over_hot_degrees(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(1, 2)], "u long, v long")
+    got = [tuple(r) for r in compare.ordered_by_degree(edges).orderBy("rank").collect()]
+    deg = {0: 199, 1: 2, 2: 2} | {i: 1 for i in range(3, 200)}
+    assert got == [(n, d, i) for i, (n, d) in enumerate(sorted(deg.items(), key=lambda x: (-x[1], x[0])), 1)]
+
+
+def test_results_and_mappings(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, 0.5), ("b", 5, float("nan")), ("c", 5, None)], "method string, k int, auc double")
+    graphs.write_results(rows, f"{tmp_path}/r")
+    back = graphs.read_results(spark, f"{tmp_path}/r", ["auc", "absent"])
+    assert sorted(map(tuple, back.collect())) == [("a", "2", 0.5), ("b", "5", None), ("c", "5", None)]
+    more = spark.createDataFrame([("b", 5, 0.9, 1), ("d", 5, 0.1, 2)], "method string, k int, auc double, n int")
+    got = sorted(map(tuple, evaluate.overlaid([rows.where("k = 5"), more], ["method", "k"]).collect()))
+    assert got == [("b", 5, 0.9, 1), ("c", 5, None, None), ("d", 5, 0.1, 2)]
+    (tmp_path / "m.txt").write_text("1 2\n3 4 5\nx y\n1 7\n\n8\n9 9\n")
+    assert sorted(map(tuple, graphs.read_mapping(spark, str(tmp_path / "m.txt")).collect())) == [(1, 7), (9, 9)]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "cora-k5-x.pairs").write_text("1 2\n2 1\n3 3\n2 3\n")
+    (row,) = graphs.folder_characteristics(spark, str(tmp_path / "g")).collect()
+    assert (row["k"], row["nodes"], row["edges"], round(row["mean_degree"], 6)) == (5, 3, 2, round(4 / 3, 6))
+
+
+def test_medoid_and_profile(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (4, 5)], "u long, v long")
+    groups = spark.createDataFrame([(n, d, i, 0) for i, (n, d) in enumerate([(1, 2), (2, 2), (4, 2), (5, 1)])], "n long, deg long, pos long, g long")
+    codes = structure.ncc_codes(edges)
+    assert [tuple(r) for r in anonymise.medoids(groups, codes).collect()] == [(0, 1)]
+    scores = {r["n"]: r["score"] for r in anonymise.profile_scores(groups, codes).collect()}
+    assert scores[1] == scores[2] == 0 and scores[5] > scores[4] > 0
+
+
+def test_split_keeps_every_component_whole(spark):
+    edges = spark.createDataFrame([(i, j) for b in (0, 10) for i in range(b, b + 6) for j in range(i + 1, b + 6)], "u long, v long")
+    train, test = segments.protected_split(edges, 0.5)
+    assert test.count() == 15 and train.count() == 15
+    parts = {r["component"] for r in connected_components(train).collect()}
+    assert parts == {0, 10} and connected_components(train).count() == 12
+    with pytest.raises(ValueError):
+        segments.sampled_non_edges(edges, 1000)

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.operators.compare import ordered_by_degree
-from veilgraph.operators.structure import degrees, edge_common_neighbours
+from veilgraph.operators.compare import ranked
+from veilgraph.operators.structure import common_neighbours, degrees, edge_common_neighbours, ncc_distance, short_codes
+from veilgraph.plans.staging import staged
 from veilgraph.sources.graphs import both_ways
 
 SEED = 42
 
 
 def fixed_groups(edges: DataFrame, k: int) -> DataFrame:
-    """(n, deg, pos, g): nodes in degree order in groups of k; a short tail joins the last whole group."""
-    ranked = ordered_by_degree(edges)
-    n = ranked.agg(F.max("rank").alias("total"))
+    """(n, deg, pos, g): nodes by degree descending, short neighbourhood code and n, in groups of k; pos from 0 by n.
+
+    A tail shorter than k joins the last whole group.
+    """
+    coded = degrees(edges).join(short_codes(edges), "n", "left")
+    rows = ranked(coded, [F.col("deg").desc(), F.col("code"), F.col("n")])
+    n = rows.agg(F.max("rank").alias("total"))
     g = F.least(F.floor((F.col("rank") - 1) / k), F.greatest(F.floor(F.col("total") / k) - 1, F.lit(0)))
-    grouped = ranked.crossJoin(F.broadcast(n)).withColumn("g", g.cast("long"))  # n is one row
-    return grouped.select("n", "deg", (F.col("rank") - 1 - F.col("g") * k).cast("long").alias("pos"), "g")
+    grouped = rows.crossJoin(F.broadcast(n)).select("n", "deg", g.cast("long").alias("g"))  # n is one row
+    pos = F.row_number().over(Window.partitionBy("g").orderBy("n")) - 1  # groups have under 2k nodes
+    return staged(grouped.select("n", "deg", pos.cast("long").alias("pos"), "g"), "groups")
 
 
 def group_costs(groups: DataFrame) -> DataFrame:
@@ -109,3 +115,48 @@ def influence(edges: DataFrame) -> DataFrame:
     inc = e.select(F.col("u").alias("p"), F.col("v").alias("q"), "x", F.explode(F.array("u", "v")).alias("c"))
     ball = ends.join(inc, "c").where("NOT (u = p AND v = q)").select("u", "v", "p", "q", "x").distinct().groupBy("u", "v").agg(F.sum("x").alias("s"))
     return e.join(ball, ["u", "v"], "left").select("u", "v", (F.col("x") * F.coalesce("s", F.lit(0))).cast("long").alias("lci"))
+
+
+def medoids(groups: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(g, medoid): of each group the node with the least mean code distance to the others, ties to larger degree, then n.
+
+    Groups have under 2k nodes, so pairs stay few; vectors are (n, code, weight) as ncc_codes() gives them.
+    """
+    a, b = groups.select("g", F.col("n").alias("u"), "deg"), groups.select("g", F.col("n").alias("v"))
+    pairs = a.join(b, "g").where("u <> v")
+    apart = ncc_distance(vectors, pairs.select("u", "v"))
+    means = a.join(apart.groupBy("u").agg(F.round(F.avg("distance"), 9).alias("d")), "u", "left")
+    order = F.struct(F.coalesce("d", F.lit(0.0)).alias("d"), (-F.col("deg")).alias("k"), F.col("u").alias("n"))
+    return means.groupBy("g").agg(F.min(order)["n"].alias("medoid"))
+
+
+def profile_scores(groups: DataFrame, vectors: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """(g, n, score): a node's gap to its group's median degree, over the largest degree, and its code distance to the
+    group's medoid, weighted."""
+    top = groups.agg(F.greatest(F.max("deg").cast("double"), F.lit(1.0)).alias("top"))
+    rows = groups.join(group_profile(groups).select("g", "median_degree"), "g").join(medoids(groups, vectors), "g").crossJoin(F.broadcast(top))  # top is one row
+    apart = ncc_distance(vectors, rows.where("n <> medoid").select(F.col("n").alias("u"), F.col("medoid").alias("v"))).select(F.col("u").alias("n"), "distance")
+    gap = F.abs(F.col("deg") - F.col("median_degree")) / F.col("top")
+    return rows.join(apart, "n", "left").select("g", "n", (alpha * gap + beta * F.coalesce("distance", F.lit(0.0))).alias("score"))
+
+
+def neighbour_scores(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, n, distance): 1 less the mean number of common neighbours with the group's other nodes, over the most that any
+    pair of a group has (1 at least); 0 for a node alone."""
+    a, b = groups.select("g", F.col("n").alias("x")), groups.select("g", F.col("n").alias("y"))
+    pairs = a.join(b, "g").where("x < y").select("g", F.col("x").alias("u"), F.col("y").alias("v"))
+    met = pairs.join(common_neighbours(edges, pairs.select("u", "v")).select("u", "v", "common"), ["u", "v"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    top = met.agg(F.greatest(F.max("common").cast("double"), F.lit(1.0)).alias("top"))
+    means = met.select(F.explode(F.array("u", "v")).alias("n"), "common").groupBy("n").agg(F.avg("common").alias("mean"))
+    rows = groups.join(means, "n", "left").crossJoin(F.broadcast(top))  # top is one row
+    return rows.select("g", "n", F.when(F.col("mean").isNull(), 0.0).otherwise(1.0 - F.least(F.col("mean") / F.col("top"), F.lit(1.0))).alias("distance"))
+
+
+def community_scores(groups: DataFrame, communities: DataFrame) -> DataFrame:
+    """(g, n, distance): 0 where a node is in its group's commonest community (ties to the smaller), else the share of the
+    group that is in another one than the node; communities are (n, c)."""
+    at = groups.select("g", "n").join(communities, "n", "left").withColumn("c", F.coalesce("c", F.lit(-1)))
+    counts = at.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
+    whole = counts.groupBy("g").agg(F.sum("k").alias("size"), F.min(F.struct((-F.col("k")).alias("k"), "c"))["c"].alias("major"))
+    rows = at.join(counts, ["g", "c"]).join(whole, "g")
+    return rows.select("g", "n", F.when(F.col("c") == F.col("major"), 0.0).otherwise((F.col("size") - F.col("k")) / F.col("size")).alias("distance"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.operators.structure import degrees, graph_stats
+from veilgraph.operators.components import connected_components
+from veilgraph.operators.structure import clustering, degrees, distances, graph_stats, path_lengths
+from veilgraph.plans.staging import staged
 from veilgraph.sources.graphs import nodes_of
 
 
@@ -60,15 +62,56 @@ def wasserstein(original: DataFrame, published: DataFrame) -> DataFrame:
     return both.select(gap.alias("g")).agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("distance"))
 
 
-def ordered_by_degree(edges: DataFrame) -> DataFrame:
-    """(n, deg, rank): ranks from 1 by (degree descending, n), without a sort of all nodes in one task.
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with its rows' numbers from 1 in a total order of columns.
 
-    A rank is the number of nodes of larger degree, from the degree histogram, plus the place within the degree.
+    Rows go to ranges of the order, which no single value can fill, and each range counts from where those before it
+    end; only a row a range is summed in one place.
     """
-    d = degrees(edges)
-    above = d.groupBy("deg").agg(F.count(F.lit(1)).alias("c")).select("deg", (F.sum("c").over(Window.orderBy(F.col("deg").desc())) - F.col("c")).alias("above"))
-    inner = F.row_number().over(Window.partitionBy("deg").orderBy("n"))
-    return d.withColumn("i", inner).join(above, "deg").select("n", "deg", (F.col("above") + F.col("i")).alias("rank"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = staged(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # a row a range
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_i", inner).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_part", "_i", "_before")
+
+
+def ordered_by_degree(edges: DataFrame) -> DataFrame:
+    """(n, deg, rank): ranks from 1 by (degree descending, n)."""
+    return ranked(degrees(edges), [F.col("deg").desc(), F.col("n")])
+
+
+def full_delta(original: DataFrame, published: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density, average clustering and mean path length of both graphs, what they changed by and
+    the mean change of a degree. Paths are all of them: for graphs whose pairs of nodes are few enough."""
+    keep = ("nodes", "edges", "density", "clustering", "apl")
+
+    def stats(edges: DataFrame, prefix: str) -> DataFrame:
+        nodes = staged(nodes_of(edges), "nodes")
+        paths = path_lengths(distances(edges, nodes), nodes.count()).select(F.coalesce("reachable_mean", F.lit(0.0)).alias("apl"))
+        some = clustering(edges).agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("clustering"))
+        return graph_stats(edges).select("nodes", "edges", "density").crossJoin(some).crossJoin(paths).select(*[F.col(c).alias(f"{prefix}_{c}") for c in keep])  # a row each
+
+    both = stats(original, "original").crossJoin(stats(published, "anonymized")).crossJoin(degree_loss(original, published).select("mae"))  # a row each
+    return both.select("*", *[(F.col(f"anonymized_{c}") - F.col(f"original_{c}")).alias(f"{c.removesuffix('s')}_variation") for c in keep])
+
+
+def diagnosis(original: DataFrame, published: DataFrame) -> DataFrame:
+    """One row: sizes, components and average clustering of both graphs, edges kept, added and removed, and the share kept."""
+    def stats(edges: DataFrame, suffix: str) -> DataFrame:
+        parts = connected_components(edges).agg(F.countDistinct("component").alias("components"))
+        some = clustering(edges).agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("clustering"))
+        row = graph_stats(edges).select("nodes", "edges").crossJoin(parts).crossJoin(some)  # a row each
+        return row.select(*[F.col(c).alias(f"{c}_{suffix}") for c in row.columns])
+
+    row = stats(original, "original").crossJoin(stats(published, "anonymized")).crossJoin(edge_changes(original, published).drop("changes"))  # a row each
+    return row.withColumn("intersection", F.when(F.col("edges_original") > 0, F.col("preserved") / F.col("edges_original")).otherwise(0.0))
+
+
+def wr_cost(original: DataFrame, published: DataFrame, weight: float = 1.0) -> DataFrame:
+    """One row (cost): the distance of the degree distributions plus half `weight` times the sum of changes of degrees."""
+    gap = degree_pairs(original, published).agg(F.coalesce(F.sum(F.abs(F.col("before") - F.col("after"))), F.lit(0)).alias("g"))
+    return wasserstein(original, published).crossJoin(gap).select((F.col("distance") + 0.5 * weight * F.col("g")).alias("cost"))  # a row each
 
 
-__all__ = ["degree_loss", "degree_pairs", "edge_changes", "k_degree", "nodes_of", "ordered_by_degree", "structural_delta", "wasserstein"]
+__all__ = ["degree_loss", "degree_pairs", "diagnosis", "edge_changes", "full_delta", "k_degree", "nodes_of", "ordered_by_degree", "ranked", "structural_delta", "wasserstein", "wr_cost"]

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from veilgraph.plans.staging import discard, staged
 
 
-def _digest(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
-    return row["n"], row["s"]
-
-
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
@@ -23,17 +18,18 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     a, b = F.col(u), F.col(v)
     links = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = staged(links, "links")
-    before = _digest(links)
-    for _ in range(rounds if before[0] else 0):
+    for left in range(rounds, -1, -1):
+        if not left:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = staged(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "links")
+        moved = new.join(links, ["u", "v"], "left_anti").limit(1).count() or links.join(new, ["u", "v"], "left_anti").limit(1).count()
         discard(links)
-        links, after = new, _digest(new)
-        if after == before:
+        links = new
+        if not moved:
             break
-        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.plans.staging import staged
+
 
 def hash01(*columns: Column, seed: int = 42) -> Column:
     """A number from 0 up to 1 from the md5 of seed and columns."""
@@ -29,11 +33,17 @@ def negative_pairs(edges: DataFrame, test: DataFrame, seed: int = 42) -> DataFra
 def ranking_scores(scored: DataFrame) -> DataFrame:
     """One row (positives, negatives, auc, average_precision) of (score, y); tied scores share a threshold.
 
-    Everything follows from the counts at each distinct score; null where one class is missing.
+    Everything follows from the counts at each distinct score, summed over ranges of scores; null where one class is
+    missing.
     """
-    by = scored.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum((1 - F.col("y")).cast("long")).alias("q"))
-    above, whole = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    run = by.select("p", "q", F.sum("p").over(above).alias("tp"), F.sum("q").over(above).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
+    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    y = F.col("y").cast("long")
+    by = staged(scored.groupBy("score").agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q")).repartitionByRange(n, F.col("score").desc()).withColumn("part", F.spark_partition_id()), "scores")
+    upto, whole = Window.orderBy("part"), Window.partitionBy()  # a row a range
+    sums = by.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    base = sums.select("part", *[(F.sum(f"s{c}").over(upto) - F.col(f"s{c}")).alias(f"b{c}") for c in "pq"], *[F.sum(f"s{c}").over(whole).alias(f"n{c}") for c in "pq"])
+    inner = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by.withColumn("ip", F.sum("p").over(inner)).withColumn("iq", F.sum("q").over(inner)).join(F.broadcast(base), "part").select("p", "q", (F.col("bp") + F.col("ip")).alias("tp"), (F.col("bq") + F.col("iq")).alias("fp"), "np", "nq")
     return run.agg(F.max("np").alias("positives"), F.max("nq").alias("negatives"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("a"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("b")).select(
         "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("a") / (F.col("positives") * F.col("negatives"))).alias("auc"), F.when(F.col("positives") > 0, F.col("b") / F.col("positives")).alias("average_precision")
     )
@@ -56,6 +66,11 @@ def classification(predicted: DataFrame) -> DataFrame:
     return out.select("rows", (F.col("hits") / F.col("rows")).alias("accuracy"), "macro_f1", (2.0 * F.col("hits") / (F.col("rows") + F.col("said"))).alias("micro_f1"))
 
 
+def macro_recall(predicted: DataFrame) -> DataFrame:
+    """One row (macro_recall) of (y, guess): the mean share of each true class that was guessed."""
+    return predicted.groupBy("y").agg(F.avg((F.col("y").eqNullSafe(F.col("guess"))).cast("double")).alias("r")).agg(F.avg("r").alias("macro_recall"))
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
     """(key, label, part): train, val or test by md5 order within each label; the first of a label trains."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
@@ -109,3 +124,23 @@ def fill_grid(results: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """(a, b, score, present): every pair of the values of a and b that occur; few, as they name methods and steps."""
     grid = results.select(a).distinct().crossJoin(results.select(b).distinct())
     return grid.join(results.select(a, b, score), [a, b], "left").withColumn("present", F.col(score).isNotNull())
+
+
+def overlaid(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of all tables, missing columns null; of rows with equal keys the one of the last table that has them.
+
+    Rows that share their keys within a table are all kept.
+    """
+    every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)])
+    last = F.max("_table").over(Window.partitionBy(*keys))
+    return every.withColumn("_last", last).where("_table = _last").drop("_table", "_last")
+
+
+def method_name(raw: Column) -> Column:
+    """A method's name in lower case, its words joined by underscores."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(raw)), r"[\s\-]+", "_"))
+
+
+def closest(values: DataFrame, value: str, goal: Column, name: str) -> DataFrame:
+    """One row (name, value) whose value is the closest to the goal, ties to the smaller name."""
+    return values.agg(F.min(F.struct(F.abs(F.col(value) - goal).alias("gap"), F.col(name), F.col(value))).alias("x")).select(f"x.{name}", f"x.{value}")

@@ -85,8 +85,8 @@ def core_numbers(edges: DataFrame, rounds: int = 500) -> DataFrame:
         discard(now)
         now = new
         if before == after:
-            break
-    return now
+            return now
+    raise RuntimeError(f"core numbers still change after {rounds} rounds")
 
 
 def ego_components(edges: DataFrame) -> DataFrame:
@@ -106,10 +106,10 @@ def ego_components(edges: DataFrame) -> DataFrame:
         least = label.join(near, ["ego", "p"], "left").select("ego", "p", F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = label.select("ego", F.col("p").alias("c"), F.col("c").alias("c2"))
         new = staged(least.join(jump, ["ego", "c"], "left").select("ego", "p", F.least("c", F.coalesce("c2", "c")).alias("c")), "label")
-        same = [df.agg(F.sum(F.xxhash64("ego", "p", "c") % 1000003)).first()[0] for df in (label, new)]
+        changed = new.join(label.withColumnRenamed("c", "c0"), ["ego", "p"]).where("c <> c0").limit(1).count()
         discard(label)
         label = new
-        if same[0] == same[1]:
+        if not changed:
             break
     full = label.join(local, ["ego", "p"], "left").select("ego", "c", F.coalesce("d", F.lit(0)).cast("long").alias("d"))
     return full.groupBy("ego", "c").agg(F.count(F.lit(1)).alias("size"), (F.sum("d") / 2).cast("long").alias("edges"), F.reverse(F.array_sort(F.collect_list("d"))).alias("degrees")).drop("c")
@@ -122,6 +122,12 @@ def ncc(edges: DataFrame) -> DataFrame:
     return ego_components(edges).groupBy("ego").agg(F.array_join(text, "|").alias("code"))
 
 
+def short_codes(edges: DataFrame, most: int = 4) -> DataFrame:
+    """(n, code): size and edges of a node's components, descending, the first `most` of them."""
+    one = F.struct("size", "edges")
+    return ego_components(edges).groupBy(F.col("ego").alias("n")).agg(F.slice(F.reverse(F.array_sort(F.collect_list(one))), 1, most).alias("code"))
+
+
 def ncc_codes(edges: DataFrame) -> DataFrame:
     """(n, code, weight): of each of a node's components, in descending order, size, edges and all degrees; nothing is cut.
 
@@ -172,8 +178,12 @@ def signatures(edges: DataFrame) -> DataFrame:
     return base.select("n", "deg", "triangles", "clustering", "avg_neighbour_degree", F.col("triangles").alias("ego_edges"), "largest", "second")
 
 
-def distances(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
-    """(src, dst, dist) of nodes that breadth-first search reaches from the sources (n), themselves at 0."""
+def distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
+    """(src, dst, dist) of nodes that breadth-first search reaches from the sources (n) in `limit` steps, themselves at 0.
+
+    Without a limit every node is reached; graphs over 10,000 steps across are an error.
+    """
+    whole, limit = limit is None, limit or 10_000
     s = staged(both_ways(edges), "edges")
     front = staged(sources.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(0).cast("long").alias("dist")), "front")
     seen, levels = front, [front]
@@ -182,9 +192,42 @@ def distances(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFr
         front = staged(reach.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(d).cast("long").alias("dist")), "front")
         if not front.limit(1).count():
             break
+        if d == limit and whole:
+            raise RuntimeError(f"nodes further than {limit} steps")
         levels.append(front)
         seen = levels[-1].unionByName(levels[-2])  # a new node is only met again from the last two levels
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
     return out
+
+
+def network_stats(weights: DataFrame) -> DataFrame:
+    """One row (least_weight, mean_degree) of weighted edges (u, v, w): the least weight over 0, 1 if there is none."""
+    d = weights.where("w > 0").select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("deg")).agg(F.avg("deg").alias("mean_degree"))
+    return weights.where("w > 0").agg(F.coalesce(F.min("w"), F.lit(1)).alias("least_weight")).crossJoin(d)  # a row each
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the edges with both ends among nodes (n)."""
+    keep = nodes.select("n").distinct()
+    return edges.join(keep.withColumnRenamed("n", "u"), "u", "left_semi").join(keep.withColumnRenamed("n", "v"), "v", "left_semi").select("u", "v")
+
+
+def toggled(edges: DataFrame, other: DataFrame) -> DataFrame:
+    """(u, v): the edges of one table or the other, but not of both."""
+    both = edges.select("u", "v", F.lit(1).alias("a")).distinct().unionByName(other.select("u", "v", F.lit(2).alias("a")).distinct())
+    return both.groupBy("u", "v").agg(F.sum("a").alias("a")).where("a < 3").select("u", "v")
+
+
+def display_nodes(edges: DataFrame, most: int) -> DataFrame:
+    """(n): the `most` nodes of largest degree, ties to the smaller one."""
+    return degrees(edges).orderBy(F.col("deg").desc(), "n").limit(most).select("n")
+
+
+def longest_component_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """As path_lengths() within the component of the most nodes, ties to the smaller."""
+    size = components.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    top = size.agg(F.min(F.struct((-F.col("c")).alias("c"), "component"))["component"].alias("component"))
+    nodes = staged(components.join(top, "component", "left_semi").select(F.col("node").alias("n")), "nodes")
+    return path_lengths(distances(induced(edges, nodes), nodes), nodes.count())

@@ -41,8 +41,8 @@ def _pairs(where: str = "") -> str:
 _EDGES = {
     "dense": f"SELECT DISTINCT u, v FROM ({_pairs()})",
     "sparse": f"SELECT u, v FROM ({_pairs()}) GROUP BY u, v HAVING count(*) >= 2",
-    "filled": f"SELECT DISTINCT u, v FROM ({_pairs(chr(74) + 'OIN orders ON o_orderkey = a.l_orderkey AND o_orderstatus = ' + chr(39) + 'F' + chr(39))})",
-    "opened": f"SELECT DISTINCT u, v FROM ({_pairs(chr(74) + 'OIN orders ON o_orderkey = a.l_orderkey AND o_orderstatus = ' + chr(39) + 'O' + chr(39))})",
+    "filled": "SELECT DISTINCT u, v FROM (" + _pairs("JOIN orders ON o_orderkey = a.l_orderkey AND o_orderstatus = 'F'") + ")",
+    "opened": "SELECT DISTINCT u, v FROM (" + _pairs("JOIN orders ON o_orderkey = a.l_orderkey AND o_orderstatus = 'O'") + ")",
 }
 
 
@@ -93,7 +93,7 @@ def k_degree_anonymity(spark, sf):
     return compare.k_degree(_graph(spark, sf, "dense"), KS)
 
 
-_TRIANGLES = ", t AS (SELECT x.u AS x, x.v AS y, y.v AS z FROM e x JOIN e y ON x.v = y.u JOIN e w ON w.u = x.u AND w.v = y.v)"
+_TRIANGLES = ", nb AS MATERIALIZED (SELECT u, list(v) AS l FROM e GROUP BY u), t AS MATERIALIZED (SELECT e.u AS x, e.v AS y, unnest(list_intersect(p.l, q.l)) AS z FROM e JOIN nb p ON p.u = e.u JOIN nb q ON q.u = e.v)"
 
 
 @query(_with("sparse", _TRIANGLES + " SELECT x, y, z FROM t"))
@@ -196,26 +196,27 @@ def degree_wasserstein(spark, sf):
     return compare.wasserstein(_graph(spark, sf, "filled"), _graph(spark, sf, "opened")).select(F.round("distance", 9).alias("distance"))
 
 
-_GROUPS = f", k AS (SELECT n, deg, row_number() OVER (ORDER BY deg DESC, n) AS r, count(*) OVER () AS total FROM d), g AS MATERIALIZED (SELECT n, deg, r - 1 - g * {K} AS pos, g FROM (SELECT *, least((r - 1) // {K}, greatest(total // {K} - 1, 0)) AS g FROM k))"
+_SHORT = ", sc AS MATERIALIZED (SELECT ego AS n, list([size, edges] ORDER BY size DESC, edges DESC)[1:4] AS short FROM ec GROUP BY ego)"
+_GROUPS = _EGO + _SHORT + f", k AS (SELECT d.n, deg, row_number() OVER (ORDER BY deg DESC, short, d.n) AS r, count(*) OVER () AS total FROM d JOIN sc ON sc.n = d.n), g AS MATERIALIZED (SELECT n, deg, g, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS pos FROM (SELECT *, least((r - 1) // {K}, greatest(total // {K} - 1, 0)) AS g FROM k))"
 
 
-@query(_with("dense", _GROUPS + " SELECT n, deg, pos, g FROM g"))
+@query(_with("sparse", _GROUPS + " SELECT n, deg, pos, g FROM g"))
 def fixed_groups(spark, sf):
-    return anonymise.fixed_groups(_graph(spark, sf, "dense"), K)
+    return anonymise.fixed_groups(_graph(spark, sf, "sparse"), K)
 
 
-@query(_with("dense", _GROUPS + ", c AS (SELECT g, count(*) AS size, round_even(avg(deg), 0)::BIGINT AS mean, round_even(median(deg), 0)::BIGINT AS median FROM g GROUP BY g) SELECT g, size, mean, median, a AS cost_mean, b AS cost_median, CASE WHEN a < b THEN mean ELSE median END AS target FROM (SELECT c.g, size, mean, median, sum(abs(deg - mean))::BIGINT AS a, sum(abs(deg - median))::BIGINT AS b FROM g JOIN c USING (g) GROUP BY ALL)"))
+@query(_with("sparse", _GROUPS + ", c AS (SELECT g, count(*) AS size, round_even(avg(deg), 0)::BIGINT AS mean, round_even(median(deg), 0)::BIGINT AS median FROM g GROUP BY g) SELECT g, size, mean, median, a AS cost_mean, b AS cost_median, CASE WHEN a < b THEN mean ELSE median END AS target FROM (SELECT c.g, size, mean, median, sum(abs(deg - mean))::BIGINT AS a, sum(abs(deg - median))::BIGINT AS b FROM g JOIN c USING (g) GROUP BY ALL)"))
 def group_costs(spark, sf):
-    return anonymise.group_costs(anonymise.fixed_groups(_graph(spark, sf, "dense"), K))
+    return anonymise.group_costs(anonymise.fixed_groups(_graph(spark, sf, "sparse"), K))
 
 
 _RING = ", z AS (SELECT g, count(*) AS size FROM g GROUP BY g), ring AS (SELECT DISTINCT least(a.n, b.n) AS u, greatest(a.n, b.n) AS v FROM g a JOIN z USING (g) JOIN (SELECT unnest([1, 2]) AS step) ON step = 1 OR size >= 6 JOIN g b ON b.g = a.g AND b.pos = (a.pos + step) % size WHERE a.n <> b.n)"
 _OUTSIDE = ", o AS MATERIALIZED (SELECT s.n, s.m, a.g, b.deg AS m_deg FROM s JOIN g a ON a.n = s.n JOIN g b ON b.n = s.m WHERE a.g <> b.g), w AS (SELECT g.g, round_even(median(coalesce(c, 0)), 0)::BIGINT AS wanted FROM g LEFT JOIN (SELECT n, count(*) AS c FROM o GROUP BY n) x ON x.n = g.n GROUP BY g.g), p AS (SELECT g, m FROM (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, m_deg, m) AS r FROM o GROUP BY g, m, m_deg) JOIN w USING (g) WHERE r <= wanted), ext AS (SELECT DISTINCT least(g.n, m) AS u, greatest(g.n, m) AS v FROM p JOIN g USING (g))"
 
 
-@query(_with("dense", _GROUPS + _RING + " SELECT u, v FROM ring EXCEPT SELECT u, v FROM e"))
+@query(_with("sparse", _GROUPS + _RING + " SELECT u, v FROM ring EXCEPT SELECT u, v FROM e"))
 def ring_template(spark, sf):
-    g = _graph(spark, sf, "dense")
+    g = _graph(spark, sf, "sparse")
     return anonymise.ring_template(g, anonymise.fixed_groups(g, K))
 
 
@@ -369,21 +370,21 @@ def reidentification(spark, sf):
     return attack.success(attack.propagate(g, anonymise.publish(g, K), attack.seeds(g)))
 
 
-@query(_with("dense", _GROUPS + ", q AS (SELECT g.g, n, row_number() OVER (PARTITION BY g.g ORDER BY deg DESC, n) AS r, count(*) OVER (PARTITION BY g.g) AS size FROM g), x AS (SELECT g, n AS m FROM q WHERE r <= least(3, size - 1)) SELECT DISTINCT least(n, m) AS u, greatest(n, m) AS v FROM g JOIN x USING (g) WHERE n <> m EXCEPT SELECT u, v FROM e"))
+@query(_with("sparse", _GROUPS + ", q AS (SELECT g.g, n, row_number() OVER (PARTITION BY g.g ORDER BY deg DESC, n) AS r, count(*) OVER (PARTITION BY g.g) AS size FROM g), x AS (SELECT g, n AS m FROM q WHERE r <= least(3, size - 1)) SELECT DISTINCT least(n, m) AS u, greatest(n, m) AS v FROM g JOIN x USING (g) WHERE n <> m EXCEPT SELECT u, v FROM e"))
 def anchor_template(spark, sf):
-    g = _graph(spark, sf, "dense")
+    g = _graph(spark, sf, "sparse")
     return anonymise.anchor_template(g, anonymise.fixed_groups(g, K))
 
 
-@query(_with("dense", _GROUPS + " SELECT a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n EXCEPT SELECT u, v FROM e"))
+@query(_with("sparse", _GROUPS + " SELECT a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n EXCEPT SELECT u, v FROM e"))
 def clique_template(spark, sf):
-    g = _graph(spark, sf, "dense")
+    g = _graph(spark, sf, "sparse")
     return anonymise.clique_template(g, anonymise.fixed_groups(g, K))
 
 
-@query(_with("dense", _GROUPS + " SELECT g, count(*) AS size, min(deg) AS low, max(deg) AS high, round_even(median(deg), 0)::BIGINT AS median_degree FROM g GROUP BY g"))
+@query(_with("sparse", _GROUPS + " SELECT g, count(*) AS size, min(deg) AS low, max(deg) AS high, round_even(median(deg), 0)::BIGINT AS median_degree FROM g GROUP BY g"))
 def group_profile(spark, sf):
-    return anonymise.group_profile(anonymise.fixed_groups(_graph(spark, sf, "dense"), K))
+    return anonymise.group_profile(anonymise.fixed_groups(_graph(spark, sf, "sparse"), K))
 
 
 _COMPONENTS = ", r(n, c) AS (SELECT n, n FROM d UNION SELECT s.m, r.c FROM r JOIN s ON s.n = r.n WHERE r.c < s.m), cc AS MATERIALIZED (SELECT n AS node, min(c) AS component FROM r GROUP BY n)"
@@ -453,3 +454,113 @@ def neighbour_classes(spark, sf):
     g = _graph(spark, sf, "dense")
     labels = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), (F.col("p_size") > 25).cast("long").alias("y"))
     return evaluate.classification(learn.predict(g, labels))
+
+
+@query(_two(", h AS (SELECT deg, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT deg, count(*) AS x FROM da GROUP BY deg) FULL JOIN (SELECT deg, count(*) AS y FROM db GROUP BY deg) USING (deg)), w AS (SELECT sum(g) AS w FROM (SELECT abs(sum(x) OVER w / (SELECT sum(x) FROM h)::DOUBLE - sum(y) OVER w / (SELECT sum(y) FROM h)::DOUBLE) AS g FROM h WINDOW w AS (ORDER BY deg))) SELECT round(w + 0.5::DOUBLE * (SELECT sum(abs(da.deg - coalesce(db.deg, 0))) FROM da LEFT JOIN db USING (n)), 6) AS cost FROM w"))
+def wr_cost(spark, sf):
+    return compare.wr_cost(_graph(spark, sf, "filled"), _graph(spark, sf, "opened")).select(F.round("cost", 6).alias("cost"))
+
+
+@query(_two(" SELECT u, v FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT u, v FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"))
+def toggled_graph(spark, sf):
+    return structure.toggled(_graph(spark, sf, "filled"), _graph(spark, sf, "opened"))
+
+
+@query(_with("dense", ", w AS (SELECT u, v, 1 + ('0x' || substr(md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)), 1, 8))::BIGINT % 99 AS w FROM e) SELECT (SELECT min(w) FROM w) AS least_weight, round(avg(deg), 9) AS mean_degree FROM d"))
+def network_stats(spark, sf):
+    return structure.network_stats(anonymise.edge_weights(_graph(spark, sf, "dense"))).withColumn("mean_degree", F.round("mean_degree", 9))
+
+
+_SMALL = "(SELECT p_partkey FROM part WHERE p_size <= 25)"
+
+
+@query(_with("dense", f" SELECT u, v FROM e WHERE u IN {_SMALL} AND v IN {_SMALL}"))
+def induced_graph(spark, sf):
+    return structure.induced(_graph(spark, sf, "dense"), _table(spark, sf, "part").where("p_size <= 25").select(F.col("p_partkey").alias("n")))
+
+
+@query(_with("dense", " SELECT n FROM (SELECT n, row_number() OVER (ORDER BY deg DESC, n) AS r FROM d) WHERE r <= 50"))
+def display_nodes(spark, sf):
+    return structure.display_nodes(_graph(spark, sf, "dense"), 50)
+
+
+@query(_with("dense", " SELECT least(u::VARCHAR, v::VARCHAR) AS u, greatest(u::VARCHAR, v::VARCHAR) AS v FROM e"))
+def string_edges(spark, sf):
+    return graphs.string_edges(_graph(spark, sf, "dense"))
+
+
+@query(_with("dense", ", c AS (SELECT s.n, p.p_brand AS b, count(*) AS k FROM s JOIN part p ON p.p_partkey = s.m GROUP BY s.n, p.p_brand), g AS (SELECT n, first(b ORDER BY k DESC, b) AS guess FROM c GROUP BY n) SELECT round(avg(r), 9) AS macro_recall FROM (SELECT avg((p_brand = guess)::INT) AS r FROM part JOIN g ON n = p_partkey GROUP BY p_brand)"))
+def vote_recall(spark, sf):
+    parts = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("y"))
+    votes = graphs.both_ways(_graph(spark, sf, "dense")).join(parts.select(F.col("n").alias("m"), F.col("y").alias("b")), "m").groupBy("n", "b").agg(F.count(F.lit(1)).alias("k"))
+    guess = votes.groupBy("n").agg(F.min(F.struct((-F.col("k")).alias("k"), "b"))["b"].alias("guess"))
+    return evaluate.macro_recall(parts.join(guess, "n")).select(F.round("macro_recall", 9).alias("macro_recall"))
+
+
+@query(_with("sparse", _GROUPS + ", c AS (SELECT g, round_even(avg(deg), 0)::BIGINT AS target FROM g GROUP BY g) SELECT g, target FROM (SELECT g, target, row_number() OVER (ORDER BY abs(target - (SELECT avg(deg) FROM d)), g) AS r FROM c) WHERE r = 1"))
+def target_group(spark, sf):
+    groups = anonymise.fixed_groups(_graph(spark, sf, "sparse"), K)
+    mean = groups.agg(F.avg("deg")).first()[0] or 0.0
+    return evaluate.closest(anonymise.group_costs(groups).select("g", F.col("mean").alias("target")), "target", F.lit(mean), "g")
+
+
+@query(_with("sparse", _GROUPS + ", pr AS MATERIALIZED (SELECT a.g, a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n), cn AS MATERIALIZED (SELECT pr.g, pr.u, pr.v, coalesce(c, 0) AS c FROM pr LEFT JOIN (SELECT pr.u, pr.v, count(*) AS c FROM pr JOIN s a ON a.n = pr.u JOIN s b ON b.n = pr.v AND a.m = b.m GROUP BY pr.u, pr.v) USING (u, v)), mm AS (SELECT n, avg(c) AS m FROM (SELECT u AS n, c FROM cn UNION ALL SELECT v, c FROM cn) GROUP BY n) SELECT g.g, g.n, round(CASE WHEN m IS NULL THEN 0 ELSE 1 - least(m / greatest((SELECT max(c) FROM cn), 1), 1) END, 9) AS distance FROM g LEFT JOIN mm ON mm.n = g.n"))
+def neighbour_scores(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return anonymise.neighbour_scores(g, anonymise.fixed_groups(g, K)).withColumn("distance", F.round("distance", 9))
+
+
+@query(_with("sparse", _GROUPS + _COMPONENTS + ", gc AS MATERIALIZED (SELECT g.g, g.n, component AS c FROM g JOIN cc ON cc.node = g.n), ct AS MATERIALIZED (SELECT g, c, count(*) AS k FROM gc GROUP BY g, c), mj AS (SELECT g, first(c ORDER BY k DESC, c) AS major, sum(k) AS size FROM ct GROUP BY g) SELECT gc.g, gc.n, round(CASE WHEN gc.c = major THEN 0 ELSE (size - k) / size::DOUBLE END, 9) AS distance FROM gc JOIN ct ON ct.g = gc.g AND ct.c = gc.c JOIN mj ON mj.g = gc.g"))
+def community_scores(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    parts = connected_components(g).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    return anonymise.community_scores(anonymise.fixed_groups(g, K), parts).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def profile_scores(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return anonymise.profile_scores(anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"))
+
+
+@query()
+def published_checks(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return compare.diagnosis(g, staged(anonymise.publish(g, K), "published"))
+
+
+@query()
+def published_delta(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return compare.full_delta(g, staged(anonymise.publish(g, K), "published"))
+
+
+@query()
+def largest_component_paths(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return structure.longest_component_paths(g, staged(connected_components(g), "components"))
+
+
+_FOREST = _COMPONENTS + ", b(n, dist) AS (SELECT DISTINCT component, 0 FROM cc UNION SELECT s.m, b.dist + 1 FROM b JOIN s ON s.n = b.n WHERE b.dist < 24), l AS MATERIALIZED (SELECT n, min(dist) AS dist FROM b GROUP BY n), f AS MATERIALIZED (SELECT least(n, parent) AS u, greatest(n, parent) AS v FROM (SELECT x.n, min(s.m) AS parent FROM l x JOIN s ON s.n = x.n JOIN l y ON y.n = s.m AND y.dist = x.dist - 1 GROUP BY x.n))"
+
+
+@query(_with("sparse", _FOREST + " SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)), u, v) AS r FROM (SELECT u, v FROM e EXCEPT SELECT u, v FROM f)) WHERE r <= round_even(0.1 * (SELECT count(*) FROM e), 0)"))
+def protected_split(spark, sf):
+    return segments.protected_split(_graph(spark, sf, "sparse"))[1]
+
+
+_DRAW = "('0x' || substr(md5(concat_ws('|', '42', '{}', id::VARCHAR)), 1, 12))::BIGINT % (SELECT count(*) FROM d) + 1"
+
+
+@query(_with("sparse", f", pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM e) + 64)) AS id)), pr AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL) SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM pr ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM e)"))
+def sampled_non_edges(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return segments.sampled_non_edges(g, g.count())
+
+
+@query(f"WITH r AS {_RUNS}, a AS (SELECT k, upper(method) AS method, round(avg(score), 6) AS s FROM r WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT k, upper(method) AS method, round(avg(score), 6) AS s, round(avg(loss), 6) AS extra FROM r WHERE dataset = 'O' GROUP BY ALL) SELECT k, method, coalesce(b.s, a.s) AS s, extra FROM a FULL JOIN b USING (k, method)")
+def overlaid_results(spark, sf):
+    r = _results(spark, sf).withColumn("method", F.upper("method"))
+    first, second = (r.where(F.col("dataset") == d).groupBy("k", "method") for d in "FO")
+    s = F.round(F.avg("score"), 6).alias("s")
+    return evaluate.overlaid([first.agg(s), second.agg(s, F.round(F.avg("loss"), 6).alias("extra"))], ["k", "method"])

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder in spark.checkpoint.dir; one of our own only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark, "_veilgraph_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="spark-veilgraph-", dir="/tmp")
@@ -40,8 +42,3 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what an Arrow batch of whole texts holds; very long texts then stay a few to a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

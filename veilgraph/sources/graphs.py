@@ -6,7 +6,7 @@ may have none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First cells that tell a header row of a comma-separated edge list.
@@ -71,3 +71,52 @@ def co_purchase(lineitem: DataFrame, least: int = 1) -> DataFrame:
     if least <= 1:
         return pairs.distinct()
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("u", "v")
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of lines of just two integers, other lines skipped; of lines with one src in a file the later wins."""
+    parts = F.split(F.trim(F.col("value")), r"\s+")
+    lines = spark.read.text(path).select(parts.alias("t"), F.monotonically_increasing_id().alias("at")).where(F.size("t") == 2)
+    rows = lines.select(F.expr("try_cast(t[0] AS bigint)").alias("src"), F.expr("try_cast(t[1] AS bigint)").alias("dst"), "at").where("src IS NOT NULL AND dst IS NOT NULL")
+    return rows.groupBy("src").agg(F.max_by("dst", "at").alias("dst"))
+
+
+def k_of_name(name: Column) -> Column:
+    """The number between `-k` and the next hyphen of a file name; null if there is none."""
+    return F.when(name.rlike(r"-k(\d+)-"), F.regexp_extract(name, r"-k(\d+)-", 1).cast("int"))
+
+
+def folder_characteristics(spark: SparkSession, path: str) -> DataFrame:
+    """(file, k, nodes, edges, mean_degree) of every edge list of integers under a path, files read together."""
+    parts = F.split(F.trim(F.col("value")), r"[\s,;]+")
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), parts.alias("t")).where(F.size("t") >= 2)
+    ends = raw.select("file", F.expr("try_cast(t[0] AS bigint)").alias("a"), F.expr("try_cast(t[1] AS bigint)").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    nodes = ends.select("file", F.explode(F.array("a", "b")).alias("n")).distinct().groupBy("file").agg(F.count(F.lit(1)).alias("nodes"))
+    edges = ends.where("a <> b").select("file", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().groupBy("file").agg(F.count(F.lit(1)).alias("edges"))
+    both = nodes.join(edges, "file", "left").withColumn("edges", F.coalesce("edges", F.lit(0)).cast("long"))
+    return both.select("file", k_of_name(F.col("file")).alias("k"), "nodes", "edges", (2.0 * F.col("edges") / F.col("nodes")).alias("mean_degree"))
+
+
+def string_edges(edges: DataFrame) -> DataFrame:
+    """(u, v): edges as text, the end that sorts first as text first."""
+    a, b = F.col("u").cast("string"), F.col("v").cast("string")
+    return edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def aligned(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) over just the wanted nodes (n): missing ones are added without edges, others go with theirs."""
+    keep = wanted.select("n").distinct()
+    inner = edges.join(keep.withColumnRenamed("n", "u"), "u", "left_semi").join(keep.withColumnRenamed("n", "v"), "v", "left_semi")
+    return keep, inner.select("u", "v")
+
+
+def write_results(results: DataFrame, path: str, missing: str = "N/A") -> None:
+    """Results as CSV with a header; nulls and numbers that are not finite are written as `missing`."""
+    cell = lambda c, t: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)) if t in ("double", "float") else F.col(c)
+    results.select(*[F.coalesce(cell(c, t).cast("string"), F.lit(missing)).alias(c) for c, t in results.dtypes]).write.option("header", True).csv(path)
+
+
+def read_results(spark: SparkSession, path: str, metrics: list[str], missing: str = "N/A") -> DataFrame:
+    """Results of CSV files; metrics are doubles, null where they hold `missing` or no number."""
+    raw = spark.read.option("header", True).option("nullValue", missing).csv(path)
+    return raw.withColumns({m: F.expr(f"try_cast(`{m}` AS double)") for m in metrics if m in raw.columns})
