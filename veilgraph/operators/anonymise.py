@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.operators.compare import ranked
-from veilgraph.operators.structure import common_neighbours, degrees, edge_common_neighbours, ncc_distance, short_codes
+from veilgraph.operators.structure import common_neighbours, degrees, edge_triangles, ncc_distance, short_codes
 from veilgraph.plans.staging import staged
 from veilgraph.sources.graphs import both_ways
 
@@ -98,7 +98,7 @@ def edge_significance(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
     top = d.agg(F.max("deg").alias("top"))
     both = edges.join(d.select(F.col("n").alias("u"), F.col("deg").alias("du")), "u").join(d.select(F.col("n").alias("v"), F.col("deg").alias("dv")), "v")
-    met = both.join(edge_common_neighbours(edges).select("u", "v", "common"), ["u", "v"], "left").crossJoin(F.broadcast(top))  # top is one row
+    met = both.join(edge_triangles(edges), ["u", "v"], "left").crossJoin(F.broadcast(top))  # top is one row
     c = F.coalesce("common", F.lit(0)).cast("long")
     return met.select("u", "v", ((F.col("du") + F.col("dv") - 2 * c) / (2.0 * F.col("top"))).alias("nc"), c.alias("common"))
 
@@ -160,3 +160,21 @@ def community_scores(groups: DataFrame, communities: DataFrame) -> DataFrame:
     whole = counts.groupBy("g").agg(F.sum("k").alias("size"), F.min(F.struct((-F.col("k")).alias("k"), "c"))["c"].alias("major"))
     rows = at.join(counts, ["g", "c"]).join(whole, "g")
     return rows.select("g", "n", F.when(F.col("c") == F.col("major"), 0.0).otherwise((F.col("size") - F.col("k")) / F.col("size")).alias("distance"))
+
+
+def cluster_costs(edges: DataFrame, groups: DataFrame, codes: DataFrame, communities: DataFrame, alpha: float = 1.0, beta: float = 0.2, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:
+    """(g, n, degree, code, neighbours, community, cost): how ill a node fits its group, and the weighted sum.
+
+    degree: the mean gap to the others' degrees over the largest degree; code: the mean code distance to them; the other
+    two as neighbour_scores() and community_scores() tell. A node alone has cost 0 but for its community.
+    """
+    top = groups.agg(F.greatest(F.max("deg").cast("double"), F.lit(1.0)).alias("top"))
+    a, b = groups.select("g", F.col("n").alias("u"), F.col("deg").alias("du")), groups.select("g", F.col("n").alias("v"), F.col("deg").alias("dv"))
+    pairs = a.join(b, "g").where("u <> v")  # groups have under 2k nodes
+    apart = pairs.join(ncc_distance(codes, pairs.select("u", "v")), ["u", "v"])
+    means = apart.groupBy(F.col("u").alias("n")).agg(F.avg(F.abs(F.col("du") - F.col("dv"))).alias("gap"), F.avg("distance").alias("code"))
+    near = neighbour_scores(edges, groups).select("n", F.col("distance").alias("neighbours"))
+    parts = community_scores(groups, communities).select("n", F.col("distance").alias("community"))
+    rows = groups.join(means, "n", "left").join(near, "n").join(parts, "n").crossJoin(F.broadcast(top))  # top is one row
+    some = rows.select("g", "n", (F.coalesce("gap", F.lit(0.0)) / F.col("top")).alias("degree"), F.coalesce("code", F.lit(0.0)).alias("code"), "neighbours", "community")
+    return some.withColumn("cost", alpha * F.col("degree") + beta * F.col("code") + gamma * F.col("neighbours") + delta * F.col("community"))

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.operators.compare import ranked
 from veilgraph.plans.staging import staged
 
 
@@ -72,13 +73,17 @@ def macro_recall(predicted: DataFrame) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
-    """(key, label, part): train, val or test by md5 order within each label; the first of a label trains."""
+    """(key, label, part): train, val or test by md5 order within each label; the first of a label trains.
+
+    Rows are numbered over ranges of (label, md5, key), which the rows of one label do not fill.
+    """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    w = Window.partitionBy(label)
-    ranked = rows.select(key, label, F.row_number().over(w.orderBy(h, key)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    placed = staged(ranked(rows.select(key, label, h.alias("_h")), [F.col(label), F.col("_h"), F.col(key)], "_place"), "places")
+    sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    numbered = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_r", F.col("_place") - F.col("_first") + 1)
     first = F.greatest(F.lit(1), F.floor(F.col("_n") * shares[0]))
     part = F.when(F.col("_r") <= first, "train").when(F.col("_r") <= first + F.floor(F.col("_n") * shares[1]), "val").otherwise("test")
-    return ranked.select(key, label, part.alias("part"))
+    return numbered.select(key, label, part.alias("part"))
 
 
 def finite(x: Column) -> Column:
@@ -110,8 +115,8 @@ def rank_within(results: DataFrame, within: str, score: str, name: str) -> DataF
 
 def best_worst(results: DataFrame, within: str, score: str, name: str) -> DataFrame:
     """(within, best, worst) by score; ties: the first name is best, the last worst."""
-    ranked = F.struct(F.col(score), F.col(name))
-    return results.where(F.col(score).isNotNull()).groupBy(within).agg(F.min(F.struct(-F.col(score), F.col(name)))[name].alias("best"), F.max(F.struct(-F.col(score), F.col(name)))[name].alias("worst"), F.max(ranked)[score].alias("best_score"))
+    pair = F.struct(F.col(score), F.col(name))
+    return results.where(F.col(score).isNotNull()).groupBy(within).agg(F.min(F.struct(-F.col(score), F.col(name)))[name].alias("best"), F.max(F.struct(-F.col(score), F.col(name)))[name].alias("worst"), F.max(pair)[score].alias("best_score"))
 
 
 def trend(results: DataFrame, by: str, along: str, score: str) -> DataFrame:

@@ -54,23 +54,37 @@ def neighbour_degree(edges: DataFrame) -> DataFrame:
 def common_neighbours(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(u, v, common, adamic_adar) of pairs with a common neighbour: the given ones, or all.
 
-    For given pairs the neighbours of u are met with the pairs first, so only their own wedges are made.
+    For given pairs the neighbours of the end with fewer of them are met with the pairs first, so only their own wedges
+    are made.
     """
-    weight = degrees(edges).select(F.col("n").alias("w"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(0.0).alias("weight"))
+    deg = degrees(edges)
+    weight = deg.select(F.col("n").alias("w"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(0.0).alias("weight"))
     s = both_ways(edges)
     if pairs is None:
         met = s.select(F.col("m").alias("u"), F.col("n").alias("w")).join(s.select(F.col("m").alias("v"), F.col("n").alias("w")), "w").where("u < v")
     else:
-        met = pairs.select("u", "v").join(s.select(F.col("n").alias("u"), F.col("m").alias("w")), "u").join(s.select(F.col("n").alias("v"), F.col("m").alias("w")), ["v", "w"])
+        sized = pairs.select("u", "v").join(deg.select(F.col("n").alias("u"), F.col("deg").alias("du")), "u").join(deg.select(F.col("n").alias("v"), F.col("deg").alias("dv")), "v")
+        least = F.when(F.col("du") <= F.col("dv"), F.col("u")).otherwise(F.col("v"))
+        ends = sized.select("u", "v", least.alias("a"), F.when(F.col("du") <= F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("b"))
+        met = ends.join(s.select(F.col("n").alias("a"), F.col("m").alias("w")), "a").join(s.select(F.col("n").alias("b"), F.col("m").alias("w")), ["b", "w"]).select("u", "v", "w")
     return met.join(weight, "w").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum("weight").alias("adamic_adar"))
 
 
+def _sides(edges: DataFrame) -> DataFrame:
+    """(u, v, w): the edges of every triangle with its third node."""
+    sides = [("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x")]
+    return triangles(edges).select(F.explode(F.array(*[F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(w).alias("w")) for a, b, w in sides])).alias("t")).select("t.*")
+
+
+def edge_triangles(edges: DataFrame) -> DataFrame:
+    """(u, v, common) of edges in a triangle: how many of them."""
+    return _sides(edges).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"))
+
+
 def edge_common_neighbours(edges: DataFrame) -> DataFrame:
     """As common_neighbours() for the edges themselves: their common neighbours are their triangles' third nodes."""
     weight = degrees(edges).select(F.col("n").alias("w"), F.when(F.col("deg") > 1, 1 / F.log("deg")).otherwise(0.0).alias("weight"))
-    sides = [("x", "y", "z"), ("x", "z", "y"), ("y", "z", "x")]
-    each = triangles(edges).select(F.explode(F.array(*[F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(w).alias("w")) for a, b, w in sides])).alias("t")).select("t.*")
-    return each.join(weight, "w").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum("weight").alias("adamic_adar"))
+    return _sides(edges).join(weight, "w").groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.sum("weight").alias("adamic_adar"))
 
 
 def core_numbers(edges: DataFrame, rounds: int = 500) -> DataFrame:
@@ -170,6 +184,17 @@ def path_lengths(dist: DataFrame, nodes: int) -> DataFrame:
     return far.select((F.col("c") / 2).cast("long").alias("pairs"), (F.col("s") / F.col("c")).alias("reachable_mean"), (F.col("s") / every).alias("all_pairs_mean"), "longest")
 
 
+def sampled_paths(edges: DataFrame, share: float = 0.0625, seed: int = 42) -> DataFrame:
+    """One row (sources, pairs, mean, error): path lengths from a share of the nodes, chosen by md5, to all that they reach.
+
+    The error is the standard error of the sources' own means. For graphs whose pairs of nodes are too many to list.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("n").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    far = distances(edges, nodes_of(edges).where(h < share)).where("dist > 0")
+    each = far.groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.sum("dist").alias("s"))
+    return each.agg(F.count(F.lit(1)).alias("sources"), F.sum("c").alias("pairs"), (F.sum("s") / F.sum("c")).alias("mean"), (F.stddev_samp(F.col("s") / F.col("c")) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("error"))
+
+
 def signatures(edges: DataFrame) -> DataFrame:
     """(n, deg, triangles, clustering, avg_neighbour_degree, ego_edges, largest, second): seven numbers a node."""
     comps = ego_components(edges).groupBy("ego").agg(F.reverse(F.array_sort(F.collect_list("size"))).alias("s"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, segments, structure
+from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, segments, structure, utility
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
 from veilgraph.sources import graphs
@@ -411,10 +411,22 @@ def path_lengths(spark, sf):
     return p.select("pairs", F.round("reachable_mean", 9).alias("reachable_mean"), F.round("all_pairs_mean", 9).alias("all_pairs_mean"), "longest")
 
 
-@query()
+_CODES = (
+    ", cr AS MATERIALIZED (SELECT ego AS n, size, edges, degrees, row_number() OVER (PARTITION BY ego ORDER BY size DESC, edges DESC, degrees DESC) AS r FROM ec), "
+    "cv AS MATERIALIZED (SELECT n, r, 0 AS i, size AS x FROM cr UNION ALL SELECT n, r, 1, edges FROM cr UNION ALL SELECT n, r, unnest(range(2, 2 + len(degrees))), unnest(degrees) FROM cr), cw AS MATERIALIZED (SELECT n, sum(x) AS w FROM cv GROUP BY n)"
+)
+
+
+def _apart(pairs: str) -> str:
+    """The code distances of a table of pairs, from numbers that meet at the same component and place."""
+    both = f"SELECT u, v, r, i, x FROM {pairs} JOIN cv ON cv.n = u UNION ALL SELECT u, v, r, i, -x FROM {pairs} JOIN cv ON cv.n = v"
+    return f"SELECT u, v, sum(x)::DOUBLE / max(greatest(a.w, b.w, 1))::DOUBLE AS distance FROM (SELECT u, v, r, i, abs(sum(x)) AS x FROM ({both}) GROUP BY u, v, r, i) JOIN cw a ON a.n = u JOIN cw b ON b.n = v GROUP BY u, v"
+
+
+@query(_with("sparse", _EGO + _CODES + f" SELECT u, v, round(distance, 9) AS distance FROM ({_apart('e')})"))
 def ego_code_distances(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return structure.ncc_distance(staged(structure.ncc_codes(g), "codes"), g)
+    return structure.ncc_distance(staged(structure.ncc_codes(g), "codes"), g).withColumn("distance", F.round("distance", 9))
 
 
 @query()
@@ -517,10 +529,29 @@ def community_scores(spark, sf):
     return anonymise.community_scores(anonymise.fixed_groups(g, K), parts).withColumn("distance", F.round("distance", 9))
 
 
-@query()
+_APART = _CODES + f", gp AS MATERIALIZED (SELECT a.g, a.n AS u, b.n AS v, abs(a.deg - b.deg) AS gap FROM g a JOIN g b ON a.g = b.g AND a.n <> b.n), ap AS MATERIALIZED ({_apart('gp')})"
+
+
+@query(_with("sparse", _GROUPS + _APART + ", md AS (SELECT g.g, first(g.n ORDER BY coalesce(m, 0), deg DESC, g.n) AS medoid, round_even(median(deg), 0)::BIGINT AS mid FROM g LEFT JOIN (SELECT u, round(avg(distance), 9) AS m FROM ap GROUP BY u) x ON x.u = g.n GROUP BY g.g) SELECT g.g, g.n, round(0.5::DOUBLE * abs(deg - mid) / greatest((SELECT max(deg) FROM g), 1) + 0.5::DOUBLE * coalesce(distance, 0), 9) AS score FROM g JOIN md ON md.g = g.g LEFT JOIN ap ON ap.u = g.n AND ap.v = medoid"))
 def profile_scores(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return anonymise.profile_scores(anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"))
+    return anonymise.profile_scores(anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes")).withColumn("score", F.round("score", 9))
+
+
+_COSTS = _GROUPS + _APART + (
+    ", dm AS (SELECT u AS n, avg(gap) AS gap, avg(distance) AS code FROM gp JOIN ap USING (u, v) GROUP BY u)"
+    f", nsc AS MATERIALIZED ({SQL['neighbour_scores']}), csc AS MATERIALIZED ({SQL['community_scores']})"
+    ", x AS (SELECT g.g, g.n, coalesce(gap, 0) / greatest((SELECT max(deg) FROM g), 1)::DOUBLE AS degree, coalesce(code, 0) AS code, nsc.distance AS neighbours, csc.distance AS community FROM g LEFT JOIN dm ON dm.n = g.n JOIN nsc ON nsc.n = g.n JOIN csc ON csc.n = g.n)"
+    " SELECT g, n, round(degree, 6) AS degree, round(code, 6) AS code, round(neighbours, 6) AS neighbours, round(community, 6) AS community, round(1.0::DOUBLE * degree + 0.2::DOUBLE * code + 0.2::DOUBLE * neighbours + 0.1::DOUBLE * community, 6) AS cost FROM x"
+)
+
+
+@query(_with("sparse", _COSTS))
+def cluster_costs(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    parts = connected_components(g).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    costs = anonymise.cluster_costs(g, anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"), parts)
+    return costs.withColumns({c: F.round(c, 6) for c in ("degree", "code", "neighbours", "community", "cost")})
 
 
 @query()
@@ -564,3 +595,33 @@ def overlaid_results(spark, sf):
     first, second = (r.where(F.col("dataset") == d).groupBy("k", "method") for d in "FO")
     s = F.round(F.avg("score"), 6).alias("s")
     return evaluate.overlaid([first.agg(s), second.agg(s, F.round(F.avg("loss"), 6).alias("extra"))], ["k", "method"])
+
+
+@query(_with("sparse", ", b(src, n, dist) AS (SELECT n, n, 0 FROM d WHERE ('0x' || substr(md5(concat_ws('|', '42', n::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.0625 UNION SELECT b.src, s.m, b.dist + 1 FROM b JOIN s ON s.n = b.n WHERE b.dist < 24), x AS (SELECT src, n, min(dist) AS dist FROM b GROUP BY src, n), y AS (SELECT src, count(*) AS c, sum(dist)::DOUBLE AS t FROM x WHERE dist > 0 GROUP BY src) SELECT count(*) AS sources, sum(c)::BIGINT AS pairs, round(sum(t) / sum(c), 9) AS mean, round(stddev_samp(t / c) / sqrt(count(*)), 9) AS error FROM y"))
+def sampled_paths(spark, sf):
+    return structure.sampled_paths(_graph(spark, sf, "sparse")).withColumns({c: F.round(c, 9) for c in ("mean", "error")})
+
+
+_EDGES["train"] = f"SELECT u, v FROM ({_EDGES['sparse']}) EXCEPT SELECT u, v FROM ({SQL['protected_split']})"
+_EDGES["published_train"] = _with("train", _GROUPS + _RING + _OUTSIDE + " SELECT u, v FROM e UNION SELECT u, v FROM ring UNION SELECT u, v FROM ext")
+_UTILITY = (
+    f", te AS MATERIALIZED ({SQL['protected_split']}), pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM te) + 64)) AS id)), "
+    "dp AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL), ng AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM dp ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM te)), "
+    f"pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng), gr AS MATERIALIZED (SELECT 'original' AS method, u, v FROM ({_EDGES['train']}) UNION ALL SELECT 'published', u, v FROM ({_EDGES['published_train']})), "
+    "gs AS MATERIALIZED (SELECT method, u AS n, v AS m FROM gr UNION ALL SELECT method, v, u FROM gr), gd AS (SELECT method, n, count(*) AS deg FROM gs GROUP BY method, n), "
+    "aa AS (SELECT a.method, pr.u, pr.v, sum(CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END) AS s FROM pr JOIN gs a ON a.n = pr.u JOIN gs b ON b.method = a.method AND b.n = pr.v AND b.m = a.m JOIN gd ON gd.method = a.method AND gd.n = a.m GROUP BY ALL), "
+    "sc AS MATERIALIZED (SELECT method, u, v, y, round(coalesce(s, 0), 9) AS score FROM pr CROSS JOIN (SELECT DISTINCT method FROM gr) LEFT JOIN aa USING (method, u, v)), "
+    "bs AS (SELECT method, score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY method, score), rk AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER z AS np, sum(q) OVER z AS nq FROM bs WINDOW w AS (PARTITION BY method ORDER BY score DESC), z AS (PARTITION BY method)), "
+    "ms AS (SELECT method, sum(q * (tp - p / 2)) / (max(np) * max(nq)) AS auc, sum(p * tp / (tp + fp)) / max(np) AS ap FROM rk GROUP BY method), "
+    "pk AS (SELECT method, avg(y) AS p100 FROM (SELECT method, y, row_number() OVER (PARTITION BY method ORDER BY score DESC, y DESC, u, v) AS r FROM sc) WHERE r <= 100 GROUP BY method), "
+    "al AS MATERIALIZED (SELECT * FROM ms JOIN pk USING (method)), o AS (SELECT auc AS auc0, ap AS ap0, p100 AS p0 FROM al WHERE method = 'original') "
+    "SELECT method, (SELECT count(*) FROM gr WHERE method = 'original') AS num_edges_train, (SELECT count(*) FROM te) AS num_test_pos_edges, round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(p100, 6) AS precision_at_100, round(auc0 - auc, 6) AS auc_loss, "
+    "round(ap0 - ap, 6) AS ap_loss, round(auc / auc0, 6) AS auc_utility_ratio, round(ap / ap0, 6) AS ap_utility_ratio, round(p100 / p0, 6) AS precision_at_100_utility_ratio FROM al, o"
+)
+
+
+@query(_with("sparse", _UTILITY))
+def utility_ratios(spark, sf):
+    rows = utility.compare_utility(_graph(spark, sf, "sparse"), {"published": lambda train: anonymise.publish(train, K)}, seeds=(42,))
+    names = ("auc", "average_precision", "precision_at_100", "auc_loss", "ap_loss", "auc_utility_ratio", "ap_utility_ratio", "precision_at_100_utility_ratio")
+    return rows.select("method", *[F.col(c).cast("long").alias(c) for c in ("num_edges_train", "num_test_pos_edges")], *[F.round(c, 6).alias(c) for c in names])
