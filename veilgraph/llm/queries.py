@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm import decontaminate, licences, mixing, pages, pii, simhash, suffixes, token_table, topk, toxicity
+from veilgraph.llm import decontaminate, divergence, lexical, licences, lines, mixing, pages, pii, simhash, suffixes, token_table, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,19 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_suffixes": op2_suffixes, "op6_pii": op6_pii, "op7_pages": op7_pages, "op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
-SQL: dict[str, str] = {"op5_licences": licences.sql(), "op10_mixing": mixing.sql()}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.apply(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_lexical": op11_lexical, "op12_lines": op12_lines, "op13_divergence": op13_divergence, "op2_suffixes": op2_suffixes, "op6_pii": op6_pii, "op7_pages": op7_pages, "op5_licences": op5_licences, "op10_mixing": op10_mixing, "op4_topk": op4_topk, "op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op8_token_table": op8_token_table, "op9_simhash": op9_simhash}
+SQL: dict[str, str] = {"op11_lexical": lexical.sql(), "op12_lines": lines.sql(), "op13_divergence": divergence.sql(), "op5_licences": licences.sql(), "op10_mixing": mixing.sql()}
