@@ -3,7 +3,7 @@
 A line's key (ends stripped, A-Z in lower case) becomes 128 bits of md5. Hashes go to ranges, sorted there by
 document and position, so that one pass tells a hash's documents and its first line. What comes back is no text but,
 for each document, the lines where keeping turns into dropping and back. A hash that would fill a range is known
-beforehand: seen in enough documents of a sixteenth of all, it is decided without being sent anywhere.
+beforehand: seen in enough documents of a sixteenth of all, it is decided, and its rows go to many ranges.
 """
 
 from __future__ import annotations
@@ -48,16 +48,17 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST, first: bool = False, id_co
     sample = lines.where(F.substring(F.hex("row"), 1, 1) == "0")
     share = (sample.count() or 0) / (4 * ranges)
     heavy = staged(sample.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("row").alias("docs")).where((F.col("docs") >= least) & (F.col("c") >= share)).select("h"), "heavy")  # 4 rows a range at most
-    light = lines.join(F.broadcast(heavy), "h", "left_anti").repartitionByRange(ranges, "h")
-    order = Window.partitionBy("h").orderBy("id", "row", "at")
-    met = light.withColumn("place", F.row_number().over(order)).withColumn("opens", F.coalesce(F.lag("row").over(order) != F.col("row"), F.lit(True)))
-    common = met.withColumn("docs", F.sum(F.col("opens").cast("long")).over(Window.partitionBy("h"))).where(F.col("docs") >= least)
-    full = lines.join(F.broadcast(heavy), "h", "left_semi")
+    sure = heavy.select("h", F.lit(True).alias("sure"))
+    salted = lines.join(F.broadcast(sure), "h", "left").withColumn("salt", F.when(F.col("sure"), F.pmod(F.xxhash64("row"), F.lit(ranges))).otherwise(0))
+    group = Window.partitionBy("h", "salt")
+    order = group.orderBy("id", "row", "at")
+    met = salted.repartitionByRange(ranges, "h", "salt").withColumn("place", F.row_number().over(order)).withColumn("opens", F.coalesce(F.lag("row").over(order) != F.col("row"), F.lit(True)))
+    common = met.withColumn("docs", F.sum(F.col("opens").cast("long")).over(group)).where((F.col("docs") >= least) | F.col("sure"))
     if first:
-        common = common.where("place > 1")
-        start = full.groupBy("h").agg(F.min(F.struct("id", "row", "at")).alias("s")).select("h", F.col("s.row").alias("r0"), F.col("s.at").alias("a0"))
-        full = full.join(F.broadcast(start), "h").where("row <> r0 OR at <> a0")  # as many rows as heavy
-    dropped = common.select("row", "at").unionByName(full.select("row", "at")).groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        common = staged(common.select("h", "id", "row", "at", "place"), "common")
+        start = common.where("place = 1").groupBy("h").agg(F.min(F.struct("id", "row", "at")).alias("s")).select("h", F.col("s.row").alias("row"), F.col("s.at").alias("at"))
+        common = common.join(start, ["h", "row", "at"], "left_anti")
+    dropped = common.select("row", "at").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("at"))
     after = F.transform("at", lambda i: i + 1)
     turns = F.flatten(F.zip_with(F.array_except("at", after), F.array_except(after, "at"), lambda a, b: F.array(a, b)))
     told = dropped.select(F.col("row").alias("r"), F.size("at").cast("long").alias("dropped"), turns.alias("turns"))
