@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -20,46 +21,49 @@ from veilgraph.llm.words import splitter, sql_words
 from veilgraph.plans.staging import discard, staged
 
 LEAST, RANKS, UNIT = 3, 200, 1_000_000_000
-#: Different words, and bytes of them, that a task counts before it writes.
-HELD, HELD_BYTES = 200_000, 32_000_000
+#: Different words, and bytes of text, that a task counts before it writes; words whose spelling it knows it has written.
+HELD, HELD_BYTES, KNOWN = 400_000, 64_000_000, 1_000_000
 COUNTS = "lang string, source string, digest long, word string, tf long, df long"
 
 
-def _counts(bits: int):
-    """Of batches (lang, source, text): COUNTS, summed over as many documents as a task holds words of."""
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    names = [c.split()[0] for c in COUNTS.split(", ")]
+def _counts(bits: int, named: bool):
+    """Of batches (lang, source, text): COUNTS, summed over as many documents as a task holds words of.
 
-    def digest(word: bytes) -> int:
-        return int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True) >> (64 - bits)
+    The word itself stands in the first row of a digest, or in all if `named`.
+    """
+    names = [c.split()[0] for c in COUNTS.split(", ")]
 
-    def table(tf: dict, df: dict) -> pa.RecordBatch:
-        rows = [(*g, digest(w), w.decode(), c, df[g][w]) for g, ws in tf.items() for w, c in ws.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    def table(group: tuple, tf: Counter, df: Counter, known: set) -> pa.RecordBatch:
+        digests = [xxhash.xxh64_intdigest(w) >> (64 - bits) for w in tf]
+        words = list(tf) if named else [None if d in known else w for d, w in zip(digests, tf, strict=True)]
+        known.update(digests)
+        columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array(list(df.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays([*[pa.array([g] * len(tf), pa.string()) for g in group], *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, tf, df, held, size = splitter(digits=False), {}, {}, 0, 0
+        split, counts, held, size, known = splitter(digits=False), {}, 0, 0, set()
         for batch in batches:
-            for lang, source, raw in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                words, group = split(raw.as_py()), (lang, source)
-                own = Counter(words)
-                all_of, docs_of = tf.setdefault(group, Counter()), df.setdefault(group, Counter())
-                new = [w for w in own if w not in all_of]
-                held, size = held + len(new), size + sum(map(len, new))
-                all_of.update(own)
-                docs_of.update(own.keys())
+            for *group, raw in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                tf, df = counts.setdefault(tuple(group), (Counter(), Counter()))
+                words, before = split(raw), len(tf)
+                tf.update(words)
+                df.update(dict.fromkeys(words).keys())  # in the order in which tf has them
+                held, size = held + len(tf) - before, size + len(raw)
                 if held > HELD or size > HELD_BYTES:
-                    yield table(tf, df)
-                    tf, df, held, size = {}, {}, 0, 0
-        yield table(tf, df)
+                    yield from (table(g, *c, known) for g, c in counts.items())
+                    counts, held, size = {}, 0, 0
+                    known = known if len(known) < KNOWN else set()
+        yield from (table(g, *c, known) for g, c in counts.items())
 
     return run
 
 
 def share(count: Column, words: Column, kinds: Column) -> Column:
-    """1 + floor(UNIT * (count + 1) / (words + kinds)), exact at any count; for no kinds at all, 1."""
+    """1 + floor(UNIT * (count + 1) / (words + kinds)), exact at any count; for no kinds at all, UNIT * (count + 1) + 1."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return 1 + F.call_function("div", wide(count + 1) * F.lit(UNIT).cast("decimal(10,0)"), wide(F.greatest(words + kinds, F.lit(1)))).cast("long")
+    below = F.greatest(words + kinds, F.lit(1))
+    large = F.call_function("div", wide(count + 1) * F.lit(UNIT).cast("decimal(10,0)"), wide(below))
+    return 1 + F.when(count < 9_000_000_000, F.call_function("div", UNIT * (count + 1), below)).otherwise(large)
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -78,45 +82,49 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, bits: int = 6
     """
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
     plain = docs.select(none(lang_col).alias("lang"), none(source_col).alias("source"), none(text_col).alias("text"))
-    local = staged(plain.mapInArrow(_counts(bits), COUNTS), "word-counts")
-    words = staged(local.groupBy("digest").agg(F.min("word").alias("word"), F.max("word").alias("last")), "words")
+    local = staged(plain.mapInArrow(_counts(bits, False), COUNTS), "word-counts")
+    words = staged(local.where("word IS NOT NULL").groupBy("digest").agg(F.min("word").alias("word"), F.max("word").alias("last")), "words")
     shared = words.where("word < last").select("digest")
     sums = local.groupBy("lang", "source", "digest").agg(F.lit("").alias("split"), F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     if shared.limit(1).count():
-        apart = local.join(shared, "digest", "left_semi").groupBy("lang", "source", "digest", F.col("word").alias("split")).agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        apart = plain.mapInArrow(_counts(bits, True), COUNTS).join(shared, "digest", "left_semi").groupBy("lang", "source", "digest", F.col("word").alias("split")).agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         sums = sums.join(shared, "digest", "left_anti").unionByName(apart)
     each = F.collect_list(F.struct("source", "tf")).alias("each")  # a language's sources at most
     kept = staged(sums.groupBy("lang", "digest", "split").agg(F.sum("tf").alias("all"), F.sum("df").alias("df"), each).where(F.col("df") >= least), "kept")
     discard(local)
     groups = plain.select("lang", "source").distinct()
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("all").alias("words"))
-    own = kept.select("lang", F.explode("each").alias("e")).groupBy("lang", F.col("e.source").alias("source")).agg(F.sum("e.tf").alias("words"), F.count(F.lit(1)).alias("held"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    stats = groups.join(langs.withColumnRenamed("words", "all_words"), "lang", "left").join(own, ["lang", "source"], "left")
-    stats = staged(stats.select("lang", "source", zero("kinds").alias("kinds"), zero("all_words").alias("all_words"), zero("words").alias("words"), zero("held").alias("held")), "groups")
-    out = _pairs(kept, stats).unionByName(_terms(kept, stats, words, ranks))
+    counts = staged(kept.select("lang", F.explode("each").alias("e")).groupBy("lang", F.col("e.source").alias("source"), F.col("e.tf").alias("n")).agg(F.count(F.lit(1)).alias("c")), "counts")
+    own = counts.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("c")).alias("words"), F.sum("c").alias("held"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    stats = groups.join(langs.withColumnRenamed("words", "all_words"), "lang", "left").join(own, ["lang", "source"], "left").select("lang", "source", *map(zero, ("kinds", "all_words", "words", "held")))
+    stats = staged(stats.withColumn("none", share(F.lit(0), F.col("words"), F.col("kinds"))), "groups")
+    out = _pairs(kept, counts, stats).unionByName(_terms(kept, stats, words, ranks))
     return out.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
-def _pairs(kept: DataFrame, stats: DataFrame) -> DataFrame:
-    """Part `pair`. The words of two sources are told by their counts (a, b) alone, so each pair of counts is met once
-    with the number of its words: words in both from the words' own lists, the others from each source's counts."""
-    hist = staged(kept.select("lang", F.explode("each").alias("e")).groupBy("lang", F.col("e.source").alias("source"), F.col("e.tf").alias("n")).agg(F.count(F.lit(1)).alias("c")), "histogram")
-    x = kept.select("lang", "each", F.explode("each").alias("x")).select("lang", "x", F.explode("each").alias("y")).where("x.source <> y.source")
-    both = x.groupBy("lang", F.col("x.source").alias("g"), F.col("y.source").alias("h"), F.col("x.tf").alias("a"), F.col("y.tf").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    cases = F.explode(F.array(*[F.struct(F.col(a).alias("a") if a else F.lit(0).cast("long").alias("a"), F.col(b).alias("b") if b else F.lit(0).cast("long").alias("b"), (F.col("c") * s).alias("c")) for a, b, s in (("a", "b", 1), ("a", "", -1), ("", "b", -1), ("", "", 1))]))
-    met = both.select("lang", "g", "h", cases.alias("z")).select("lang", "g", "h", "z.*")
-    g = stats.select("lang", F.col("source").alias("g"), F.col("words").alias("gw"), F.col("held").alias("gk"), "kinds")
-    h = stats.select("lang", F.col("source").alias("h"), F.col("words").alias("hw"), F.col("held").alias("hk"))
-    pairs = staged(g.join(h, "lang").where("g <> h"), "pairs")  # the pairs that are asked for
-    zero = F.lit(0).cast("long")
-    first = pairs.select("lang", "g", "h").join(hist.select("lang", F.col("source").alias("g"), F.col("n").alias("a"), "c"), ["lang", "g"]).select("lang", "g", "h", "a", zero.alias("b"), "c")
-    second = pairs.select("lang", "g", "h").join(hist.select("lang", F.col("source").alias("h"), F.col("n").alias("b"), "c"), ["lang", "h"]).select("lang", "g", "h", zero.alias("a"), "b", "c")
-    rest = pairs.select("lang", "g", "h", zero.alias("a"), zero.alias("b"), (F.col("kinds") - F.col("gk") - F.col("hk")).alias("c"))
-    counts = met.unionByName(first).unionByName(second).unionByName(rest).groupBy("lang", "g", "h", "a", "b").agg(F.sum("c").alias("c")).where("c <> 0")
-    p, q = share(F.col("a"), F.col("gw"), F.col("kinds")), share(F.col("b"), F.col("hw"), F.col("kinds"))
-    sums = counts.join(pairs, ["lang", "g", "h"]).groupBy("lang", "g", "h").agg(F.sum((F.col("c") * gap(p, q).cast("decimal(20,0)"))).cast("long").alias("value"))
-    out = pairs.join(sums, ["lang", "g", "h"], "left").select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), F.coalesce("value", zero).alias("value"))
+def _pairs(kept: DataFrame, counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """Part `pair`. A sum over all words is that over the words of either source, as if the other had none of them, from
+    the sources' numbers of words of each count; that over words of neither; and, for words in both, what the first was
+    wrong by, from the words' own lists of sources."""
+    group = F.map_from_entries(F.collect_list(F.struct("source", F.struct("words", "none"))))  # a language's sources
+    of = stats.groupBy("lang", "kinds").agg(group.alias("of"))
+    known = lambda e: F.struct(e["source"].alias("source"), share(e["tf"], F.col("of")[e["source"]]["words"], F.col("kinds")).alias("p"), F.col("of")[e["source"]]["none"].alias("z"))
+    shares = kept.where(F.size("each") > 1).join(of, "lang").select("lang", F.transform("each", known).alias("each"))
+    x = shares.select("lang", "each", F.explode("each").alias("x")).select("lang", "x", F.explode("each").alias("y")).where("x.source <> y.source")  # the pairs that are asked for
+    parts = {k: F.col(f"{s}.{c}") for k, s, c in (("p", "x", "p"), ("zp", "x", "z"), ("q", "y", "p"), ("zq", "y", "z"))}
+    wrong = gap(parts["p"], parts["q"]) - gap(parts["p"], parts["zq"]) - gap(parts["zp"], parts["q"]) + gap(parts["zp"], parts["zq"])
+    wide = lambda c: c.cast("decimal(38,0)").alias("value")
+    both = x.select("lang", F.col("x.source").alias("g"), F.col("y.source").alias("h"), wide(wrong)).groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
+    side = lambda s, a: stats.select("lang", F.col("source").alias(s), F.col("none").alias(f"z{a}"), F.col("held").alias(f"n{a}"))
+    pairs = staged(side("g", "p").join(side("h", "q"), "lang").where("g <> h").join(stats.select("lang", "kinds").distinct(), "lang"), "pairs")
+    level = staged(counts.join(stats, ["lang", "source"]).groupBy("lang", "source", share(F.col("n"), F.col("words"), F.col("kinds")).alias("s")).agg(F.sum("c").alias("c")), "levels")
+    first = pairs.join(level.withColumnRenamed("source", "g"), ["lang", "g"]).select("lang", "g", "h", wide(F.col("c") * gap(F.col("s"), F.col("zq")).cast("decimal(20,0)")))
+    second = pairs.join(level.withColumnRenamed("source", "h"), ["lang", "h"]).select("lang", "g", "h", wide(F.col("c") * gap(F.col("zp"), F.col("s")).cast("decimal(20,0)")))
+    rest = pairs.select("lang", "g", "h", wide((F.col("kinds") - F.col("np") - F.col("nq")) * gap(F.col("zp"), F.col("zq")).cast("decimal(20,0)")))
+    every = both.select("lang", "g", "h", wide(F.col("value"))).unionByName(first).unionByName(second).unionByName(rest)
+    sums = every.groupBy("lang", "g", "h").agg(F.sum("value").cast("long").alias("value"))
+    out = sums.select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), "value")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")))
 
 
