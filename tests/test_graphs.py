@@ -215,18 +215,52 @@ def plain_segments(degs, k, squared):
 
 
 @pytest.mark.parametrize("squared", [False, True])
-def test_segments(spark, squared):
-    for seed in range(30):
+def test_segment_ends(squared):
+    for seed in range(40):
         rng = random.Random(seed)
-        degs = sorted((int(rng.expovariate(0.2)) + 1 for _ in range(rng.randrange(5, 60))), reverse=True)
-        hist = [(d, len(list(g))) for d, g in itertools.groupby(degs)]
-        assert [n for _, n, _ in segments.cut(hist, 4, squared)] == plain_segments(degs, 4, squared)
-    edges = random_edges(60, 150, 2)
-    rows = sorted(segments.degree_segments(frame(spark, edges), 4, squared).collect(), key=lambda r: r["rank"])
-    adj = adjacency(edges)
-    degs = sorted(map(len, adj.values()), reverse=True)
-    assert [r["deg"] for r in rows] == degs
-    assert [len(list(g)) for _, g in itertools.groupby(rows, key=lambda r: r["segment"])] == plain_segments(degs, 4, squared)
+        degs = sorted((int(rng.expovariate(0.2)) + 1 for _ in range(rng.randrange(5, 90))), reverse=True)
+        runs = [(d, len(list(g))) for d, g in itertools.groupby(degs)]
+        at = segments.Stretch(0, *map(list, zip(*runs)), 4, squared, len(degs))
+        sizes, s = [], 0
+        while s < len(degs):
+            sizes.append(at.end(s) - s)
+            s += sizes[-1]
+        assert sizes == plain_segments(degs, 4, squared)
+        few = segments.Stretch(0, [d for d, _ in runs[:3]], [n for _, n in runs[:3]], 4, squared, len(degs))
+        assert all(few.end(s) in (None, at.end(s)) for s in range(few.ends[-1]))
+        for e in range(len(degs)):
+            flat, deg, to = at.landing(e)
+            assert to == e + 4 * flat and all(at.end(e + 4 * i) == e + 4 * i + 4 and degs[e + 4 * i] == deg for i in range(flat))
+
+
+def star_and_pairs(pairs):
+    return [(0, i) for i in range(1, 30)] + [(1, 2), (2, 3)] + [(100 + 2 * i, 101 + 2 * i) for i in range(pairs)]
+
+
+@pytest.mark.parametrize(("edges", "k", "squared"), [(random_edges(60, 150, 2), 4, False), (random_edges(60, 150, 2), 4, True), (star_and_pairs(150), 7, False), (NAMED["none"], 3, False), (NAMED["path4"], 5, True), (random_edges(300, 900, 3), 2, True)])
+def test_segments(spark, edges, k, squared):
+    rows = sorted(segments.degree_segments(frame(spark, edges), k, squared).collect(), key=lambda r: r["rank"])
+    degs = sorted(map(len, adjacency(edges).values()), reverse=True)
+    assert [r["deg"] for r in rows] == degs and [r["rank"] for r in rows] == list(range(1, len(degs) + 1))
+    sizes = plain_segments(degs, k, squared)
+    assert [r["segment"] for r in rows] == [i for i, n in enumerate(sizes) for _ in range(n)]
+    at = 0
+    for n in sizes:
+        part = degs[at : at + n]
+        middle = sorted(part)
+        both = [round(sum(part) / n), round((middle[(n - 1) // 2] + middle[n // 2]) / 2)]
+        cost = [sum(abs(d - c) ** (1 + squared) for d in part) for c in both]
+        assert {r["target"] for r in rows[at : at + n]} == {both[0] if cost[0] < cost[1] else both[1]}
+        at += n
+
+
+def test_chained_links(spark):
+    links = spark.createDataFrame([(i, i + 3 if i + 3 < 60 else None, i % 4) for i in range(-1, 60)], "s long, next long, w long")
+    want, s, at = [], -1, 0
+    while s is not None:
+        want.append((s, at))
+        s, at = (s + 3 if s + 3 < 60 else None), at + s % 4
+    assert sorted(tuple(r) for r in segments.chained(links, -1).collect()) == want
 
 
 def test_rewire_moves_towards_targets(spark):

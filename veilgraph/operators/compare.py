@@ -62,18 +62,26 @@ def wasserstein(original: DataFrame, published: DataFrame) -> DataFrame:
     return both.select(gap.alias("g")).agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("distance"))
 
 
-def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """df with its rows' numbers from 1 in a total order of columns.
+def running(df: DataFrame, order: list, value: str | None = None, name: str = "sum", rank: str = "rank") -> DataFrame:
+    """df with its rows' numbers from 1 in a total order of columns and, if a value is named, its sum up to each row.
 
     Rows go to ranges of the order, which no single value can fill, and each range counts from where those before it
     end; only a row a range is summed in one place.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = staged(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # a row a range
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_i", inner).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_part", "_i", "_before")
+    placed = staged(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).withColumn("_v", F.col(value).cast("long") if value else F.lit(0).cast("long")), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"))
+    upto = Window.orderBy("_part")
+    before = sizes.select("_part", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), (F.sum("_s").over(upto) - F.col("_s")).alias("_left"))  # a row a range
+    inner = Window.partitionBy("_part").orderBy(*order)
+    met = placed.withColumn("_i", F.row_number().over(inner)).withColumn("_j", F.sum("_v").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(F.broadcast(before), "_part")
+    out = met.withColumn(rank, (F.col("_before") + F.col("_i")).cast("long"))
+    return (out.withColumn(name, F.col("_left") + F.col("_j")) if value else out).drop("_part", "_i", "_j", "_v", "_before", "_left")
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with its rows' numbers from 1 in a total order of columns, as running() gives them."""
+    return running(df, order, rank=name)
 
 
 def ordered_by_degree(edges: DataFrame) -> DataFrame:

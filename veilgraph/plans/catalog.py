@@ -429,12 +429,28 @@ def ego_code_distances(spark, sf):
     return structure.ncc_distance(staged(structure.ncc_codes(g), "codes"), g).withColumn("distance", F.round("distance", 9))
 
 
-@query()
+def _segments_sql(power: int) -> str:
+    """Segments one after another: r holds each step of each segment's end."""
+    x = lambda s, e: f"list_slice(l, {s} + 1, {e})"
+    cost = lambda x: f"least(list_sum([abs(v - round_even(list_avg({x}), 0)) ** {power} for v in {x}]), list_sum([abs(v - round_even(list_aggregate({x}, 'median'), 0)) ** {power} for v in {x}]))"
+    more = f"total - e >= {K} + 1 AND {cost(x('s', 'e + 1'))} + {cost(x('e + 1', f'e + 1 + {K}'))} < {cost(x('s', 'e'))} + {cost(x('e', f'e + {K}'))}"
+    first = f"CASE WHEN total - {{0}} >= {2 * K} THEN {{0}} + {K} ELSE total END"
+    mean, median = "round_even(list_avg(x), 0)::BIGINT", "round_even(list_aggregate(x, 'median'), 0)::BIGINT"
+    sums = lambda m: f"list_sum([abs(v - {m}) ** {power} for v in x])"
+    return _with("dense", f""", o AS MATERIALIZED (SELECT n, deg, row_number() OVER (ORDER BY deg DESC, n) AS rank FROM d), a AS MATERIALIZED (SELECT list(deg ORDER BY rank) AS l, count(*) AS total FROM o),
+    r(s, e, l, total) AS (SELECT 0::BIGINT, {first.format("0::BIGINT")}, l, total FROM a UNION ALL
+      SELECT CASE WHEN m THEN s ELSE e END, CASE WHEN m THEN e + 1 ELSE {first.format("e")} END, l, total FROM (SELECT *, {more} AS m FROM r WHERE e < total)),
+    g AS MATERIALIZED (SELECT s, e, row_number() OVER (ORDER BY s) - 1 AS segment, list_slice((SELECT l FROM a), s + 1, e) AS x FROM (SELECT s, max(e) AS e FROM r GROUP BY s)),
+    t AS (SELECT s, e, segment, CASE WHEN {sums(mean)} < {sums(median)} THEN {mean} ELSE {median} END AS target FROM g)
+    SELECT n, deg, rank, segment, target FROM o JOIN t ON rank > s AND rank <= e""")
+
+
+@query(_segments_sql(1))
 def degree_segments_mae(spark, sf):
     return segments.degree_segments(_graph(spark, sf, "dense"), K)
 
 
-@query()
+@query(_segments_sql(2))
 def degree_segments_squared(spark, sf):
     return segments.degree_segments(_graph(spark, sf, "dense"), K, squared=True)
 
