@@ -1,0 +1,199 @@
+import itertools
+import json
+import random
+
+import pytest
+
+from veilgraph.operators import neighbourhoods as nb
+from veilgraph.operators import structure
+
+from tests.test_graphs import adjacency, frame, parts, random_edges
+
+
+def plain_code(labels, edges):
+    n, edges = len(labels), {frozenset(e) for e in edges}
+    best = min((tuple(labels[i] for i in o), tuple(int(frozenset((o[i], o[j])) in edges) for i in range(n) for j in range(i + 1, n))) for o in itertools.permutations(range(n)))
+    return json.dumps(list(best[0]), ensure_ascii=False) + "".join(map(str, best[1]))
+
+
+def test_least_code_is_the_least_of_all_orders():
+    for n in range(1, 6):
+        pairs = list(itertools.combinations(range(n), 2))
+        for bits in range(2 ** len(pairs)):
+            edges = [e for i, e in enumerate(pairs) if bits >> i & 1]
+            labels = ["b" if (bits + i) % 3 else "a" for i in range(n)]
+            assert nb.least_code(labels, edges) == plain_code(labels, edges)
+            assert nb.least_code(["x"] * n, edges) == plain_code(["x"] * n, edges)
+
+
+def test_least_code_of_six_and_seven_nodes():
+    rng = random.Random(1)
+    for n, some in ((6, 60), (7, 15)):
+        for _ in range(some):
+            edges = [e for e in itertools.combinations(range(n), 2) if rng.random() < rng.choice([0.3, 0.5, 0.8])]
+            labels = [rng.choice(["ä", "b", 'q"|']) for _ in range(n)]
+            assert nb.least_code(labels, edges) == plain_code(labels, edges)
+    for n in (8, 9):  # as many orders as there can be
+        assert nb.least_code(["*"] * n, list(itertools.combinations(range(n), 2))).endswith("1" * (n * (n - 1) // 2))
+        assert nb.least_code(["*"] * n, [(i, (i + 1) % n) for i in range(n)]).count("1") == n
+
+
+def same(labels, e, f):
+    n = len(labels[0])
+    e, f = ({frozenset(x) for x in y} for y in (e, f))
+    return any(all(labels[0][i] == labels[1][o[i]] for i in range(n)) and {frozenset(o[x] for x in pair) for pair in e} == f for o in itertools.permutations(range(n)))
+
+
+def test_isomorphic():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randrange(1, 7)
+        pairs = list(itertools.combinations(range(n), 2))
+        e = [p for p in pairs if rng.random() < 0.5]
+        o = rng.sample(range(n), n)
+        f = [tuple(sorted((o[a], o[b]))) for a, b in e] if rng.random() < 0.6 else rng.sample(pairs, len(e))
+        p = [rng.choice("ab") for _ in range(n)]
+        q = [p[o.index(i)] for i in range(n)] if rng.random() < 0.8 else rng.sample(p, n)
+        assert nb.isomorphic((p, q), (set(e), set(f))) == same((p, q), e, f)
+    ring = lambda n, o=0: {tuple(sorted((o + i, o + (i + 1) % n))) for i in range(n)}
+    assert not nb.isomorphic((["x"] * 12, ["x"] * 12), (ring(12), ring(6) | ring(6, 6))) and nb.isomorphic((["x"] * 80, ["x"] * 80), (ring(80), ring(80)))
+
+
+def components(edges, labels):
+    """Of each node: (labels, edges) of the components of its neighbourhood."""
+    adj, out = adjacency(edges), {}
+    for n, near in adj.items():
+        among = {a: adj[a] & near for a in near}
+        out[n] = []
+        for part in parts(among, near):
+            at = sorted(part)
+            out[n].append(([labels.get(x, "*") for x in at], [(i, j) for i, j in itertools.combinations(range(len(at)), 2) if at[j] in adj[at[i]]]))
+    return out
+
+
+def labelled(edges, kinds, seed):
+    rng = random.Random(seed)
+    return {n: rng.choice(kinds) for n in adjacency(edges) if rng.random() < 0.9}
+
+
+HUB = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 30, 3)] + [(i, i + 1) for i in range(2, 30, 3)] + [(1, 3)]
+
+
+@pytest.mark.parametrize(("edges", "kinds"), [(random_edges(40, 110, 7), "a"), (random_edges(40, 130, 8), "ab"), (HUB, "ab")])
+def test_codes(spark, edges, kinds):
+    labels = labelled(edges, kinds, 3)
+    got = {r["n"]: r["code"] for r in nb.neighbourhood_codes(frame(spark, edges), spark.createDataFrame(list(labels.items()), "n long, label string"), 7).collect()}
+    want = {}
+    for n, comps in components(edges, labels).items():
+        assert max(len(ls) for ls, _ in comps) <= 7
+        codes = [(len(ls), len(es), plain_code(ls, es)) for ls, es in comps]
+        want[n] = "|".join(f"{codes.count(c)}x{c[2]}" for c in sorted(set(codes)))
+    assert got == want
+
+
+def test_signatures_beyond_the_limit_are_as_sharp_as_stated(spark):
+    edges = random_edges(30, 140, 5)
+    labels = labelled(edges, "ab", 1)
+    got = {r["n"]: r["code"] for r in nb.neighbourhood_codes(frame(spark, edges), spark.createDataFrame(list(labels.items()), "n long, label string"), 3).collect()}
+    want = {}
+    for n, comps in components(edges, labels).items():
+        codes = []
+        for ls, es in comps:
+            near = [[b if a == i else a for a, b in es if i in (a, b)] for i in range(len(ls))]
+            deg = list(map(len, near))
+            codes.append(plain_code(ls, es) if len(ls) <= 3 else ("LARGE", len(ls), len(es), sorted(ls), sorted(deg), sorted(sorted(deg[x] for x in y) for y in near)))
+        want[n] = str(sorted(codes, key=str))
+    assert len(set(want.values())) == len(set(got.values())) == len(set((got[n], want[n]) for n in want))
+
+
+def twins(times):
+    """Nodes whose neighbourhoods are a ring of twelve or two of six, which colours do not tell apart when a node joins all."""
+    out, at = [], 0
+    for i in range(times):
+        ring = [(j, (j + 1) % 12) for j in range(12)] if i % 2 else [(j, (j + 1) % 6) for j in range(6)] + [(6 + j, 6 + (j + 1) % 6) for j in range(6)]
+        out += [tuple(sorted((at + 2 + a, at + 2 + b))) for a, b in ring] + [(at, at + 2 + j) for j in range(12)] + [(at + 1, at + 2 + j) for j in range(12)] + [(at, at + 1)]
+        at += 20
+    return out
+
+
+@pytest.mark.parametrize(("edges", "limit"), [(random_edges(24, 70, 3), 2), (HUB, 8)])
+def test_classes_against_brute_force(spark, edges, limit):
+    labels = labelled(edges, "ab", 4)
+    comps, want = components(edges, labels), {}
+    canon = {n: sorted((len(ls), len(es), nb.least_code(ls, es)) for ls, es in c) for n, c in comps.items()}
+    for n in sorted(canon):
+        want[n] = next(m for m in sorted(canon) if canon[m] == canon[n])
+    got = {r["n"]: r["class"] for r in nb.isomorphism_classes(frame(spark, edges), spark.createDataFrame(list(labels.items()), "n long, label string"), limit).collect()}
+    assert got == want
+
+
+PARENT = {"a1": "a", "a2": "a", "b1": "b", "b2": "b", "b3": "b", "a": "*", "b": "*"}
+LEAVES = {"a1": 1, "a2": 1, "b1": 1, "b2": 1, "b3": 1, "a": 2, "b": 3, "*": 5}
+
+
+def up(label):
+    return [label, *up(PARENT[label])] if label in PARENT else ([label] if label == "*" else [label, "*"])
+
+
+def plain_cost(left, right, limit):
+    """By the definition, with every mapping tried."""
+    ncp = lambda x, y: LEAVES.get(next(z for z in up(x) if z in up(y)), 1) / 5
+
+    def mapped(c, d):
+        (ls, es), (ms, fs) = c, d
+        if len(ls) != len(ms):
+            return abs(len(ls) - len(ms)) * 3 + abs(len(es) - len(fs)) * 2
+        deg = lambda s, i: sum(i in x for x in s)
+        ways = itertools.permutations(range(len(ls)))
+        if len(ls) > limit:
+            p, q = (sorted(range(len(ls)), key=lambda i: (-deg(s, i), x[i])) for x, s in ((ls, es), (ms, fs)))
+            ways = [[q[p.index(i)] for i in range(len(ls))]]
+        f = {frozenset(x) for x in fs}
+        return min(1.5 * sum(ncp(ls[i], ms[o[i]]) for i in range(len(ls))) + 2 * len({frozenset((o[a], o[b])) for a, b in es} ^ f) for o in ways)
+
+    key = lambda c: (len(c[0]), len(c[1]), json.loads((x := plain_code(*c))[: x.rindex("]") + 1]), x[x.rindex("]") + 1 :])
+    a, b = sorted(left, key=key), sorted(right, key=key)
+    spent, free = 0, list(b)
+    for c in sorted(a, key=lambda c: (-len(c[0]), -len(c[1]))):
+        if not free:
+            spent += 3 * len(c[0]) + 2 * len(c[1])
+            continue
+        costs = [mapped(c, d) for d in free]
+        spent += min(costs)
+        free.pop(costs.index(min(costs)))
+    return spent + sum(3 * len(c[0]) + 2 * len(c[1]) for c in free)
+
+
+@pytest.mark.parametrize("limit", [8, 3])
+def test_pair_costs(spark, limit):
+    edges = random_edges(30, 75, 6)
+    labels = labelled(edges, ["a1", "a2", "b1", "b3", "other"], 2)
+    comps = components(edges, labels)
+    if limit < 8:  # signatures order components of a size; here none has two that are beyond the limit
+        assert all(sum(len(ls) > limit for ls, _ in c) < 2 for c in comps.values())
+    pairs = [*edges, (0, 0), (0, 999), (998, 999)]
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    got = {(r["u"], r["v"]): r["cost"] for r in nb.pair_costs(frame(spark, edges), frame(spark, pairs), df(list(labels.items()), "n long, label string"), df(list(PARENT.items()), "child string, parent string"), 1.5, 2.0, 3.0, limit).collect()}
+    want = {(u, v): plain_cost(comps.get(u, []), comps.get(v, []), limit) for u, v in pairs}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_pair_costs_without_labels(spark):
+    edges = [(1, 2), (2, 3), (1, 3), (4, 5)]
+    got = {(r["u"], r["v"]): r["cost"] for r in nb.pair_costs(frame(spark, edges), frame(spark, [(1, 2), (1, 4)])).collect()}
+    assert got == {(1, 2): 2.0, (1, 4): 2.0}  # two labels of the root; a node and an edge more
+
+
+def test_classes_that_only_matching_tells_apart(spark):
+    edges = twins(6)
+    got = {r["n"]: r["class"] for r in nb.isomorphism_classes(frame(spark, edges)).collect()}
+    assert {got[20 * i] for i in range(0, 6, 2)} == {0} and {got[20 * i] for i in range(1, 6, 2)} == {20}
+    codes = {r["n"]: r["code"] for r in nb.neighbourhood_codes(frame(spark, edges)).collect()}
+    assert codes[0] == codes[20]
+
+
+def test_no_graph(spark):
+    none = frame(spark, [])
+    assert nb.neighbourhood_codes(none).collect() == nb.isomorphism_classes(none).collect() == []
+    assert {r["code"] for r in nb.neighbourhood_codes(frame(spark, [(1, 2)])).collect()} == {'1x["*"]'}
+    assert structure.ego_components(none).collect() == []

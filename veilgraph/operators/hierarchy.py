@@ -8,29 +8,28 @@ from pyspark.sql import functions as F
 from veilgraph.plans.staging import staged
 
 
-def ancestors(tree: DataFrame, depth: int = 64) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """(node, ancestor, up) of (child, parent) rows: every node with itself at 0 and those above it.
 
-    A level a join; stops where no node has a parent left, after `depth` levels should the rows hold a cycle.
+    A level a join, until no node has an ancestor that it has not met, so trees of any depth and cycles come to an end.
     """
     nodes = tree.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     level = staged(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up")), "tree")
     out = level
-    for _ in range(depth):
-        level = staged(level.join(tree, level["ancestor"] == tree["child"]).select("node", F.col("parent").alias("ancestor"), (F.col("up") + 1).alias("up")), "tree")
+    while True:
+        up = level.join(tree, level["ancestor"] == tree["child"]).select("node", F.col("parent").alias("ancestor"), (F.col("up") + 1).alias("up")).distinct()
+        level = staged(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "tree")
         if not level.limit(1).count():
-            break
+            return out
         out = out.unionByName(level)
-    return out.groupBy("node", "ancestor").agg(F.min("up").alias("up"))
 
 
 def leaf_costs(tree: DataFrame) -> DataFrame:
-    """(node, leaves, ncp): leaves below a node and their share of all, 0 for a leaf."""
+    """(node, leaves, ncp): leaves below a node, itself if it is one, and their share of all."""
     leaf = tree.select(F.col("child").alias("node")).distinct().join(tree.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     total = leaf.agg(F.count(F.lit(1)).alias("total"))
-    below = ancestors(tree).join(leaf, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("leaves"), F.min("up").alias("up"))
-    share = F.when(F.col("up") == 0, 0.0).otherwise(F.col("leaves") / F.col("total"))
-    return below.crossJoin(F.broadcast(total)).select("node", "leaves", share.alias("ncp"))  # total is one row
+    below = ancestors(tree).join(leaf, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
+    return below.crossJoin(F.broadcast(total)).select("node", "leaves", (F.col("leaves") / F.col("total")).alias("ncp"))  # total is one row
 
 
 def common_ancestor(tree: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -103,8 +103,9 @@ def core_numbers(edges: DataFrame, rounds: int = 500) -> DataFrame:
     raise RuntimeError(f"core numbers still change after {rounds} rounds")
 
 
-def ego_components(edges: DataFrame) -> DataFrame:
-    """(ego, size, edges, degrees): components of the graph among each node's neighbours, degrees descending.
+def ego_graphs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((ego, p, c), (ego, p, q)): each node's neighbours with their component, known by its least node, and, both ways,
+    the edges among them.
 
     The edges among a node's neighbours are its triangles; labels spread along them for all egos at once.
     """
@@ -113,7 +114,6 @@ def ego_components(edges: DataFrame) -> DataFrame:
     inner = staged(t.select(F.explode(F.array(*[F.struct(F.col(e).alias("ego"), F.col(a).alias("p"), F.col(b).alias("q")) for e, a, b in rows])).alias("r")).select("r.*"), "ego")
     ways = inner.unionByName(inner.select("ego", F.col("q").alias("p"), F.col("p").alias("q")))
     members = both_ways(edges).select(F.col("n").alias("ego"), F.col("m").alias("p"))
-    local = ways.groupBy("ego", "p").agg(F.count(F.lit(1)).alias("d"))
     label = staged(members.select("ego", "p", F.col("p").alias("c")), "label")
     while True:
         near = ways.join(label.select("ego", F.col("p").alias("q"), "c"), ["ego", "q"]).groupBy("ego", "p").agg(F.min("c").alias("m"))
@@ -124,7 +124,13 @@ def ego_components(edges: DataFrame) -> DataFrame:
         discard(label)
         label = new
         if not changed:
-            break
+            return label, ways
+
+
+def ego_components(edges: DataFrame) -> DataFrame:
+    """(ego, size, edges, degrees): components of the graph among each node's neighbours, degrees descending."""
+    label, ways = ego_graphs(edges)
+    local = ways.groupBy("ego", "p").agg(F.count(F.lit(1)).alias("d"))
     full = label.join(local, ["ego", "p"], "left").select("ego", "c", F.coalesce("d", F.lit(0)).cast("long").alias("d"))
     return full.groupBy("ego", "c").agg(F.count(F.lit(1)).alias("size"), (F.sum("d") / 2).cast("long").alias("edges"), F.reverse(F.array_sort(F.collect_list("d"))).alias("degrees")).drop("c")
 

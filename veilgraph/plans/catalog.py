@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, segments, structure, utility
+from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, neighbourhoods, segments, structure, utility
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
 from veilgraph.sources import graphs
@@ -352,7 +352,7 @@ def _tree(spark, sf):
     )
 
 
-@query(f"WITH RECURSIVE t AS ({_TREE}), a(node, ancestor, up) AS (SELECT x, x, 0 FROM (SELECT child AS x FROM t UNION SELECT parent FROM t) UNION ALL SELECT a.node, t.parent, up + 1 FROM a JOIN t ON t.child = a.ancestor), l AS (SELECT child FROM t WHERE child NOT IN (SELECT parent FROM t)), c AS (SELECT ancestor AS node, count(*) AS leaves FROM a JOIN l ON l.child = a.node GROUP BY ancestor) SELECT node, leaves, CASE WHEN node IN (SELECT child FROM l) THEN 0.0 ELSE round(leaves / (SELECT count(*) FROM l)::DOUBLE, 9) END AS ncp FROM c")
+@query(f"WITH RECURSIVE t AS ({_TREE}), a(node, ancestor, up) AS (SELECT x, x, 0 FROM (SELECT child AS x FROM t UNION SELECT parent FROM t) UNION ALL SELECT a.node, t.parent, up + 1 FROM a JOIN t ON t.child = a.ancestor), l AS (SELECT child FROM t WHERE child NOT IN (SELECT parent FROM t)), c AS (SELECT ancestor AS node, count(*) AS leaves FROM a JOIN l ON l.child = a.node GROUP BY ancestor) SELECT node, leaves, round(leaves / (SELECT count(*) FROM l)::DOUBLE, 9) AS ncp FROM c")
 def hierarchy_costs(spark, sf):
     return hierarchy.leaf_costs(_tree(spark, sf)).withColumn("ncp", F.round("ncp", 9))
 
@@ -641,3 +641,30 @@ def utility_ratios(spark, sf):
     rows = utility.compare_utility(_graph(spark, sf, "sparse"), {"published": lambda train: anonymise.publish(train, K)}, seeds=(42,))
     names = ("auc", "average_precision", "precision_at_100", "auc_loss", "ap_loss", "auc_utility_ratio", "ap_utility_ratio", "precision_at_100_utility_ratio")
     return rows.select("method", *[F.col(c).cast("long").alias(c) for c in ("num_edges_train", "num_test_pos_edges")], *[F.round(c, 6).alias(c) for c in names])
+
+
+def _brands(spark, sf):
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("label"))
+
+
+def _makers(spark, sf):
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_mfgr").alias("label"))
+
+
+@query()
+def neighbourhood_codes(spark, sf):
+    return neighbourhoods.neighbourhood_codes(_graph(spark, sf, "sparse"), _makers(spark, sf))
+
+
+@query()
+def isomorphism_classes(spark, sf):
+    return neighbourhoods.isomorphism_classes(_graph(spark, sf, "sparse"), _makers(spark, sf))
+
+
+@query()
+def pair_costs(spark, sf):
+    part = _table(spark, sf, "part")
+    tree = part.groupBy(F.col("p_brand").alias("child")).agg(F.min("p_mfgr").alias("parent"))
+    tree = tree.unionByName(tree.select(F.col("parent").alias("child"), F.lit("*").alias("parent")).distinct())
+    g = _graph(spark, sf, "sparse")
+    return neighbourhoods.pair_costs(g, g, _brands(spark, sf), tree).withColumn("cost", F.round("cost", 9))
