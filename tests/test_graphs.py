@@ -175,7 +175,10 @@ def test_summaries_skip_what_is_not_finite(spark):
 def test_hierarchy(spark):
     tree = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("x", "*"), ("y", "*")], "child string, parent string")
     got = {r["node"]: (r["leaves"], round(r["ncp"], 3)) for r in hierarchy.leaf_costs(tree).collect()}
-    assert got == {"a": (1, 0), "b": (1, 0), "c": (1, 0), "x": (2, 0.667), "y": (1, 0.333), "*": (3, 1)}
+    assert got == {"a": (1, 0.333), "b": (1, 0.333), "c": (1, 0.333), "x": (2, 0.667), "y": (1, 0.333), "*": (3, 1)}
+    deep = spark.createDataFrame([(f"d{i}", f"d{i + 1}") for i in range(90)] + [("p", "q"), ("q", "p")], "child string, parent string")
+    up = {(r["node"], r["ancestor"]): r["up"] for r in hierarchy.ancestors(deep).collect()}
+    assert up["d0", "d90"] == 90 and up["p", "q"] == 1 and ("p", "p") in up and len(up) == 91 * 92 // 2 + 4
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "x"), ("a", "a")], "u string, v string")
     assert {(r["u"], r["v"]): r["lca"] for r in hierarchy.common_ancestor(tree, pairs).collect()} == {("a", "b"): "x", ("a", "c"): "*", ("a", "x"): "x", ("a", "a"): "a"}
 

@@ -11,17 +11,18 @@ from veilgraph.plans.staging import staged
 def ancestors(tree: DataFrame) -> DataFrame:
     """(node, ancestor, up) of (child, parent) rows: every node with itself at 0 and those above it.
 
-    A level a join, until no node has an ancestor that it has not met, so trees of any depth and cycles come to an end.
+    Each round joins the pairs with themselves, so that ways up to twice as long are known, until there are no more:
+    trees of any depth and cycles come to an end.
     """
-    nodes = tree.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-    level = staged(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up")), "tree")
-    out = level
-    while True:
-        up = level.join(tree, level["ancestor"] == tree["child"]).select("node", F.col("parent").alias("ancestor"), (F.col("up") + 1).alias("up")).distinct()
-        level = staged(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "tree")
-        if not level.limit(1).count():
-            return out
-        out = out.unionByName(level)
+    ends = tree.select(F.explode(F.array("child", "parent")).alias("node")).select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up"))
+    steps = ends.unionByName(tree.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("up")))
+    found, known = staged(steps.groupBy("node", "ancestor").agg(F.min("up").alias("up")), "tree"), -1
+    while (pairs := found.count()) > known:
+        known = pairs
+        above = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("up").alias("more"))
+        twice = found.join(above, "ancestor").groupBy("node", F.col("top").alias("ancestor")).agg(F.min(F.col("up") + F.col("more")).alias("up"))
+        found = staged(twice, "tree")
+    return found
 
 
 def leaf_costs(tree: DataFrame) -> DataFrame:

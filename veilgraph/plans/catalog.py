@@ -647,24 +647,24 @@ def _brands(spark, sf):
     return _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("label"))
 
 
-def _makers(spark, sf):
-    return _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_mfgr").alias("label"))
+def _types(spark, sf):
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_type").alias("label"))
 
 
 @query()
 def neighbourhood_codes(spark, sf):
-    return neighbourhoods.neighbourhood_codes(_graph(spark, sf, "sparse"), _makers(spark, sf))
+    return neighbourhoods.neighbourhood_codes(_graph(spark, sf, "sparse"), _types(spark, sf))
 
 
 @query()
 def isomorphism_classes(spark, sf):
-    return neighbourhoods.isomorphism_classes(_graph(spark, sf, "sparse"), _makers(spark, sf))
+    return neighbourhoods.isomorphism_classes(_graph(spark, sf, "sparse"), _types(spark, sf))
 
 
 @query()
 def pair_costs(spark, sf):
-    part = _table(spark, sf, "part")
-    tree = part.groupBy(F.col("p_brand").alias("child")).agg(F.min("p_mfgr").alias("parent"))
+    brands = _brands(spark, sf).select(F.col("label").alias("child")).distinct()
+    tree = brands.withColumn("parent", F.concat(F.lit("family "), F.substring("child", -1, 1)))  # brands by last digit
     tree = tree.unionByName(tree.select(F.col("parent").alias("child"), F.lit("*").alias("parent")).distinct())
     g = _graph(spark, sf, "sparse")
     return neighbourhoods.pair_costs(g, g, _brands(spark, sf), tree).withColumn("cost", F.round("cost", 9))
