@@ -3,12 +3,11 @@ import json
 import random
 
 import pytest
+from test_graphs import adjacency, frame, parts, random_edges
 
 from veilgraph.operators import neighbourhoods as nb
 from veilgraph.operators import structure
 
-from tests.test_graphs import adjacency, frame, parts, random_edges
-
 
 def plain_code(labels, edges):
     n, edges = len(labels), {frozenset(e) for e in edges}

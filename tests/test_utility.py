@@ -1,6 +1,8 @@
+import itertools
 import math
+from collections import Counter
 
-from test_graphs import adjacency, frame, random_edges
+from test_graphs import adjacency, frame, parts, random_edges
 
 from veilgraph.operators import anonymise, evaluate, structure, utility
 from veilgraph.plans.staging import staged
@@ -35,20 +37,55 @@ def test_compare_utility_tells_losses_and_errors(spark):
     assert [b["method"] for b in best] == [max(("halved", "same"), key=lambda m: rows[m]["auc_utility_ratio"])] and best[0]["level"] == "high"
 
 
+def plain_code_distance(adj, u, v, most):
+    def code(n):
+        out = []
+        for part in parts({x: adj[x] & adj[n] for x in adj[n]}, adj[n]):
+            degs = sorted((len(adj[x] & part) for x in part), reverse=True)
+            out.append((len(part), sum(degs) // 2, *degs[:most]))
+        return sorted(out, reverse=True)
+
+    p, q = code(u), code(v)
+    pairs = itertools.zip_longest(p, q, fillvalue=())
+    gap = sum(abs(x - y) for a, b in pairs for x, y in itertools.zip_longest(a, b, fillvalue=0))
+    return gap / max(sum(map(sum, p)), sum(map(sum, q)), 1)
+
+
 def test_costs_in_groups(spark):
-    edges = random_edges(20, 40, 3)
-    g = frame(spark, edges)
+    edges = sorted({*random_edges(20, 40, 3), *itertools.combinations(range(9), 2)})  # a component of over six nodes
+    g, adj = frame(spark, edges), adjacency(edges)
     groups = anonymise.fixed_groups(g, 4)
     codes = staged(structure.ncc_codes(g), "codes")
-    communities = spark.createDataFrame([(n, n % 2) for n in adjacency(edges)], "n long, c long")
-    rows = anonymise.cluster_costs(g, groups, codes, communities).collect()
-    at = {r["n"]: (r["g"], r["deg"]) for r in groups.collect()}
-    top = max(d for _, d in at.values())
+    community = {n: n % 3 for n in adj}
+    rows = anonymise.cluster_costs(g, groups, codes, spark.createDataFrame(list(community.items()), "n long, c long")).collect()
+    at = {r["n"]: r["g"] for r in groups.collect()}
+    top = max(map(len, adj.values()))
     assert {r["n"] for r in rows} == set(at)
     for r in rows:
-        others = [d for n, (h, d) in at.items() if h == r["g"] and n != r["n"]]
-        assert math.isclose(r["degree"], sum(abs(at[r["n"]][1] - d) for d in others) / len(others) / top)
-        assert math.isclose(r["cost"], r["degree"] + 0.2 * r["code"] + 0.2 * r["neighbours"] + 0.1 * r["community"])
+        n, others = r["n"], [m for m in at if at[m] == r["g"] and m != r["n"]]
+        counts = Counter(community[m] for m in others)
+        major = min(counts, key=lambda c: (-counts[c], c))
+        want = (
+            sum(abs(len(adj[n]) - len(adj[m])) for m in others) / len(others) / top,
+            sum(plain_code_distance(adj, n, m, 6) for m in others) / len(others),
+            1 - min(sum(len(adj[n] & adj[m]) for m in others) / len(others) / top, 1),
+            0 if community[n] == major else sum(community[m] != community[n] for m in others) / len(others),
+        )
+        assert all(math.isclose(r[c], x, abs_tol=1e-12) for c, x in zip(("degree", "code", "neighbours", "community"), want, strict=True))
+        assert math.isclose(r["cost"], want[0] + 0.2 * want[1] + 0.2 * want[2] + 0.1 * want[3])
+
+
+def test_scores_of_a_node_alone_and_of_two(spark):
+    g = frame(spark, [(1, 3), (1, 4), (2, 3), (2, 4), (1, 5), (1, 6), (1, 7)])
+    groups = spark.createDataFrame([(1, 0), (2, 0), (9, 1)], "n long, g long")
+    assert {r["n"]: round(r["distance"], 9) for r in anonymise.neighbour_scores(g, groups).collect()} == {1: 0.6, 2: 0.6, 9: 0.0}
+    assert {r["n"]: r["distance"] for r in anonymise.community_scores(groups, spark.createDataFrame([(1, 0), (2, 1)], "n long, c long")).collect()} == {1: 1.0, 2: 1.0, 9: 0.0}
+
+
+def test_codes_hold_six_degrees_of_a_component_or_all(spark):
+    g = frame(spark, list(itertools.combinations(range(9), 2)))
+    assert {r["weight"] for r in structure.ncc_codes(g).collect()} == {36 + 6 * 7} and {r["weight"] for r in structure.ncc_codes(g, None).collect()} == {36 + 8 * 7}
+    assert {r["code"] for r in structure.ncc(g).collect()} == {"8:28:7,7,7,7,7,7"}
 
 
 def test_split_of_hot_null_and_single_labels(spark):

@@ -141,25 +141,27 @@ def profile_scores(groups: DataFrame, vectors: DataFrame, alpha: float = 0.5, be
 
 
 def neighbour_scores(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(g, n, distance): 1 less the mean number of common neighbours with the group's other nodes, over the most that any
-    pair of a group has (1 at least); 0 for a node alone."""
+    """(g, n, distance): 1 less the mean number of common neighbours with the group's other nodes, over the largest degree
+    of the graph (1 at least) and at most 1; 0 for a node alone."""
     a, b = groups.select("g", F.col("n").alias("x")), groups.select("g", F.col("n").alias("y"))
     pairs = a.join(b, "g").where("x < y").select("g", F.col("x").alias("u"), F.col("y").alias("v"))
     met = pairs.join(common_neighbours(edges, pairs.select("u", "v")).select("u", "v", "common"), ["u", "v"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    top = met.agg(F.greatest(F.max("common").cast("double"), F.lit(1.0)).alias("top"))
+    top = degrees(edges).agg(F.greatest(F.coalesce(F.max("deg"), F.lit(1)).cast("double"), F.lit(1.0)).alias("top"))
     means = met.select(F.explode(F.array("u", "v")).alias("n"), "common").groupBy("n").agg(F.avg("common").alias("mean"))
     rows = groups.join(means, "n", "left").crossJoin(F.broadcast(top))  # top is one row
     return rows.select("g", "n", F.when(F.col("mean").isNull(), 0.0).otherwise(1.0 - F.least(F.col("mean") / F.col("top"), F.lit(1.0))).alias("distance"))
 
 
 def community_scores(groups: DataFrame, communities: DataFrame) -> DataFrame:
-    """(g, n, distance): 0 where a node is in its group's commonest community (ties to the smaller), else the share of the
-    group that is in another one than the node; communities are (n, c)."""
+    """(g, n, distance): 0 where a node is in the commonest community of its group's other nodes (ties to the smaller) or
+    has none beside it, else the share of them that is in another one than the node; communities are (n, c)."""
     at = groups.select("g", "n").join(communities, "n", "left").withColumn("c", F.coalesce("c", F.lit(-1)))
-    counts = at.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
-    whole = counts.groupBy("g").agg(F.sum("k").alias("size"), F.min(F.struct((-F.col("k")).alias("k"), "c"))["c"].alias("major"))
-    rows = at.join(counts, ["g", "c"]).join(whole, "g")
-    return rows.select("g", "n", F.when(F.col("c") == F.col("major"), 0.0).otherwise((F.col("size") - F.col("k")) / F.col("size")).alias("distance"))
+    counts = at.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")).select("g", F.col("c").alias("other"), "k")
+    met = at.join(counts, "g").withColumn("k", F.col("k") - (F.col("other") == F.col("c")).cast("long"))  # groups have under 2k nodes
+    own = F.coalesce(F.max(F.when(F.col("other") == F.col("c"), F.col("k"))), F.lit(0))
+    major = F.min(F.when(F.col("k") > 0, F.struct((-F.col("k")).alias("k"), "other")))["other"]
+    each = met.groupBy("g", "n", "c").agg(own.alias("own"), F.sum("k").alias("others"), major.alias("major"))
+    return each.select("g", "n", F.when((F.col("others") == 0) | (F.col("c") == F.col("major")), 0.0).otherwise((F.col("others") - F.col("own")) / F.col("others")).alias("distance"))
 
 
 def cluster_costs(edges: DataFrame, groups: DataFrame, codes: DataFrame, communities: DataFrame, alpha: float = 1.0, beta: float = 0.2, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:

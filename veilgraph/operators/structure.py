@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.plans.staging import discard, staged
@@ -135,33 +135,43 @@ def ego_components(edges: DataFrame) -> DataFrame:
     return full.groupBy("ego", "c").agg(F.count(F.lit(1)).alias("size"), (F.sum("d") / 2).cast("long").alias("edges"), F.reverse(F.array_sort(F.collect_list("d"))).alias("degrees")).drop("c")
 
 
-def ncc(edges: DataFrame) -> DataFrame:
-    """(ego, code): a node's components in descending order as size:edges:degrees, joined by |."""
-    one = F.struct("size", "edges", "degrees")
+#: Degrees of a component that a neighbourhood code holds, the largest first.
+MOST_DEGREES = 6
+
+
+def ncc(edges: DataFrame, most: int | None = MOST_DEGREES) -> DataFrame:
+    """(ego, code): a node's components in descending order as size:edges:degrees, joined by |; `most` degrees of each,
+    or all."""
+    one = F.struct("size", "edges", _first(most))
     text = F.transform(F.reverse(F.array_sort(F.collect_list(one))), lambda c: F.concat_ws(":", c["size"].cast("string"), c["edges"].cast("string"), F.array_join(c["degrees"].cast("array<string>"), ",")))
     return ego_components(edges).groupBy("ego").agg(F.array_join(text, "|").alias("code"))
 
 
+def _first(most: int | None) -> Column:
+    return (F.col("degrees") if most is None else F.slice("degrees", 1, most)).alias("degrees")
+
+
 def short_codes(edges: DataFrame, most: int = 4) -> DataFrame:
     """(n, code): size and edges of a node's components, descending, the first `most` of them."""
     one = F.struct("size", "edges")
     return ego_components(edges).groupBy(F.col("ego").alias("n")).agg(F.slice(F.reverse(F.array_sort(F.collect_list(one))), 1, most).alias("code"))
 
 
-def ncc_codes(edges: DataFrame) -> DataFrame:
-    """(n, code, weight): of each of a node's components, in descending order, size, edges and all degrees; nothing is cut.
+def ncc_codes(edges: DataFrame, most: int | None = MOST_DEGREES) -> DataFrame:
+    """(n, code, weight): of each of a node's components, in descending order, size, edges and its `most` largest degrees,
+    or all.
 
     The weight is the sum of the numbers, and what distances between codes are divided by.
     """
-    one = F.struct("size", "edges", "degrees")
+    one = F.struct("size", "edges", _first(most))
     whole = ego_components(edges).groupBy("ego").agg(F.reverse(F.array_sort(F.collect_list(one))).alias("cs"))
     codes = whole.select(F.col("ego").alias("n"), F.transform("cs", lambda c: F.concat(F.array(c["size"], c["edges"]), c["degrees"])).alias("code"))
     return codes.withColumn("weight", F.aggregate(F.flatten("code"), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
-def ncc_vectors(edges: DataFrame) -> DataFrame:
+def ncc_vectors(edges: DataFrame, most: int | None = MOST_DEGREES) -> DataFrame:
     """(n, vec, weight): codes as flat arrays, each component's degrees filled up with 0 to the most that any node has."""
-    codes = staged(ncc_codes(edges), "codes")
+    codes = staged(ncc_codes(edges, most), "codes")
     width = codes.agg(F.coalesce(F.max(F.array_max(F.transform("code", F.size))), F.lit(0))).first()[0]
     padded = F.transform("code", lambda c: F.concat(c, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(c))))
     return codes.select("n", F.flatten(padded).alias("vec"), "weight")

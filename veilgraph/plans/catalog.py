@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators import anonymise, attack, compare, evaluate, hierarchy, learn, neighbourhoods, segments, structure, utility
+from veilgraph.operators import anonymise, attack, communities, compare, evaluate, hierarchy, learn, neighbourhoods, segments, structure, utility, walks
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
 from veilgraph.sources import graphs
@@ -153,7 +153,7 @@ def core_numbers(spark, sf):
 _EGO = (
     _TRIANGLES + ", i AS MATERIALIZED (SELECT ego, p, q FROM (SELECT x AS ego, y AS p, z AS q FROM t UNION ALL SELECT y, x, z FROM t UNION ALL SELECT z, x, y FROM t) UNION ALL SELECT ego, q, p FROM (SELECT x AS ego, y AS p, z AS q FROM t UNION ALL SELECT y, x, z FROM t UNION ALL SELECT z, x, y FROM t)), "
     "er(ego, n, c) AS (SELECT n, m, m FROM s UNION SELECT er.ego, i.q, er.c FROM er JOIN i ON i.ego = er.ego AND i.p = er.n WHERE er.c < i.q), el AS (SELECT ego, n, min(c) AS c FROM er GROUP BY ego, n), "
-    "ed AS (SELECT ego, p AS n, count(*) AS k FROM i GROUP BY ego, p), ec AS MATERIALIZED (SELECT el.ego, el.c, count(*) AS size, (sum(coalesce(k, 0)) / 2)::BIGINT AS edges, list(coalesce(k, 0) ORDER BY coalesce(k, 0) DESC) AS degrees FROM el LEFT JOIN ed ON ed.ego = el.ego AND ed.n = el.n GROUP BY el.ego, el.c), "
+    "ed AS (SELECT ego, p AS n, count(*) AS k FROM i GROUP BY ego, p), ec AS MATERIALIZED (SELECT el.ego, el.c, count(*) AS size, (sum(coalesce(k, 0)) / 2)::BIGINT AS edges, list(coalesce(k, 0) ORDER BY coalesce(k, 0) DESC)[1:6] AS degrees FROM el LEFT JOIN ed ON ed.ego = el.ego AND ed.n = el.n GROUP BY el.ego, el.c), "
     "en AS MATERIALIZED (SELECT ego, string_agg(size || ':' || edges || ':' || array_to_string(degrees, ','), '|' ORDER BY size DESC, edges DESC, degrees DESC) AS code FROM ec GROUP BY ego)"
 )
 
@@ -532,13 +532,13 @@ def target_group(spark, sf):
     return evaluate.closest(anonymise.group_costs(groups).select("g", F.col("mean").alias("target")), "target", F.lit(mean), "g")
 
 
-@query(_with("sparse", _GROUPS + ", pr AS MATERIALIZED (SELECT a.g, a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n), cn AS MATERIALIZED (SELECT pr.g, pr.u, pr.v, coalesce(c, 0) AS c FROM pr LEFT JOIN (SELECT pr.u, pr.v, count(*) AS c FROM pr JOIN s a ON a.n = pr.u JOIN s b ON b.n = pr.v AND a.m = b.m GROUP BY pr.u, pr.v) USING (u, v)), mm AS (SELECT n, avg(c) AS m FROM (SELECT u AS n, c FROM cn UNION ALL SELECT v, c FROM cn) GROUP BY n) SELECT g.g, g.n, round(CASE WHEN m IS NULL THEN 0 ELSE 1 - least(m / greatest((SELECT max(c) FROM cn), 1), 1) END, 9) AS distance FROM g LEFT JOIN mm ON mm.n = g.n"))
+@query(_with("sparse", _GROUPS + ", pr AS MATERIALIZED (SELECT a.g, a.n AS u, b.n AS v FROM g a JOIN g b ON a.g = b.g AND a.n < b.n), cn AS MATERIALIZED (SELECT pr.g, pr.u, pr.v, coalesce(c, 0) AS c FROM pr LEFT JOIN (SELECT pr.u, pr.v, count(*) AS c FROM pr JOIN s a ON a.n = pr.u JOIN s b ON b.n = pr.v AND a.m = b.m GROUP BY pr.u, pr.v) USING (u, v)), mm AS (SELECT n, avg(c) AS m FROM (SELECT u AS n, c FROM cn UNION ALL SELECT v, c FROM cn) GROUP BY n) SELECT g.g, g.n, round(CASE WHEN m IS NULL THEN 0 ELSE 1 - least(m / (SELECT max(deg) FROM d), 1) END, 9) AS distance FROM g LEFT JOIN mm ON mm.n = g.n"))
 def neighbour_scores(spark, sf):
     g = _graph(spark, sf, "sparse")
     return anonymise.neighbour_scores(g, anonymise.fixed_groups(g, K)).withColumn("distance", F.round("distance", 9))
 
 
-@query(_with("sparse", _GROUPS + _COMPONENTS + ", gc AS MATERIALIZED (SELECT g.g, g.n, component AS c FROM g JOIN cc ON cc.node = g.n), ct AS MATERIALIZED (SELECT g, c, count(*) AS k FROM gc GROUP BY g, c), mj AS (SELECT g, first(c ORDER BY k DESC, c) AS major, sum(k) AS size FROM ct GROUP BY g) SELECT gc.g, gc.n, round(CASE WHEN gc.c = major THEN 0 ELSE (size - k) / size::DOUBLE END, 9) AS distance FROM gc JOIN ct ON ct.g = gc.g AND ct.c = gc.c JOIN mj ON mj.g = gc.g"))
+@query(_with("sparse", _GROUPS + _COMPONENTS + ", cm AS MATERIALIZED (SELECT node AS n, component AS c FROM cc), gc AS MATERIALIZED (SELECT g.g, g.n, c FROM g JOIN cm ON cm.n = g.n), oc AS (SELECT a.g, a.n, a.c, b.c AS other, count(*) AS k FROM gc a JOIN gc b ON a.g = b.g AND a.n <> b.n GROUP BY ALL), mj AS (SELECT g, n, c, first(other ORDER BY k DESC, other) AS major, sum(k) AS others, sum(k) FILTER (other <> c) AS apart FROM oc GROUP BY g, n, c) SELECT gc.g, gc.n, round(CASE WHEN major IS NULL OR gc.c = major THEN 0 ELSE apart / others::DOUBLE END, 9) AS distance FROM gc LEFT JOIN mj ON mj.n = gc.n"))
 def community_scores(spark, sf):
     g = _graph(spark, sf, "sparse")
     parts = connected_components(g).select(F.col("node").alias("n"), F.col("component").alias("c"))
@@ -668,3 +668,35 @@ def pair_costs(spark, sf):
     tree = tree.unionByName(tree.select(F.col("parent").alias("child"), F.lit("*").alias("parent")).distinct())
     g = _graph(spark, sf, "sparse")
     return neighbourhoods.pair_costs(g, g, _brands(spark, sf), tree).withColumn("cost", F.round("cost", 9))
+
+
+_MODULARITY = " SELECT count(*) AS communities, round(sum(x / t - (k / t) * (k / t)), 9) AS modularity FROM (SELECT c, sum(x)::DOUBLE AS x, count(*)::DOUBLE AS k, sum(count(*)) OVER () AS t FROM (SELECT a.c, (a.c = b.c)::INT AS x FROM e JOIN cm a ON a.n = e.u JOIN cm b ON b.n = e.v UNION ALL SELECT b.c, (a.c = b.c)::INT FROM e JOIN cm a ON a.n = e.u JOIN cm b ON b.n = e.v) GROUP BY c)"
+
+
+@query(_with("dense", ", cm AS MATERIALIZED (SELECT p_partkey AS n, p_brand AS c FROM part)" + _MODULARITY))
+def label_modularity(spark, sf):
+    return communities.modularity(_graph(spark, sf, "dense"), _brands(spark, sf).withColumnRenamed("label", "c")).withColumn("modularity", F.round("modularity", 9))
+
+
+@query()
+def modularity_communities(spark, sf):
+    return communities.louvain(_graph(spark, sf, "sparse"))
+
+
+@query()
+def community_costs(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    costs = anonymise.cluster_costs(g, anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"), staged(communities.louvain(g), "communities"))
+    return costs.withColumns({c: F.round(c, 6) for c in ("degree", "code", "neighbours", "community", "cost")})
+
+
+@query(_with("sparse", ", ix AS MATERIALIZED (SELECT n, m, row_number() OVER (PARTITION BY n ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY n) AS deg FROM s), w(n, walk, step, here, path) AS (SELECT n, walk, 1, n, n::VARCHAR FROM d, (SELECT unnest([0, 1]) AS walk) UNION ALL SELECT w.n, walk, step + 1, ix.m, path || ',' || ix.m FROM w JOIN d ON d.n = w.here JOIN ix ON ix.n = w.here AND ix.i = ('0x' || substr(md5(concat_ws('|', '42', 'to', w.n || '/' || walk, step::VARCHAR, '0')), 1, 12))::BIGINT % d.deg WHERE step < 6) SELECT n, walk, path FROM w WHERE step = 6"))
+def random_walks(spark, sf):
+    return walks.random_walks(_graph(spark, sf, "sparse"), 6, 2).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
+@query()
+def walk_classes(spark, sf):
+    part = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_type").alias("y"))
+    vectors = walks.walk_vectors(walks.random_walks(_graph(spark, sf, "sparse"), 8, 4, 0.5, 2.0), 16)
+    return evaluate.classification(walks.walk_classes(vectors, part, evaluate.stratified_split(part, "n", "y").select("n", "part")))
