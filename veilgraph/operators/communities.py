@@ -9,7 +9,7 @@ from veilgraph.plans.staging import discard, staged
 from veilgraph.sources.graphs import both_ways
 
 #: Least rise of modularity that keeps a round, and rounds without one, each with other nodes, that end a level.
-RISE, IDLE = 1e-7, 3
+RISE, IDLE = 1e-4, 3
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

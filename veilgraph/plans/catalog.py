@@ -678,15 +678,11 @@ def label_modularity(spark, sf):
     return communities.modularity(_graph(spark, sf, "dense"), _brands(spark, sf).withColumnRenamed("label", "c")).withColumn("modularity", F.round("modularity", 9))
 
 
-@query()
-def modularity_communities(spark, sf):
-    return communities.louvain(_graph(spark, sf, "sparse"))
-
-
 @query()
 def community_costs(spark, sf):
     g = _graph(spark, sf, "sparse")
-    costs = anonymise.cluster_costs(g, anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"), staged(communities.louvain(g), "communities"))
+    parts = staged(communities.louvain(g), "communities")
+    costs = anonymise.cluster_costs(g, anonymise.fixed_groups(g, K), staged(structure.ncc_codes(g), "codes"), parts).join(parts, "n")
     return costs.withColumns({c: F.round(c, 6) for c in ("degree", "code", "neighbours", "community", "cost")})
 
 
