@@ -193,6 +193,8 @@ def test_edge_list_files(spark, tmp_path):
     assert {tuple(r) for r in graphs.read_labels(spark, f"{tmp_path}/labels", nodes).collect()} == {(1, "red"), (2, "*"), (3, "*"), (5, "*"), (6, "*")}
     (tmp_path / "g.csv").write_text("source,target\n1,2\n3;4\n")
     assert graphs.read_tokens(spark, f"{tmp_path}/g.csv").count() == 2
+    (tmp_path / "named.txt").write_text("a b\nb u\nu c\nfrom a\n# u v\n")
+    assert {tuple(r) for r in graphs.read_tokens(spark, f"{tmp_path}/named.txt").collect()} == {("a", "b"), ("b", "u"), ("u", "c"), ("from", "a")}
     (tmp_path / "g.gml").write_text("graph [\n node [ id 1 ]\n edge [\n source 1\n target 2\n ]\n edge [ source 3 target 1 ] ]")
     assert {tuple(r) for r in graphs.read_gml_edges(spark, f"{tmp_path}/g.gml").collect()} == {(1, 2), (1, 3)}
 

@@ -2,9 +2,10 @@ import itertools
 import math
 from collections import Counter
 
+import pytest
 from test_graphs import adjacency, frame, parts, random_edges
 
-from veilgraph.operators import anonymise, evaluate, structure, utility
+from veilgraph.operators import anonymise, compare, evaluate, learn, segments, structure, utility
 from veilgraph.plans.staging import staged
 
 
@@ -98,3 +99,28 @@ def test_sampled_paths_of_all_sources(spark):
     r = structure.sampled_paths(frame(spark, [(1, 2), (2, 3), (3, 4)]), share=1.0).first()
     assert (r["sources"], r["pairs"], r["mean"]) == (4, 12, 20 / 12) and r["error"] > 0
     assert structure.sampled_paths(frame(spark, []), share=1.0).first()["sources"] == 0
+
+
+def test_non_edges_of_dense_graphs(spark):
+    gone = {(0, 1), (3, 9), (7, 19)}
+    edges = frame(spark, [e for e in itertools.combinations(range(20), 2) if e not in gone])
+    assert {tuple(r) for r in segments.sampled_non_edges(edges, 3).collect()} == gone
+    assert {tuple(r) for r in segments.sampled_non_edges(edges, 2).collect()} < gone
+    with pytest.raises(ValueError):
+        segments.sampled_non_edges(edges, 4)
+
+
+def test_features_and_classes(spark):
+    edges = [*itertools.combinations(range(8), 2), *[(i, i + 1) for i in range(7, 30)]]  # a clique with a tail
+    df = frame(spark, edges)
+    rows = {r["n"]: r for r in learn.features(df).collect()}
+    assert rows[0]["x5"] == 1 and rows[20]["x5"] == 1 / 7 and rows[7]["x1"] == 1 and rows[0]["x2"] == 1 and rows[7]["x4"] == 1
+    assert rows[0]["x3"] == max(r["x3"] for r in rows.values()) == 1
+    labels = spark.createDataFrame([(n, int(n < 8)) for n in range(31)], "n long, y long")
+    got = learn.predict(df, labels).collect()
+    assert len(got) == 9 and sum(r["y"] == r["guess"] for r in got) >= len(got) - 1
+
+
+def test_delta_of_a_graph_without_paths(spark):
+    row = compare.full_delta(frame(spark, [(1, 2)]), frame(spark, [])).first()
+    assert row["original_apl"] == 1 and row["anonymized_apl"] == math.inf

@@ -91,12 +91,13 @@ def ordered_by_degree(edges: DataFrame) -> DataFrame:
 
 def full_delta(original: DataFrame, published: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, average clustering and mean path length of both graphs, what they changed by and
-    the mean change of a degree. Paths are all of them: for graphs whose pairs of nodes are few enough."""
+    the mean change of a degree. Paths are all of them: for graphs whose pairs of nodes are few enough; without any their
+    mean is infinite."""
     keep = ("nodes", "edges", "density", "clustering", "apl")
 
     def stats(edges: DataFrame, prefix: str) -> DataFrame:
         nodes = staged(nodes_of(edges), "nodes")
-        paths = path_lengths(distances(edges, nodes), nodes.count()).select(F.coalesce("reachable_mean", F.lit(0.0)).alias("apl"))
+        paths = path_lengths(distances(edges, nodes), nodes.count()).select(F.coalesce("reachable_mean", F.lit(float("inf"))).alias("apl"))
         some = clustering(edges).agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("clustering"))
         return graph_stats(edges).select("nodes", "edges", "density").crossJoin(some).crossJoin(paths).select(*[F.col(c).alias(f"{prefix}_{c}") for c in keep])  # a row each
 

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.operators.evaluate import stratified_split
-from veilgraph.operators.structure import clustering, neighbour_degree
+from veilgraph.operators.structure import clustering, core_numbers, neighbour_degree
 from veilgraph.sources.graphs import both_ways
 
 
 def features(edges: DataFrame) -> DataFrame:
-    """(n, x1 .. x4): degree, clustering, mean neighbour degree and triangles, each over its largest."""
-    base = clustering(edges).join(neighbour_degree(edges), "n")
-    top = base.agg(*[F.greatest(F.max(c).cast("double"), F.lit(1.0)).alias(f"top_{c}") for c in ("deg", "avg_neighbour_degree", "triangles")])
+    """(n, x1 .. x5): degree, clustering, mean neighbour degree, triangles and core number, all but the second over their
+    largest."""
+    base = clustering(edges).join(neighbour_degree(edges), "n").join(core_numbers(edges), "n")
+    scaled = ("deg", "avg_neighbour_degree", "triangles", "core")
+    top = base.agg(*[F.greatest(F.max(c).cast("double"), F.lit(1.0)).alias(f"top_{c}") for c in scaled])
     x = base.crossJoin(F.broadcast(top))  # top is one row
-    return x.select("n", (F.col("deg") / F.col("top_deg")).alias("x1"), F.col("clustering").alias("x2"), (F.col("avg_neighbour_degree") / F.col("top_avg_neighbour_degree")).alias("x3"), (F.col("triangles") / F.col("top_triangles")).alias("x4"))
+    over = {c: F.col(c) / F.col(f"top_{c}") for c in scaled}
+    return x.select("n", over["deg"].alias("x1"), F.col("clustering").alias("x2"), over["avg_neighbour_degree"].alias("x3"), over["triangles"].alias("x4"), over["core"].alias("x5"))
 
 
 def propagated(edges: DataFrame, x: DataFrame, steps: int = 2) -> DataFrame:

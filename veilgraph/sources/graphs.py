@@ -20,10 +20,11 @@ def normalised(pairs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str, separators: str = r"[\s,;]+", comment: str = "#") -> DataFrame:
-    """(u, v) as text from lines of two tokens or more; comments, headers and shorter lines are skipped."""
+    """(u, v) as text from lines of two tokens or more; comments, shorter lines and headers of comma-separated lists are
+    skipped."""
     parts = F.split(F.trim(F.col("value")), separators)
-    lines = spark.read.text(path).where(~F.trim(F.col("value")).startswith(comment)).select(parts.alias("t")).where(F.size("t") >= 2)
-    return lines.where(~F.lower(F.col("t")[0]).isin(*HEADER_CELLS)).select(F.col("t")[0].alias("u"), F.col("t")[1].alias("v"))
+    lines = spark.read.text(path).where(~F.trim(F.col("value")).startswith(comment)).select(parts.alias("t"), F.contains("value", F.lit(",")).alias("commas")).where(F.size("t") >= 2)
+    return lines.where(~(F.col("commas") & F.lower(F.col("t")[0]).isin(*HEADER_CELLS))).select(F.col("t")[0].alias("u"), F.col("t")[1].alias("v"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
