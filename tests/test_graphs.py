@@ -311,7 +311,7 @@ def test_code_distances_keep_whole_codes(spark):
     pairs = list(itertools.combinations(sorted(adj), 2))
     want = {(u, v): sum(abs(x - y) for x, y in itertools.zip_longest(flat[u], flat[v], fillvalue=0)) / max(weight[u], weight[v], 1) for u, v in pairs}
     df = frame(spark, edges)
-    for made in (structure.ncc_vectors(df), structure.ncc_codes(df)):
+    for made in (structure.ncc_vectors(df, None), structure.ncc_codes(df, None)):
         got = {(r["u"], r["v"]): r["distance"] for r in structure.ncc_distance(made, frame(spark, pairs)).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in pairs)
     assert max(len(c) for c in codes.values()) > 8 and width > 9
