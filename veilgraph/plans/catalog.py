@@ -696,3 +696,19 @@ def walk_classes(spark, sf):
     part = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_type").alias("y"))
     vectors = walks.walk_vectors(walks.random_walks(_graph(spark, sf, "sparse"), 8, 4, 0.5, 2.0), 16)
     return evaluate.classification(walks.walk_classes(vectors, part, evaluate.stratified_split(part, "n", "y").select("n", "part")))
+
+
+_UP = f"WITH RECURSIVE t AS ({_TREE}), a(node, ancestor, up) AS (SELECT x, x, 0 FROM (SELECT child AS x FROM t UNION SELECT parent FROM t) UNION ALL SELECT a.node, t.parent, up + 1 FROM a JOIN t ON t.child = a.ancestor)"
+
+
+@query(
+    f"SELECT g, size, label, leaves, round(leaves / total, 9) AS ncp, round(size * (leaves / total), 9) AS cost FROM (SELECT g, max(size) AS size, first(ancestor ORDER BY up) AS label FROM (SELECT x.g, max(x.size) AS size, ancestor, min(up) AS up, count(*) AS above FROM "
+    f"(SELECT g.g, label, count(*) OVER (PARTITION BY g.g) AS size FROM ({_with('sparse', _GROUPS + ' SELECT n, g FROM g')}) g JOIN (SELECT l_partkey, 's' || min(l_suppkey) AS label FROM lineitem GROUP BY l_partkey) ON l_partkey = g.n) x "
+    f"JOIN ({_UP} SELECT * FROM a) a ON a.node = x.label GROUP BY x.g, ancestor) WHERE above = size GROUP BY g) m JOIN (SELECT node, leaves, (SELECT leaves FROM c WHERE node = '*')::DOUBLE AS total FROM c) ON node = label".replace(
+        "FROM c", f"FROM ({_UP}, l AS (SELECT child FROM t WHERE child NOT IN (SELECT parent FROM t)) SELECT ancestor AS node, count(*) AS leaves FROM a JOIN l ON l.child = a.node GROUP BY ancestor) c"
+    )
+)
+def group_labels(spark, sf):
+    groups = anonymise.fixed_groups(_graph(spark, sf, "sparse"), K)
+    labels = _table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("n")).agg(F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("label"))
+    return hierarchy.common_labels(_tree(spark, sf), groups.join(labels, "n").select("g", "label")).withColumns({c: F.round(c, 9) for c in ("ncp", "cost")})
