@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators import anonymise, attack, communities, compare, evaluate, hierarchy, learn, neighbourhoods, segments, structure, utility, walks
+from veilgraph.operators import anonymise, attack, communities, compare, evaluate, hierarchy, learn, nearest, neighbourhoods, segments, structure, sweeps, utility, walks
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
 from veilgraph.sources import graphs
@@ -620,23 +620,31 @@ def sampled_paths(spark, sf):
 
 _EDGES["train"] = f"SELECT u, v FROM ({_EDGES['sparse']}) EXCEPT SELECT u, v FROM ({SQL['protected_split']})"
 _EDGES["published_train"] = _with("train", _GROUPS + _RING + _OUTSIDE + " SELECT u, v FROM e UNION SELECT u, v FROM ring UNION SELECT u, v FROM ext")
-_UTILITY = (
-    f", te AS MATERIALIZED ({SQL['protected_split']}), pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM te) + 64)) AS id)), "
-    "dp AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL), ng AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM dp ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM te)), "
-    f"pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng), gr AS MATERIALIZED (SELECT 'original' AS method, u, v FROM ({_EDGES['train']}) UNION ALL SELECT 'published', u, v FROM ({_EDGES['published_train']})), "
-    "gs AS MATERIALIZED (SELECT method, u AS n, v AS m FROM gr UNION ALL SELECT method, v, u FROM gr), gd AS (SELECT method, n, count(*) AS deg FROM gs GROUP BY method, n), "
-    "aa AS (SELECT a.method, pr.u, pr.v, sum(CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END) AS s FROM pr JOIN gs a ON a.n = pr.u JOIN gs b ON b.method = a.method AND b.n = pr.v AND b.m = a.m JOIN gd ON gd.method = a.method AND gd.n = a.m GROUP BY ALL), "
-    "sc AS MATERIALIZED (SELECT method, u, v, y, round(coalesce(s, 0), 9) AS score FROM pr CROSS JOIN (SELECT DISTINCT method FROM gr) LEFT JOIN aa USING (method, u, v)), "
-    "bs AS (SELECT method, score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY method, score), rk AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER z AS np, sum(q) OVER z AS nq FROM bs WINDOW w AS (PARTITION BY method ORDER BY score DESC), z AS (PARTITION BY method)), "
-    "ms AS (SELECT method, sum(q * (tp - p / 2)) / (max(np) * max(nq)) AS auc, sum(p * tp / (tp + fp)) / max(np) AS ap FROM rk GROUP BY method), "
-    "pk AS (SELECT method, avg(y) AS p100 FROM (SELECT method, y, row_number() OVER (PARTITION BY method ORDER BY score DESC, y DESC, u, v) AS r FROM sc) WHERE r <= 100 GROUP BY method), "
-    "al AS MATERIALIZED (SELECT * FROM ms JOIN pk USING (method)), o AS (SELECT auc AS auc0, ap AS ap0, p100 AS p0 FROM al WHERE method = 'original') "
-    "SELECT method, (SELECT count(*) FROM gr WHERE method = 'original') AS num_edges_train, (SELECT count(*) FROM te) AS num_test_pos_edges, round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(p100, 6) AS precision_at_100, round(auc0 - auc, 6) AS auc_loss, "
-    "round(ap0 - ap, 6) AS ap_loss, round(auc / auc0, 6) AS auc_utility_ratio, round(ap / ap0, 6) AS ap_utility_ratio, round(p100 / p0, 6) AS precision_at_100_utility_ratio FROM al, o"
-)
 
 
-@query(_with("sparse", _UTILITY))
+def _utility(methods: dict[str, str]) -> str:
+    """The comparison of graphs of training edges; `original` is one of them."""
+    every = " UNION ALL ".join(f"SELECT '{name}' AS method, u, v FROM ({sql})" for name, sql in methods.items())
+    return (
+        f", te AS MATERIALIZED ({SQL['protected_split']}), pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM te) + 64)) AS id)), "
+        "dp AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL), ng AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM dp ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM te)), "
+        f"pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng), gr AS MATERIALIZED ({every}), "
+        "gs AS MATERIALIZED (SELECT method, u AS n, v AS m FROM gr UNION ALL SELECT method, v, u FROM gr), gd AS (SELECT method, n, count(*) AS deg FROM gs GROUP BY method, n), "
+        "aa AS (SELECT a.method, pr.u, pr.v, sum(CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END) AS s FROM pr JOIN gs a ON a.n = pr.u JOIN gs b ON b.method = a.method AND b.n = pr.v AND b.m = a.m JOIN gd ON gd.method = a.method AND gd.n = a.m GROUP BY ALL), "
+        "sc AS MATERIALIZED (SELECT method, u, v, y, round(coalesce(s, 0), 9) AS score FROM pr CROSS JOIN (SELECT DISTINCT method FROM gr) LEFT JOIN aa USING (method, u, v)), "
+        "bs AS (SELECT method, score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY method, score), rk AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER z AS np, sum(q) OVER z AS nq FROM bs WINDOW w AS (PARTITION BY method ORDER BY score DESC), z AS (PARTITION BY method)), "
+        "ms AS (SELECT method, sum(q * (tp - p / 2)) / (max(np) * max(nq)) AS auc, sum(p * tp / (tp + fp)) / max(np) AS ap FROM rk GROUP BY method), "
+        "pk AS (SELECT method, avg(y) AS p100 FROM (SELECT method, y, row_number() OVER (PARTITION BY method ORDER BY score DESC, y DESC, u, v) AS r FROM sc) WHERE r <= 100 GROUP BY method), "
+        "al AS MATERIALIZED (SELECT * FROM ms JOIN pk USING (method)), o AS (SELECT auc AS auc0, ap AS ap0, p100 AS p0 FROM al WHERE method = 'original') "
+        "SELECT method, (SELECT count(*) FROM gr WHERE method = 'original') AS num_edges_train, (SELECT count(*) FROM te) AS num_test_pos_edges, round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(p100, 6) AS precision_at_100, round(auc0 - auc, 6) AS auc_loss, "
+        "round(ap0 - ap, 6) AS ap_loss, round(auc / auc0, 6) AS auc_utility_ratio, round(ap / ap0, 6) AS ap_utility_ratio, round(p100 / p0, 6) AS precision_at_100_utility_ratio FROM al, o"
+    )
+
+
+_METHODS = {"original": _EDGES["train"], "published": _EDGES["published_train"]}
+
+
+@query(_with("sparse", _utility(_METHODS)))
 def utility_ratios(spark, sf):
     rows = utility.compare_utility(_graph(spark, sf, "sparse"), {"published": lambda train: anonymise.publish(train, K)}, seeds=(42,))
     names = ("auc", "average_precision", "precision_at_100", "auc_loss", "ap_loss", "auc_utility_ratio", "ap_utility_ratio", "precision_at_100_utility_ratio")
@@ -712,3 +720,32 @@ def group_labels(spark, sf):
     groups = anonymise.fixed_groups(_graph(spark, sf, "sparse"), K)
     labels = _table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("n")).agg(F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("label"))
     return hierarchy.common_labels(_tree(spark, sf), groups.join(labels, "n").select("g", "label")).withColumns({c: F.round(c, 9) for c in ("ncp", "cost")})
+
+
+_ANCHORED = ", q AS (SELECT g.g, n, row_number() OVER (PARTITION BY g.g ORDER BY deg DESC, n) AS r, count(*) OVER (PARTITION BY g.g) AS size FROM g), x AS (SELECT g, n AS m FROM q WHERE r <= least(3, size - 1)) SELECT u, v FROM e UNION SELECT least(n, m), greatest(n, m) FROM g JOIN x USING (g) WHERE n <> m"
+_SWEEP_KS, _SWEEP_SEEDS = (2, 5, 10), (42, 123)
+
+
+def _sweep_sql(seed: int, k: int, original: bool) -> str:
+    sql = _with("sparse", _utility(_METHODS | {"anchored": _with("train", _GROUPS + _ANCHORED)})).replace("'42'", f"'{seed}'").replace(f"// {K}", f"// {k}")
+    return f"SELECT method, CASE WHEN method <> 'original' THEN {k} ELSE 0 END::BIGINT AS k, {seed}::BIGINT AS seed, * EXCLUDE (method) FROM ({sql})" + ("" if original else " WHERE method <> 'original'")
+
+
+_UTILITY_COLUMNS = ("auc", "average_precision", "precision_at_100", "auc_loss", "ap_loss", "auc_utility_ratio", "ap_utility_ratio", "precision_at_100_utility_ratio")
+
+
+@query(" UNION ALL ".join(_sweep_sql(s, k, k == _SWEEP_KS[0]) for s in _SWEEP_SEEDS for k in _SWEEP_KS))
+def link_sweep(spark, sf):
+    added = {"published": lambda e, g: anonymise.ring_template(e, g).unionByName(anonymise.external_template(e, g)), "anchored": anonymise.anchor_template}
+    rows = sweeps.link_sweep(_graph(spark, sf, "sparse"), added, _SWEEP_KS, _SWEEP_SEEDS)
+    return rows.select("method", F.coalesce("k", F.lit(0)).cast("long").alias("k"), F.col("seed").cast("long").alias("seed"), "num_edges_train", "num_test_pos_edges", *[F.round(c, 6).alias(c) for c in _UTILITY_COLUMNS])
+
+
+_GAP = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ("deg", "triangles", "clustering", "avg_neighbour_degree", "ego_edges", "largest", "second"))
+
+
+@query(f"WITH g AS MATERIALIZED ({SQL['structural_signatures']}) SELECT seed, rank, n, distance FROM (SELECT a.n AS seed, b.n AS n, round(sqrt(({_GAP})::DOUBLE), 9) AS distance, row_number() OVER (PARTITION BY a.n ORDER BY round(sqrt(({_GAP})::DOUBLE), 9), b.deg DESC, b.n) AS rank FROM g a JOIN g b ON a.n <> b.n) WHERE rank < {K}")
+def nearest_signatures(spark, sf):
+    s = structural_signatures(spark, sf)
+    features = [c for c in s.columns if c != "n"]
+    return nearest.nearest(staged(s.withColumn("t", -F.col("deg")), "signatures"), s.select(F.col("n").alias("seed")), features, K - 1, ties="t")
