@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilgraph.operators import anonymise, attack, communities, compare, evaluate, hierarchy, learn, nearest, neighbourhoods, segments, structure, sweeps, utility, walks
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.staging import staged
-from veilgraph.sources import graphs
+from veilgraph.sources import formats, graphs
 
 K = 5
 KS = (2, 5, 8, 10, 15, 100)
@@ -292,7 +292,7 @@ def neighbour_vote(spark, sf):
     return c.select("rows", *[F.round(x, 9).alias(x) for x in ("accuracy", "macro_f1", "micro_f1")])
 
 
-@query("SELECT p_partkey, p_brand, CASE WHEN r <= a THEN 'train' WHEN r <= a + floor(n * 0.2) THEN 'val' ELSE 'test' END AS part FROM (SELECT *, greatest(1, floor(n * 0.6)) AS a FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part))")
+@query("SELECT p_partkey, p_brand, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS part FROM (SELECT *, CASE WHEN n <= 3 THEN 1 ELSE round_even(n * 0.6, 0) END AS a, CASE WHEN n <= 2 THEN 0 ELSE greatest(1, round_even(n * 0.2, 0)) END AS b FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part))")
 def stratified_split(spark, sf):
     return evaluate.stratified_split(_table(spark, sf, "part"), "p_partkey", "p_brand")
 
@@ -749,3 +749,23 @@ def nearest_signatures(spark, sf):
     s = structural_signatures(spark, sf)
     features = [c for c in s.columns if c != "n"]
     return nearest.nearest(staged(s.withColumn("t", -F.col("deg")), "signatures"), s.select(F.col("n").alias("seed")), features, K - 1, ties="t")
+
+
+_PLACES = ", pl AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS place FROM d)"
+
+
+@query(_with("sparse", _PLACES + " SELECT a.place AS u, b.place AS v FROM e JOIN pl a ON a.n = e.u JOIN pl b ON b.n = e.v"))
+def relabelled_graph(spark, sf):
+    g = _graph(spark, sf, "sparse")
+    return formats.relabelled(g, graphs.nodes_of(g))[0]
+
+
+@query(_with("dense", " SELECT u, v FROM e WHERE v < (SELECT count(*) FROM region) * 100"))
+def sanitised_graph(spark, sf):
+    g = graphs.string_edges(_graph(spark, sf, "dense"))
+    return formats.sanitised(g, 100 * _table(spark, sf, "region").count())
+
+
+@query("SELECT p_partkey AS n, p_type AS label, dense_rank() OVER (ORDER BY p_type) - 1 AS y FROM part")
+def class_numbers(spark, sf):
+    return formats.class_numbers(_types(spark, sf))
