@@ -145,7 +145,7 @@ def within_three_steps(spark, sf):
     return structure.distances(g, graphs.nodes_of(g), 3).where("dist > 0").groupBy(F.col("src").alias("n"), "dist").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+@query(_with("sparse", ", h(n, c, t) AS (SELECT n, deg, 0 FROM d UNION ALL SELECT n, max(least(c, r)), max(t) + 1 FROM (SELECT s.n, h.c, h.t, row_number() OVER (PARTITION BY s.n ORDER BY h.c DESC) AS r FROM s JOIN h ON h.n = s.m WHERE h.t < 100) GROUP BY n) SELECT n, c AS core FROM h WHERE t = 100"))
 def core_numbers(spark, sf):
     return structure.core_numbers(_graph(spark, sf, "sparse"))
 
@@ -403,7 +403,12 @@ def spanning_forest(spark, sf):
     return segments.spanning_forest(g, comp, structure.distances(g, roots))
 
 
-@query()
+#: Distances from every node, each pair once.
+_FAR = ", far(src, n, dist) USING KEY (src, n) AS (SELECT n, n, 0 FROM d UNION SELECT x.src, s.m, x.dist + 1 FROM far x JOIN s ON s.n = x.n LEFT JOIN recurring.far y ON y.src = x.src AND y.n = s.m WHERE y.n IS NULL)"
+_LENGTHS = " SELECT (c / 2)::BIGINT AS pairs, round(t / c, 9) AS reachable_mean, round(t / (nodes * (nodes - 1)), 9) AS all_pairs_mean, longest FROM (SELECT count(*)::DOUBLE AS c, sum(dist)::DOUBLE AS t, max(dist)::BIGINT AS longest FROM far WHERE dist > 0), (SELECT count(*)::DOUBLE AS nodes FROM d)"
+
+
+@query(_with("sparse", _FAR + _LENGTHS))
 def path_lengths(spark, sf):
     g = _graph(spark, sf, "sparse")
     nodes = staged(graphs.nodes_of(g), "nodes")
@@ -570,22 +575,43 @@ def cluster_costs(spark, sf):
     return costs.withColumns({c: F.round(c, 6) for c in ("degree", "code", "neighbours", "community", "cost")})
 
 
-@query()
+_EDGES["published"] = _with("sparse", _GROUPS + _RING + _OUTSIDE + " SELECT u, v FROM e UNION SELECT u, v FROM ring UNION SELECT u, v FROM ext")
+_COUNTS = " SELECT (SELECT count(*) FROM d) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT avg(clustering) FROM c) AS clustering"
+
+
+def _both(what: str, sql: dict[str, str]) -> str:
+    return f"WITH o AS ({sql['sparse']}), p AS ({sql['published']}), a AS MATERIALIZED ({_EDGES['sparse']}), b AS MATERIALIZED ({_EDGES['published']}), dd AS (SELECT n, count(*) FILTER (k = 0) AS x, count(*) FILTER (k = 1) AS y FROM (SELECT u AS n, 0 AS k FROM a UNION ALL SELECT v, 0 FROM a UNION ALL SELECT u, 1 FROM b UNION ALL SELECT v, 1 FROM b) GROUP BY n) {what}"
+
+
+_CHECKED = ("nodes", "edges", "components", "clustering")
+_CHECKS = {kind: _with(kind, _CLUSTERING + _COMPONENTS + _COUNTS + ", (SELECT count(DISTINCT component) FROM cc) AS components") for kind in ("sparse", "published")}
+_SIDES = ", ".join(f"round({x}.{c}, 9) AS {c}_{side}" if c == "clustering" else f"{x}.{c} AS {c}_{side}" for x, side in (("o", "original"), ("p", "anonymized")) for c in _CHECKED)
+
+
+@query(_both(f"SELECT {_SIDES}, (SELECT count(*) FROM a JOIN b USING (u, v)) AS preserved, (SELECT count(*) FROM b ANTI JOIN a USING (u, v)) AS added, (SELECT count(*) FROM a ANTI JOIN b USING (u, v)) AS removed, round((SELECT count(*) FROM a JOIN b USING (u, v)) / o.edges::DOUBLE, 9) AS intersection FROM o, p", _CHECKS))
 def published_checks(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return compare.diagnosis(g, staged(anonymise.publish(g, K), "published"))
+    checks = compare.diagnosis(g, staged(anonymise.publish(g, K), "published"))
+    return checks.withColumns({c: F.round(c, 9) for c in ("clustering_original", "clustering_anonymized", "intersection")})
 
 
-@query()
+_DELTA = {kind: f"SELECT *, 2.0::DOUBLE * edges / (nodes * (nodes - 1.0::DOUBLE)) AS density FROM ({_with(kind, _CLUSTERING + _FAR + _COUNTS + ', (SELECT sum(dist)::DOUBLE / count(*) FROM far WHERE dist > 0) AS apl')})" for kind in ("sparse", "published")}
+_MEASURED = ("nodes", "edges", "density", "clustering", "apl")
+_DELTAS = ", ".join([f"round({x}.{c}, 9) AS {prefix}_{c}" if c in _MEASURED[2:] else f"{x}.{c} AS {prefix}_{c}" for x, prefix in (("o", "original"), ("p", "anonymized")) for c in _MEASURED] + [f"round(p.{c} - o.{c}, 9) AS {c.removesuffix('s')}_variation" for c in _MEASURED])
+
+
+@query(_both(f"SELECT {_DELTAS}, round((SELECT avg(abs(x - y)) FROM dd WHERE x > 0), 9) AS mae FROM o, p", _DELTA))
 def published_delta(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return compare.full_delta(g, staged(anonymise.publish(g, K), "published"))
+    delta = compare.full_delta(g, staged(anonymise.publish(g, K), "published"))
+    return delta.withColumns({c: F.round(c, 9) for c, t in delta.dtypes if t == "double"})
 
 
-@query()
+@query(_with("sparse", _COMPONENTS + _FAR + ", top AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)" + _LENGTHS.replace("FROM far WHERE dist > 0", "FROM far WHERE dist > 0 AND src IN (SELECT node FROM cc JOIN top USING (component))").replace("AS nodes FROM d", "AS nodes FROM cc JOIN top USING (component)")))
 def largest_component_paths(spark, sf):
     g = _graph(spark, sf, "sparse")
-    return structure.longest_component_paths(g, staged(connected_components(g), "components"))
+    p = structure.longest_component_paths(g, staged(connected_components(g), "components"))
+    return p.withColumns({c: F.round(c, 9) for c in ("reachable_mean", "all_pairs_mean")})
 
 
 _FOREST = _COMPONENTS + ", b(n, dist) AS (SELECT DISTINCT component, 0 FROM cc UNION SELECT s.m, b.dist + 1 FROM b JOIN s ON s.n = b.n WHERE b.dist < 24), l AS MATERIALIZED (SELECT n, min(dist) AS dist FROM b GROUP BY n), f AS MATERIALIZED (SELECT least(n, parent) AS u, greatest(n, parent) AS v FROM (SELECT x.n, min(s.m) AS parent FROM l x JOIN s ON s.n = x.n JOIN l y ON y.n = s.m AND y.dist = x.dist - 1 GROUP BY x.n))"
