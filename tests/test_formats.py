@@ -94,7 +94,7 @@ def plain_sizes(n):
 
 def test_parts_of_small_classes(spark):
     rows = spark.createDataFrame([(1000 * n + i, n) for n in range(1, 24) for i in range(n)], "n long, y long")
-    found = {r["y"]: (r["train"], r["val"], r["test"]) for r in evaluate.stratified_split(rows, "n", "y").groupBy("y").agg(*[F.sum((F.col("part") == p).cast("int")).alias(p) for p in ("train", "val", "test")]).collect()}
+    found = {r["y"]: (r["train"], r["val"], r["test"]) for r in evaluate.class_split(rows, "n", "y").groupBy("y").agg(*[F.sum((F.col("part") == p).cast("int")).alias(p) for p in ("train", "val", "test")]).collect()}
     assert found == {n: plain_sizes(n) for n in range(1, 24)}
 
 

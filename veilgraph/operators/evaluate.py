@@ -72,17 +72,31 @@ def macro_recall(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("y").agg(F.avg((F.col("y").eqNullSafe(F.col("guess"))).cast("double")).alias("r")).agg(F.avg("r").alias("macro_recall"))
 
 
-def stratified_split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
-    """(key, label, part): train, val or test by md5 order within each label.
+def _numbered(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """(key, label, _r, _n): each row's number from 1 by md5 order within its label, and the label's rows.
 
-    Shares are rounded, but from three rows on a label has each part, of two rows the second tests, and a single one
-    trains. Rows are numbered over ranges of (label, md5, key), which the rows of one label do not fill.
+    Rows are numbered over ranges of (label, md5, key), which the rows of one label do not fill.
     """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     placed = staged(ranked(rows.select(key, label, h.alias("_h")), [F.col(label), F.col("_h"), F.col(key)], "_place"), "places")
     sizes = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    numbered = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_r", F.col("_place") - F.col("_first") + 1)
-    n = F.col("_n")
+    return placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_r", F.col("_place") - F.col("_first") + 1)
+
+
+def stratified_split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
+    """(key, label, part): train, val or test by md5 order within each label; the first of a label trains."""
+    numbered = _numbered(rows, key, label, seed)
+    first = F.greatest(F.lit(1), F.floor(F.col("_n") * shares[0]))
+    part = F.when(F.col("_r") <= first, "train").when(F.col("_r") <= first + F.floor(F.col("_n") * shares[1]), "val").otherwise("test")
+    return numbered.select(key, label, part.alias("part"))
+
+
+def class_split(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
+    """(key, label, part): as stratified_split(), but shares are rounded and small classes have rules of their own.
+
+    From three rows on a label has each part, of two rows the second tests, and a single one trains.
+    """
+    numbered, n = _numbered(rows, key, label, seed), F.col("_n")
     train, val = (F.greatest(F.lit(1), F.bround(n * s).cast("long")) for s in shares)
     left = F.when(train + val < n, val).otherwise(F.greatest(F.lit(1), n - 1 - train))
     tight = train + left >= n

@@ -292,7 +292,7 @@ def neighbour_vote(spark, sf):
     return c.select("rows", *[F.round(x, 9).alias(x) for x in ("accuracy", "macro_f1", "micro_f1")])
 
 
-@query("SELECT p_partkey, p_brand, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS part FROM (SELECT *, CASE WHEN n <= 3 THEN 1 ELSE round_even(n * 0.6, 0) END AS a, CASE WHEN n <= 2 THEN 0 ELSE greatest(1, round_even(n * 0.2, 0)) END AS b FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part))")
+@query("SELECT p_partkey, p_brand, CASE WHEN r <= a THEN 'train' WHEN r <= a + floor(n * 0.2) THEN 'val' ELSE 'test' END AS part FROM (SELECT *, greatest(1, floor(n * 0.6)) AS a FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part))")
 def stratified_split(spark, sf):
     return evaluate.stratified_split(_table(spark, sf, "part"), "p_partkey", "p_brand")
 
@@ -795,3 +795,8 @@ def sanitised_graph(spark, sf):
 @query("SELECT p_partkey AS n, p_type AS label, dense_rank() OVER (ORDER BY p_type) - 1 AS y FROM part")
 def class_numbers(spark, sf):
     return formats.class_numbers(_types(spark, sf))
+
+
+@query("SELECT p_partkey, p_brand, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS part FROM (SELECT *, CASE WHEN n <= 3 THEN 1 ELSE round_even(n * 0.6, 0) END AS a, CASE WHEN n <= 2 THEN 0 ELSE greatest(1, round_even(n * 0.2, 0)) END AS b FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '42', p_partkey::VARCHAR)), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part))")
+def class_split(spark, sf):
+    return evaluate.class_split(_table(spark, sf, "part"), "p_partkey", "p_brand")

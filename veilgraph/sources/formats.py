@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from veilgraph.operators.compare import ranked
-from veilgraph.operators.evaluate import stratified_split
+from veilgraph.operators.evaluate import class_split
 from veilgraph.plans.staging import staged
 from veilgraph.sources.graphs import normalised, read_gml_edges, read_tokens
 
@@ -225,7 +225,7 @@ def masked(nodes: DataFrame, seed: int = 42) -> DataFrame:
     there = nodes.agg(*[F.coalesce(F.bool_or(F.col(m).isNotNull()), F.lit(False)).alias(m) for m in MASKS]).first()
     if all(there):
         return nodes.withColumns({m: F.coalesce(m, F.lit(False)) for m in MASKS})
-    split = staged(stratified_split(nodes, "n", "y", seed=seed).select("n", "part"), "split")
+    split = staged(class_split(nodes, "n", "y", seed=seed).select("n", "part"), "split")
     first = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.min("n").alias("n")).collect()}  # three rows at most
     part = F.col("part")
     if first and "val" not in first:
