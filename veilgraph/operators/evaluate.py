@@ -11,26 +11,6 @@ from veilgraph.operators.compare import ranked
 from veilgraph.plans.staging import staged
 
 
-def hash01(*columns: Column, seed: int = 42) -> Column:
-    """A number from 0 up to 1 from the md5 of seed and columns."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns])), 1, 8), 16, 10).cast("double")
-    return h / float(1 << 32)
-
-
-def split_edges(edges: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) edges; an edge is a test edge if its hash is under the share."""
-    marked = edges.withColumn("t", hash01(F.col("u"), F.col("v"), seed=seed) < share)
-    return marked.where(~F.col("t")).select("u", "v"), marked.where("t").select("u", "v")
-
-
-def negative_pairs(edges: DataFrame, test: DataFrame, seed: int = 42) -> DataFrame:
-    """(u, v) that are no edges: the ends of one test edge and of the next in md5 order, in 256 hash buckets."""
-    keyed = test.select("u", "v", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("u").cast("string"), F.col("v").cast("string"))).alias("h"))
-    order = Window.partitionBy(F.substring("h", 1, 2)).orderBy("h")
-    moved = keyed.withColumn("w", F.lead("v").over(order)).where(F.col("w").isNotNull() & (F.col("u") != F.col("w")))
-    return moved.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct().join(edges, ["u", "v"], "left_anti")
-
-
 def ranking_scores(scored: DataFrame) -> DataFrame:
     """One row (positives, negatives, auc, average_precision) of (score, y); tied scores share a threshold.
 

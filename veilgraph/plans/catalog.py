@@ -246,43 +246,6 @@ def line_influence(spark, sf):
     return anonymise.influence(_graph(spark, sf, "sparse"))
 
 
-def _link_scores(spark, sf):
-    g = _graph(spark, sf, "dense")
-    train, test = evaluate.split_edges(g)
-    train, test = staged(train, "train"), staged(test, "test")
-    pairs = test.withColumn("y", F.lit(1)).unionByName(evaluate.negative_pairs(g, test).withColumn("y", F.lit(0)))
-    pairs = staged(pairs, "pairs")
-    scores = structure.common_neighbours(train, pairs)
-    return pairs.join(scores, ["u", "v"], "left").select("u", "v", "y", F.round(F.coalesce("adamic_adar", F.lit(0.0)), 9).alias("score"))
-
-
-_H = "('0x' || substr(md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_LINKS = (
-    f", tr AS MATERIALIZED (SELECT u, v FROM e WHERE {_H} >= 0.2), te AS (SELECT u, v FROM e WHERE {_H} < 0.2), k AS (SELECT u, v, md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)) AS h FROM te), "
-    "ng AS (SELECT DISTINCT least(u, w) AS u, greatest(u, w) AS v FROM (SELECT u, lead(v) OVER (PARTITION BY substr(h, 1, 2) ORDER BY h) AS w FROM k) WHERE w IS NOT NULL AND u <> w EXCEPT SELECT u, v FROM e), "
-    "pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng), ts AS (SELECT u AS n, v AS m FROM tr UNION ALL SELECT v, u FROM tr), td AS (SELECT n, count(*) AS deg FROM ts GROUP BY n), "
-    "aa AS (SELECT pr.u, pr.v, sum(CASE WHEN td.deg > 1 THEN 1 / ln(td.deg) ELSE 0 END) AS s FROM pr JOIN ts a ON a.n = pr.u JOIN ts b ON b.n = pr.v AND a.m = b.m JOIN td ON td.n = a.m GROUP BY pr.u, pr.v), "
-    "sc AS MATERIALIZED (SELECT u, v, y, round(coalesce(s, 0), 9) AS score FROM pr LEFT JOIN aa USING (u, v))"
-)
-
-
-@query(_with("dense", _LINKS + " SELECT u, v, y, score FROM sc"))
-def link_scores(spark, sf):
-    return _link_scores(spark, sf)
-
-
-@query(_with("dense", _LINKS + ", b AS (SELECT score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY score), r AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM b WINDOW w AS (ORDER BY score DESC)) SELECT max(np)::BIGINT AS positives, max(nq)::BIGINT AS negatives, round(sum(q * (tp - p / 2)) / (max(np) * max(nq)), 9) AS auc, round(sum(p * tp / (tp + fp)) / max(np), 9) AS average_precision FROM r"))
-def link_ranking(spark, sf):
-    r = evaluate.ranking_scores(_link_scores(spark, sf))
-    return r.select("positives", "negatives", F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"))
-
-
-@query(_with("dense", _LINKS + ", o AS (SELECT y, row_number() OVER (ORDER BY score DESC, y DESC, u, v) AS r FROM sc) SELECT k, round(avg(y), 9) AS precision FROM (SELECT unnest([50, 100, 500]) AS k) JOIN o ON r <= k GROUP BY k"))
-def link_precision(spark, sf):
-    p = evaluate.precision_at(_link_scores(spark, sf), (50, 100, 500), ["u", "v"])
-    return p.select("k", F.round("precision", 9).alias("precision"))
-
-
 @query(_with("dense", ", c AS (SELECT s.n, p.p_brand AS b, count(*) AS k FROM s JOIN part p ON p.p_partkey = s.m GROUP BY s.n, p.p_brand), g AS (SELECT n, first(b ORDER BY k DESC, b) AS guess FROM c GROUP BY n), x AS (SELECT p_brand AS y, guess FROM part JOIN g ON n = p_partkey), t AS (SELECT k, sum(t) AS t, sum(s) AS s, sum(h) AS h FROM (SELECT y AS k, 1 AS t, 0 AS s, (y = guess)::INT AS h FROM x UNION ALL SELECT guess, 0, 1, 0 FROM x) GROUP BY k) SELECT sum(t)::BIGINT AS rows, round(sum(h) / sum(t), 9) AS accuracy, round(avg(2.0::DOUBLE * h / (t + s)), 9) AS macro_f1, round(2.0::DOUBLE * sum(h) / (sum(t) + sum(s)), 9) AS micro_f1 FROM t"))
 def neighbour_vote(spark, sf):
     parts = _table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_brand").alias("y"))
@@ -617,7 +580,11 @@ def largest_component_paths(spark, sf):
 _FOREST = _COMPONENTS + ", b(n, dist) AS (SELECT DISTINCT component, 0 FROM cc UNION SELECT s.m, b.dist + 1 FROM b JOIN s ON s.n = b.n WHERE b.dist < 24), l AS MATERIALIZED (SELECT n, min(dist) AS dist FROM b GROUP BY n), f AS MATERIALIZED (SELECT least(n, parent) AS u, greatest(n, parent) AS v FROM (SELECT x.n, min(s.m) AS parent FROM l x JOIN s ON s.n = x.n JOIN l y ON y.n = s.m AND y.dist = x.dist - 1 GROUP BY x.n))"
 
 
-@query(_with("sparse", _FOREST + " SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)), u, v) AS r FROM (SELECT u, v FROM e EXCEPT SELECT u, v FROM f)) WHERE r <= round_even(0.1 * (SELECT count(*) FROM e), 0)"))
+#: The edges that the split of e tests, the forest f left out.
+_TESTED = "SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY md5(concat_ws('|', '42', u::VARCHAR, v::VARCHAR)), u, v) AS r FROM (SELECT u, v FROM e EXCEPT SELECT u, v FROM f)) WHERE r <= round_even(0.1 * (SELECT count(*) FROM e), 0)"
+
+
+@query(_with("sparse", _FOREST + " " + _TESTED))
 def protected_split(spark, sf):
     return segments.protected_split(_graph(spark, sf, "sparse"))[1]
 
@@ -631,6 +598,49 @@ def sampled_non_edges(spark, sf):
     return segments.sampled_non_edges(g, g.count())
 
 
+def _pairs(test: str) -> str:
+    """te, the edges that a split of e tests; ng, as many drawn pairs that are no edges; pr, both with their class y."""
+    return (
+        f", te AS MATERIALIZED ({test}), pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM te) + 64)) AS id)), "
+        "dp AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL), ng AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM dp ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM te)), "
+        "pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng)"
+    )
+
+
+def _link_scores(spark, sf):
+    g = _graph(spark, sf, "dense")
+    train, test = segments.protected_split(g)
+    train, test = staged(train, "train"), staged(test, "test")
+    pairs = test.withColumn("y", F.lit(1)).unionByName(segments.sampled_non_edges(g, test.count()).withColumn("y", F.lit(0)))
+    pairs = staged(pairs, "pairs")
+    scores = structure.common_neighbours(train, pairs)
+    return staged(pairs.join(scores, ["u", "v"], "left").select("u", "v", "y", F.round(F.coalesce("adamic_adar", F.lit(0.0)), 9).alias("score")), "scored")
+
+
+_LINKS = (
+    _FOREST + _pairs(_TESTED) + ", ts AS MATERIALIZED (SELECT s.n, s.m FROM s ANTI JOIN te ON te.u = least(s.n, s.m) AND te.v = greatest(s.n, s.m)), td AS (SELECT n, count(*) AS deg FROM ts GROUP BY n), "
+    "aa AS (SELECT pr.u, pr.v, sum(CASE WHEN td.deg > 1 THEN 1 / ln(td.deg) ELSE 0 END) AS s FROM pr JOIN ts a ON a.n = pr.u JOIN ts b ON b.n = pr.v AND a.m = b.m JOIN td ON td.n = a.m GROUP BY pr.u, pr.v), "
+    "sc AS MATERIALIZED (SELECT u, v, y, round(coalesce(s, 0), 9) AS score FROM pr LEFT JOIN aa USING (u, v))"
+)
+
+
+@query(_with("dense", _LINKS + " SELECT u, v, y, score FROM sc"))
+def link_scores(spark, sf):
+    return _link_scores(spark, sf)
+
+
+@query(_with("dense", _LINKS + ", bs AS (SELECT score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY score), rk AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM bs WINDOW w AS (ORDER BY score DESC)) SELECT max(np)::BIGINT AS positives, max(nq)::BIGINT AS negatives, round(sum(q * (tp - p / 2)) / (max(np) * max(nq)), 9) AS auc, round(sum(p * tp / (tp + fp)) / max(np), 9) AS average_precision FROM rk"))
+def link_ranking(spark, sf):
+    r = evaluate.ranking_scores(_link_scores(spark, sf))
+    return r.select("positives", "negatives", F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(_with("dense", _LINKS + ", o AS (SELECT y, row_number() OVER (ORDER BY score DESC, y DESC, u, v) AS r FROM sc) SELECT k, round(avg(y), 9) AS precision FROM (SELECT unnest([50, 100, 500]) AS k) JOIN o ON r <= k GROUP BY k"))
+def link_precision(spark, sf):
+    p = evaluate.precision_at(_link_scores(spark, sf), (50, 100, 500), ["u", "v"])
+    return p.select("k", F.round("precision", 9).alias("precision"))
+
+
 @query(f"WITH r AS {_RUNS}, a AS (SELECT k, upper(method) AS method, round(avg(score), 6) AS s FROM r WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT k, upper(method) AS method, round(avg(score), 6) AS s, round(avg(loss), 6) AS extra FROM r WHERE dataset = 'O' GROUP BY ALL) SELECT k, method, coalesce(b.s, a.s) AS s, extra FROM a FULL JOIN b USING (k, method)")
 def overlaid_results(spark, sf):
     r = _results(spark, sf).withColumn("method", F.upper("method"))
@@ -652,9 +662,7 @@ def _utility(methods: dict[str, str]) -> str:
     """The comparison of graphs of training edges; `original` is one of them."""
     every = " UNION ALL ".join(f"SELECT '{name}' AS method, u, v FROM ({sql})" for name, sql in methods.items())
     return (
-        f", te AS MATERIALIZED ({SQL['protected_split']}), pl AS MATERIALIZED (SELECT n, row_number() OVER (ORDER BY n) AS place FROM d), dr AS (SELECT id, {_DRAW.format('a')} AS p, {_DRAW.format('b')} AS q FROM (SELECT unnest(range(4 * (SELECT count(*) FROM te) + 64)) AS id)), "
-        "dp AS (SELECT least(x.n, y.n) AS u, greatest(x.n, y.n) AS v, min(id) AS id FROM dr JOIN pl x ON x.place = p JOIN pl y ON y.place = q WHERE p <> q GROUP BY ALL), ng AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM dp ANTI JOIN e USING (u, v)) WHERE r <= (SELECT count(*) FROM te)), "
-        f"pr AS MATERIALIZED (SELECT u, v, 1 AS y FROM te UNION ALL SELECT u, v, 0 FROM ng), gr AS MATERIALIZED ({every}), "
+        _pairs(SQL["protected_split"]) + f", gr AS MATERIALIZED ({every}), "
         "gs AS MATERIALIZED (SELECT method, u AS n, v AS m FROM gr UNION ALL SELECT method, v, u FROM gr), gd AS (SELECT method, n, count(*) AS deg FROM gs GROUP BY method, n), "
         "aa AS (SELECT a.method, pr.u, pr.v, sum(CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END) AS s FROM pr JOIN gs a ON a.n = pr.u JOIN gs b ON b.method = a.method AND b.n = pr.v AND b.m = a.m JOIN gd ON gd.method = a.method AND gd.n = a.m GROUP BY ALL), "
         "sc AS MATERIALIZED (SELECT method, u, v, y, round(coalesce(s, 0), 9) AS score FROM pr CROSS JOIN (SELECT DISTINCT method FROM gr) LEFT JOIN aa USING (method, u, v)), "
