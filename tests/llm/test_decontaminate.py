@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from veilgraph.llm import decontaminate as D
@@ -82,6 +84,31 @@ def test_repeats_stay_small():
     assert D.leaks(("a" * 40 + " zq ") * 300, D.build([("c", "a" * 30 + "y" * 60)])) == []
 
 
+def test_repeats_of_long_items_stay_small():
+    for item, text in ((20_000, 20_000), (100_000, 2_000), (20_000, 60)):
+        index = D.build([("a", "a" * item)])
+        tracemalloc.start()
+        got = {h[0] for h in D.leaks("a" * text + " zq" * 3, index)}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == ({"a"} if text >= 75 else set()) and peak < 200 << 20
+
+
+def test_parts_of_items_find_what_one_part_finds(monkeypatch):
+    rng = np.random.default_rng(10)
+    for _ in range(12):
+        period = ["ab", "abc def ", "xyzzyq "][rng.integers(3)]
+        items = [("r", (period * 200)[: int(rng.integers(200, 400))]), ("m", words(rng, 20) + " " + period * 12 + words(rng, 20)), ("w", words(rng, 40))]
+        text = words(rng, 10) + " " + period * int(rng.integers(4, 20)) + " " + edited(rng, items[int(rng.integers(1, 3))][1], int(rng.integers(0, 12))) + " " + words(rng, 10)
+        index = D.build(items)
+        one = {h[0] for h in D.leaks(text, index)}
+        assert one == brute(text, items)
+        for pairs in (10, 2000):
+            with monkeypatch.context() as m:
+                m.setattr(D, "PAIRS", pairs)
+                assert {h[0] for h in D.leaks(text, index)} == one
+
+
 def test_parts_find_what_one_part_finds(monkeypatch):
     rng = np.random.default_rng(9)
     items = [(str(i), words(rng, 40)) for i in range(3)]

@@ -12,6 +12,7 @@ stand in the document word for word.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ Q, STRETCH, EDITS = 12, 80, 5
 #: Benchmark characters that a task holds at once; a larger benchmark is searched block by block.
 BLOCK_CHARS = 4_000_000
 #: Pairs of equal q-grams that are looked at together, and places by which such parts of a document overlap.
-PAIRS, OVERLAP = 1_000_000, STRETCH + 2 * EDITS
+PAIRS, OVERLAP = 500_000, STRETCH + 2 * EDITS
 _FILTER_BITS = 22
 _tables: list[np.ndarray] = []
 
@@ -67,7 +68,8 @@ def qgrams(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items, sorted, with the item and place of each; words are the items without one."""
+    """The q-grams of a block of items, sorted, with the item and place of each, and the place in all items one after
+    another, which ascends among equal q-grams; words are the items without one."""
 
     ids: list
     items: list[str]
@@ -77,6 +79,7 @@ class Index:
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    whole: np.ndarray
     filter: np.ndarray
 
 
@@ -105,7 +108,7 @@ def build(rows: list[tuple]) -> Index:
     seen[h >> np.uint64(64 - _FILTER_BITS)] = True
     stretch = np.minimum(STRETCH, np.array([len(x) for x in items], dtype=np.int64))
     budget = np.minimum(EDITS * stretch // STRETCH, stretch // Q - 1)
-    return Index(ids, [points(x) for x in items], words, stretch, budget, h[order], owner[order], place[order], seen)
+    return Index(ids, [points(x) for x in items], words, stretch, budget, h[order], owner[order], place[order], order, seen)
 
 
 def reach(a: str, b: str, budget: int) -> list[tuple[int, int]]:
@@ -133,17 +136,24 @@ def reach(a: str, b: str, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-def verify(x: str, item: str, p: int, o: int, length: int, n: int, budget: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) in x if a stretch of n item characters in budget holds item[o : o + length] at p."""
-    left = reach(item[max(0, o - n) : o][::-1], x[max(0, p - n - budget) : p][::-1], budget)
-    right = reach(item[o + length : o + length + n], x[p + length : p + length + n + budget], budget)
+@functools.lru_cache(maxsize=4096)
+def _extended(item_left: str, left: str, item_right: str, right: str, length: int, n: int, budget: int) -> tuple[int, int, int] | None:
+    """(characters to the left, to the right, edits) by which a run grows to n item characters in budget; texts on the left
+    are turned around. Repeats ask the same again and again, so answers are kept."""
+    before, after = reach(item_left, left, budget), reach(item_right, right, budget)
     for edits in range(budget + 1):
         for e in range(edits + 1):
-            if left[e][0] + length + right[edits - e][0] >= n:
-                return p - left[e][1], p + length + right[edits - e][1], edits
+            if before[e][0] + length + after[edits - e][0] >= n:
+                return before[e][1], after[edits - e][1], edits
     return None
 
 
+def verify(x: str, item: str, p: int, o: int, length: int, n: int, budget: int) -> tuple[int, int, int] | None:
+    """(start, end, edits) in x if a stretch of n item characters in budget holds item[o : o + length] at p."""
+    grown = _extended(item[max(0, o - n) : o][::-1], x[max(0, p - n - budget) : p][::-1], item[o + length : o + length + n], x[p + length : p + length + n + budget], length, n, budget)
+    return grown and (p - grown[0], p + length + grown[1], grown[2])
+
+
 def short_leaks(x: np.ndarray, where: np.ndarray, index: Index) -> list[tuple]:
     """As leaks(), for the items that are shorter than a q-gram: their first whole-word occurrence."""
     text = points(x)
@@ -160,7 +170,8 @@ def short_leaks(x: np.ndarray, where: np.ndarray, index: Index) -> list[tuple]:
 
 
 def _parts(n: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of the places p that share q-grams, of about PAIRS pairs each, overlapping by OVERLAP places."""
+    """Ranges of the ascending places p, each with n pairs: of about PAIRS pairs, but at least twice OVERLAP places wide, by
+    which they overlap."""
     total, s = np.cumsum(n), 0
     while True:
         e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PAIRS, "right")))
@@ -171,11 +182,36 @@ def _parts(n: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, int]]:
         s = int(np.searchsorted(p, p[e] - OVERLAP))
 
 
+def _cells(p: np.ndarray, a: np.ndarray, n: np.ndarray, index: Index, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, a, n) of one part of a document, dealt into parts of the items if it has more than PAIRS pairs.
+
+    Parts overlap on both sides, so a stretch lies in one of them whole; what items found before would add is left out.
+    """
+    if n.sum() <= PAIRS:
+        yield p, a, n
+        return
+    first, at, times = np.unique(a, return_inverse=True, return_counts=True)
+    sizes = np.zeros(len(first), np.int64)
+    sizes[at] = n
+    gram = np.repeat(np.arange(len(first)), sizes)
+    entry = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(gram))
+    key = gram * (len(index.hashes) + 1) + index.whole[entry]  # ascends
+    left = ~done[index.owner[entry]]
+    order = np.argsort(index.whole[entry[left]], kind="stable")
+    whole, pairs = index.whole[entry[left]][order], times[gram[left]][order]
+    base = np.cumsum(sizes) - sizes
+    for s, e in _parts(pairs, whole) if len(whole) else ():
+        low, high = (np.searchsorted(key, np.arange(len(first)) * (len(index.hashes) + 1) + w) for w in (whole[s], whole[e - 1] + 1))
+        some = (high > low)[at]
+        if some.any():
+            yield p[some], (first + low - base)[at][some], (high - low)[at][some]
+
+
 def leaks(text: str | None, index: Index, one: bool = False) -> list[tuple]:
     """(item id, start, end, edits) of each item that the text leaks, at its first region found; if `one`, of one item.
 
-    Documents go part by part, so that repeats in text and item cost bounded memory, and an item that was found in a
-    part is not looked for in those after it.
+    Documents go part by part, and a part that repeats much of the items goes part by part of these, so that repeats in
+    text and item cost bounded memory; an item that was found in a part is not looked for in those after it.
     """
     x, where = normalise(text)
     found = short_leaks(x, where, index) if index.words and len(x) else []
@@ -192,11 +228,12 @@ def leaks(text: str | None, index: Index, one: bool = False) -> list[tuple]:
         return found
     string, done = points(x), np.zeros(len(index.ids), bool)
     for s, e in _parts(n, p):
-        for o, hit in _part_leaks(string, p[s:e], a[s:e], n[s:e], index, done):
-            done[o] = True
-            found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
-            if one:
-                return found
+        for cell in _cells(p[s:e], a[s:e], n[s:e], index, done):
+            for o, hit in _part_leaks(string, *cell, index, done):
+                done[o] = True
+                found.append((index.ids[o], int(where[hit[0]]), int(where[hit[1] - 1]) + 1, hit[2]))
+                if one:
+                    return found
     return found
 
 
