@@ -327,7 +327,25 @@ def common_ancestors(spark, sf):
     return hierarchy.common_ancestor(_tree(spark, sf), pairs.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("v")).distinct())
 
 
-@query()
+def _grown(i: int) -> str:
+    """One round of the mapping m<i>: pairs of free nodes that stand out for both of their ends join it."""
+
+    def best(side: str, other: str) -> str:
+        return f"SELECT x, y FROM (SELECT *, row_number() OVER w AS r, coalesce(lead(s) OVER w, 0) AS nx, stddev_pop(s) OVER (PARTITION BY {side}) AS dev FROM t{i} WINDOW w AS (PARTITION BY {side} ORDER BY s DESC, {other})) WHERE r = 1 AND round(s - nx, 9) >= round(0.5::DOUBLE * dev, 9) AND s > nx"
+
+    return (
+        f", v{i} AS (SELECT a.m AS x, b.m AS y, count(*) AS c FROM m{i} JOIN s a ON a.n = src JOIN ps b ON b.n = dst GROUP BY ALL), "
+        f"t{i} AS MATERIALIZED (SELECT x, y, c / sqrt(d.deg * pd.deg::DOUBLE) AS s FROM v{i} JOIN d ON d.n = x JOIN pd ON pd.n = y WHERE x NOT IN (SELECT src FROM m{i}) AND y NOT IN (SELECT dst FROM m{i})), "
+        f"m{i + 1} AS MATERIALIZED (SELECT src, dst FROM m{i} UNION ALL (({best('x', 'y')}) INTERSECT ({best('y', 'x')})))"
+    )
+
+
+#: Rounds of the SQL; at its scale the mapping ends before.
+_ROUNDS = 24
+_SEEDS = f", pub AS MATERIALIZED ({SQL['published_graph']}), ps AS MATERIALIZED (SELECT u AS n, v AS m FROM pub UNION ALL SELECT v, u FROM pub), pd AS MATERIALIZED (SELECT n, count(*) AS deg FROM ps GROUP BY n), m0 AS MATERIALIZED (SELECT n AS src, n AS dst FROM (SELECT n, row_number() OVER (ORDER BY deg DESC, n) AS r FROM d) WHERE r <= greatest(5, least(50, round_even(0.01 * (SELECT count(*) FROM d), 0))))"
+
+
+@query(_with("sparse", _SEEDS + "".join(map(_grown, range(_ROUNDS))) + f" SELECT count(*) AS mapped, coalesce(sum((src = dst)::INT), 0)::BIGINT AS correct, 100.0::DOUBLE * sum((src = dst)::INT) / count(*) AS percent FROM m{_ROUNDS}"))
 def reidentification(spark, sf):
     g = _graph(spark, sf, "sparse")
     return attack.success(attack.propagate(g, anonymise.publish(g, K), attack.seeds(g)))
@@ -423,7 +441,19 @@ def degree_segments_squared(spark, sf):
     return segments.degree_segments(_graph(spark, sf, "dense"), K, squared=True)
 
 
-@query()
+def _rewired(i: int) -> str:
+    """One round that moves the edges of now<i> towards the targets t."""
+    return (
+        f", p{i} AS MATERIALIZED (SELECT t.n, coalesce(c, 0) - target AS gap FROM t LEFT JOIN (SELECT n, count(*) AS c FROM (SELECT u AS n FROM now{i} UNION ALL SELECT v FROM now{i}) GROUP BY n) USING (n)), "
+        f"c{i} AS (SELECT u, v, md5(concat_ws('|', '{i}', u::VARCHAR, v::VARCHAR)) AS h, a.gap AS du, b.gap AS dv FROM now{i} JOIN p{i} a ON a.n = u AND a.gap > 0 JOIN p{i} b ON b.n = v AND b.gap > 0), "
+        f"x{i} AS (SELECT u, v FROM (SELECT u, v, most, row_number() OVER (PARTITION BY n ORDER BY h) AS r FROM (SELECT u, v, h, u AS n, du AS most FROM c{i} UNION ALL SELECT u, v, h, v, dv FROM c{i})) GROUP BY u, v HAVING bool_and(r <= most)), "
+        f"w{i} AS MATERIALIZED (SELECT n, md5(concat_ws('|', 'w{i}', n::VARCHAR, j::VARCHAR)) AS h FROM (SELECT n, unnest(range(1, 1 - gap)) AS j FROM p{i} WHERE gap < 0)), "
+        f"y{i} AS (SELECT n, row_number() OVER z AS r, lead(n) OVER z AS m FROM w{i} WINDOW z AS (PARTITION BY ('0x' || substr(h, 1, 8))::BIGINT % (SELECT greatest(1, count(*) // 4096) FROM w{i}) ORDER BY h)), "
+        f"now{i + 1} AS MATERIALIZED ((SELECT u, v FROM now{i} EXCEPT SELECT u, v FROM x{i}) UNION ALL (SELECT least(n, m), greatest(n, m) FROM y{i} WHERE r % 2 = 1 AND n <> m EXCEPT SELECT u, v FROM now{i}))"
+    )
+
+
+@query(_with("dense", f", t AS MATERIALIZED (SELECT n, target FROM ({SQL['degree_segments_mae']})), now0 AS (SELECT u, v FROM e)" + "".join(map(_rewired, range(3))) + " SELECT u, v FROM now3"))
 def rewired_graph(spark, sf):
     g = _graph(spark, sf, "dense")
     return segments.rewire(g, staged(segments.degree_segments(g, K).select("n", "target"), "targets"))
