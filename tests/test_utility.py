@@ -124,3 +124,18 @@ def test_features_and_classes(spark):
 def test_delta_of_a_graph_without_paths(spark):
     row = compare.full_delta(frame(spark, [(1, 2)]), frame(spark, [])).first()
     assert row["original_apl"] == 1 and row["anonymized_apl"] == math.inf
+
+
+def test_synthesis_of_runs(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("Fast Cut", "ok", 1.0, -2.0), ("fast-cut ", "OK", nan, 4.0), ("fast_cut", "failed", 9.0, 9.0), ("other", "ok", None, inf), ("other", None, 1.0, 1.0)]
+    runs = spark.createDataFrame(rows, "m string, status string, mae double, apl double")
+    got = {tuple(r) for r in evaluate.synthesis(runs, "m", "status", ["mae"], ["apl"]).collect()}
+    assert got == {("fast_cut", 2, 1.0, 3.0), ("other", 1, None, None)}
+    assert evaluate.synthesis(runs.limit(0), "m", "status", ["mae"], ["apl"]).collect() == []
+
+
+def test_edges_by_significance(spark):
+    rows = [(1, 2, 0.5), (3, 4, 0.25), (1, 9, 0.5), (0, 9, 0.5)] + [(i, i + 1, 0.75) for i in range(100, 300)]
+    got = [tuple(r) for r in anonymise.by_significance(spark.createDataFrame(rows, "u long, v long, x double"), "x").orderBy("rank").collect()]
+    assert got == [(i + 1, u, v, x) for i, (u, v, x) in enumerate(sorted(rows, key=lambda r: (r[2], r[0], r[1])))]

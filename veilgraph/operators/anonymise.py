@@ -117,6 +117,12 @@ def influence(edges: DataFrame) -> DataFrame:
     return e.join(ball, ["u", "v"], "left").select("u", "v", (F.col("x") * F.coalesce("s", F.lit(0))).cast("long").alias("lci"))
 
 
+def by_significance(scored: DataFrame, score: str) -> DataFrame:
+    """(rank, u, v, score): edges from 1 by ascending score, ties by their ends; numbered over ranges of that order."""
+    rows = scored.select("u", "v", F.col(score).alias("score"))
+    return ranked(rows, [F.col("score"), F.col("u"), F.col("v")]).select("rank", "u", "v", "score")
+
+
 def medoids(groups: DataFrame, vectors: DataFrame) -> DataFrame:
     """(g, medoid): of each group the node with the least mean code distance to the others, ties to larger degree, then n.
 

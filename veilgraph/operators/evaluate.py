@@ -107,6 +107,17 @@ def summary(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     return results.groupBy(*keys).agg(*some)
 
 
+def synthesis(results: DataFrame, method: str, status: str, values: list[str], variations: list[str]) -> DataFrame:
+    """(method, runs, a mean of each metric): over the runs whose status is ok, by canonical method name.
+
+    Values are averaged as they are, variations by magnitude; values that are not finite are left out, and a metric
+    without any is null.
+    """
+    good = results.where(F.lower(F.trim(F.col(status))) == "ok")
+    means = [F.avg(finite(F.col(c))).alias(c) for c in values] + [F.avg(F.abs(finite(F.col(c)))).alias(f"abs_{c}") for c in variations]
+    return good.groupBy(method_name(F.col(method)).alias("method")).agg(F.count(F.lit(1)).alias("runs"), *means)
+
+
 def rank_within(results: DataFrame, within: str, score: str, name: str) -> DataFrame:
     """results with `rank`: by score descending within a group, ties by name."""
     return results.withColumn("rank", F.row_number().over(Window.partitionBy(within).orderBy(F.col(score).desc_nulls_last(), name)))

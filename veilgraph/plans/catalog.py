@@ -628,6 +628,23 @@ def sampled_non_edges(spark, sf):
     return segments.sampled_non_edges(g, g.count())
 
 
+@query(f"SELECT row_number() OVER (ORDER BY nc, u, v) AS rank, u, v, nc AS score FROM ({SQL['edge_significance']})")
+def edge_order(spark, sf):
+    return anonymise.by_significance(edge_significance(spark, sf), "nc")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY lci, u, v) AS rank, u, v, lci AS score FROM ({SQL['line_influence']})")
+def influence_order(spark, sf):
+    return anonymise.by_significance(line_influence(spark, sf), "lci")
+
+
+@query(f"SELECT 'method_' || lower(method) AS method, count(*) AS runs, round(avg(score), 6) AS score, round(avg(CASE WHEN loss > 0 THEN cost END), 6) AS cost, round(avg(abs(loss - 0.05::DOUBLE)), 6) AS abs_variation FROM {_RUNS} WHERE dataset = 'F' GROUP BY ALL")
+def results_synthesis(spark, sf):
+    runs = _results(spark, sf).select(F.concat(F.lit(" Method - "), "method").alias("method"), F.when(F.col("dataset") == "F", " OK").otherwise("failed").alias("status"), "score", F.when(F.col("loss") > 0, F.col("cost")).otherwise(float("nan")).alias("cost"), (F.col("loss") - 0.05).alias("variation"))
+    s = evaluate.synthesis(runs, "method", "status", ["score", "cost"], ["variation"])
+    return s.select("method", "runs", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
+
+
 def _pairs(test: str) -> str:
     """te, the edges that a split of e tests; ng, as many drawn pairs that are no edges; pr, both with their class y."""
     return (
