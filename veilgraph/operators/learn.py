@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from veilgraph.operators.evaluate import stratified_split
 from veilgraph.operators.structure import clustering, core_numbers, neighbour_degree
+from veilgraph.plans.staging import staged
 from veilgraph.sources.graphs import both_ways
 
 
 def features(edges: DataFrame) -> DataFrame:
     """(n, x1 .. x5): degree, clustering, mean neighbour degree, triangles and core number, all but the second over their
     largest."""
-    base = clustering(edges).join(neighbour_degree(edges), "n").join(core_numbers(edges), "n")
+    base = staged(clustering(edges).join(neighbour_degree(edges), "n").join(core_numbers(edges), "n"), "measures")
     scaled = ("deg", "avg_neighbour_degree", "triangles", "core")
     top = base.agg(*[F.greatest(F.max(c).cast("double"), F.lit(1.0)).alias(f"top_{c}") for c in scaled])
     x = base.crossJoin(F.broadcast(top))  # top is one row
@@ -37,6 +38,7 @@ def predict(edges: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     x = propagated(edges, features(edges))
     codes = labels.select("y").distinct().withColumn("label", F.col("y").cast("double"))
     parts = stratified_split(labels, "n", "y", seed=seed)
-    rows = VectorAssembler(inputCols=[c for c in x.columns if c != "n"], outputCol="features").transform(x.join(parts, "n").join(codes, "y"))
+    taught = staged(x.join(parts, "n").join(codes, "y"), "taught")  # read again by every pass of the model
+    rows = VectorAssembler(inputCols=[c for c in x.columns if c != "n"], outputCol="features").transform(taught)
     model = LogisticRegression(maxIter=30, regParam=1e-3).fit(rows.where("part = 'train'"))
     return model.transform(rows.where("part = 'test'")).select("n", "y", F.col("prediction").cast("long").alias("guess"))
