@@ -168,3 +168,17 @@ def test_repeated_lines_neither_link_nor_part(spark):
     rows += [(100, f"{base} {line}"), (101, " ".join([base] + [line] * 20)), (102, " ".join([base] + [line] * 60))]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows) == list(range(101))
+
+
+def test_simhash_proposes_what_is_compared(spark, monkeypatch):
+    asked = []
+    proposed = simhash._proposed
+    monkeypatch.setattr(simhash, "_proposed", lambda heads, bits: asked.append(bits) or proposed(heads, bits))
+    rng = np.random.default_rng(6)
+    base = [f"v{i}" for i in rng.choice(4000, 900)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"u{i}" for i in rng.choice(4000, 900))]
+    heads = spark.createDataFrame([(k, int(np.uint64(simhash._majority(simhash.shingle_set(t, 5))).view(np.int64))) for k, t in enumerate(texts)], "row long, fp long")
+    assert [tuple(r) for r in proposed(heads, 2).collect()] == [(0, 1)]
+    rows = list(enumerate(texts))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows) == [0, 2] and asked == [2]

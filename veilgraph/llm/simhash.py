@@ -39,6 +39,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         join, digest = b" ".join, xxhash.xxh64_digest
         hashes = b"".join([digest(join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)])
+    return _majority(hashes)
+
+
+def _majority(hashes: bytes) -> int:
+    """The bits that are set in over half of big-endian hashes of 64 bits."""
     table = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
     bits = np.concatenate([np.bincount(table[:, i], minlength=256) @ _BIT_OF_BYTE for i in range(8)])
     return int.from_bytes(np.packbits(2 * bits > len(table)).tobytes(), "big")
@@ -258,10 +263,10 @@ def _popular(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np
 
 
 def _described(text: str | None, popular: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> tuple:
-    """A digest of a text's set, its size, its prefix and its sketch."""
+    """A digest of a text's set, its size, its SimHash, its prefix and its sketch."""
     data = shingle_set(text, words)
     hashes = np.frombuffer(data, ">u8").astype(np.uint64)
-    return xxhash.xxh3_128_digest(data), len(hashes), prefix(hashes, popular, similarity).view(np.int64), *sketch(hashes).tolist()
+    return xxhash.xxh3_128_digest(data), len(hashes), int(np.uint64(_majority(data)).view(np.int64)), prefix(hashes, popular, similarity).view(np.int64), *sketch(hashes).tolist()
 
 
 def _set_bytes(words: int):
@@ -277,13 +282,24 @@ def _names(id_col: str, text_col: str) -> list:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _proposed(heads: DataFrame, bits: int) -> DataFrame:
+    """(u, v): pairs of rows (row, fp) that SimHash proposes: with the first row of their fingerprint, and such rows of
+    fingerprints at most `bits` apart that join their groups."""
+    leads = staged(heads.groupBy("fp").agg(F.min("row").alias("lead")), "leads")
+    alike = heads.join(leads, "fp").where("row > lead").select(F.col("lead").alias("u"), F.col("row").alias("v"))
+    a, b = (leads.select(F.col("fp").alias(x), F.col("lead").alias(y)) for x, y in (("u", "p"), ("v", "q")))
+    apart = _links(leads.select("fp"), bits).distinct().join(a, "u").join(b, "v")
+    return alike.unionByName(apart.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"))).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = MOST_BITS) -> DataFrame:
     """(k1, k2, id, group): rows known by two hashes of id and text, and the group that each is in.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are
-    what links join, and no such pair is lost. Texts of equal sets are met once. Two sets of the similarity share a
-    shingle of their prefixes, and nearly all of these are in one prefix only. Of those that share a shingle each is
-    first compared with the text that shares most of its prefix, as an original does; then all pairs that this has
+    what links join, and no such pair is lost. Texts of equal sets are met once. SimHashes of the sets are met first, as
+    simhash_groups() meets them, and what they propose is compared; they find the closest copies. Of what is left two sets
+    of the similarity share a shingle of their prefixes, and nearly all of these are in one prefix only. Of those that share
+    a shingle each is then compared with the text that shares most of its prefix, as an original does; then all pairs that this has
     not joined are met, and those that share enough of their prefixes compared; of these the join itself lets go all that
     sketches show to differ too much, so that a large group under the similarity leaves few rows.
     """
@@ -295,9 +311,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
 
     bits = [f"b{i}" for i in range(SKETCH)]
-    columns = ["same", "n", "prefix", *bits]
+    columns = ["same", "n", "fp", "prefix", *bits]
 
-    @F.pandas_udf(f"same binary, n long, prefix array<long>, {', '.join(f'{b} long' for b in bits)}")
+    @F.pandas_udf(f"same binary, n long, fp long, prefix array<long>, {', '.join(f'{b} long' for b in bits)}")
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_described(t, popular.value, words, similarity) for t in texts], columns=columns)
 
@@ -315,6 +331,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     classes = staged(seen.groupBy("same").agg(F.min("row").alias("rep")), "classes")
     heads = seen.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    close = linked(staged(_proposed(heads.select("row", "fp"), most_bits), "pairs"))
+    closest = staged(connected_components(close).withColumnRenamed("node", "k"), "closest")
     by_shingle = Window.partitionBy("shingle")
     met = heads.select(F.col("row").alias("k"), F.explode("prefix").alias("shingle")).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1").drop("c")
     shared = staged(met, "shared")
@@ -324,7 +342,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     best = spots.groupBy("shingle").agg(F.max(F.struct((F.col("m") / F.col("p")).alias("rate"), "n", F.col("k").alias("lead"))).alias("best"))
     to_best = spots.join(best.select("shingle", "best.lead", F.col("best.n").alias("o")), "shingle").where((F.col("k") != F.col("lead")) & fits(F.col("n"), F.col("o")))
-    first = linked(staged(to_best.select(F.least("k", "lead").alias("u"), F.greatest("k", "lead").alias("v")).distinct(), "pairs"))
+    led = closest.select(F.col("k").alias("lead"), F.col("component").alias("c2"))
+    open_still = to_best.select("k", "lead").distinct().join(closest, "k", "left").join(led, "lead", "left").where("component IS NULL OR c2 IS NULL OR component <> c2")
+    first = close.unionByName(linked(staged(open_still.select(F.least("k", "lead").alias("u"), F.greatest("k", "lead").alias("v")).distinct(), "pairs")))
 
     comp = connected_components(first)
     named = spots.join(comp.withColumnRenamed("node", "k"), "k", "left").select("shingle", "k", "n", "p", F.coalesce("component", "k").alias("c"))
