@@ -23,7 +23,8 @@ def random_walks(edges: DataFrame, length: int = 80, walks: int = 10, p: float =
 
     A step goes to a neighbour with odds 1 / p for where the walk comes from, 1 for neighbours of that node and 1 / q for
     others. It is drawn from the neighbours alike, by its place among them, and kept with its odds over the largest;
-    walks without one draw again, TRIES at a time. So a step costs a row a try, not one a pair of neighbours, and a
+    walks without one draw again, TRIES at first and twice as many each time after, of which the first that is kept
+    counts, however many are drawn at once. So a step costs a row a try, not one a pair of neighbours, and a
     hub's neighbours are never brought together.
     """
     near = running(both_ways(edges).select("n", "m"), [F.col("n"), F.col("m")])
@@ -36,9 +37,9 @@ def random_walks(edges: DataFrame, length: int = 80, walks: int = 10, p: float =
     most = max(1 / p, 1.0, 1 / q)
     for step in range(1, length):
         left = now.select("n", "walk", F.element_at("path", -1).alias("at"), (F.element_at("path", -2) if step > 1 else F.col("n")).alias("last"))
-        done, turn = [], 0
+        done, turn, tries = [], 0, TRIES
         while True:
-            tried = left.join(deg, "at").select("*", F.explode(F.sequence(F.lit(turn), F.lit(turn + (TRIES - 1 if step > 1 and most > min(1 / p, 1.0, 1 / q) else 0)))).alias("turn"))
+            tried = left.join(deg, "at").select("*", F.explode(F.sequence(F.lit(turn), F.lit(turn + (tries - 1 if step > 1 and most > min(1 / p, 1.0, 1 / q) else 0)))).alias("turn"))
             key = F.concat_ws("/", F.col("n").cast("string"), F.col("walk").cast("string"))
             drawn = tried.withColumn("i", F.pmod(_draw(seed, key, F.lit(step), F.col("turn"), "to"), F.col("deg"))).join(near.withColumnRenamed("n", "at"), ["at", "i"])
             if step == 1 or p == q == 1.0:
@@ -55,7 +56,7 @@ def random_walks(edges: DataFrame, length: int = 80, walks: int = 10, p: float =
             left = staged(left.join(next_to.select("n", "walk"), ["n", "walk"], "left_anti"), "left")
             if not left.limit(1).count():
                 break
-            turn += TRIES
+            turn, tries = turn + tries, 2 * tries
         steps = done[0]
         for more in done[1:]:
             steps = steps.unionByName(more)
