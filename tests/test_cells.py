@@ -4,7 +4,7 @@ import math
 import pytest
 from test_graphs import frame, random_edges
 
-from veilgraph.operators import cells, structure
+from veilgraph.operators import anonymise, cells, structure
 
 
 @pytest.mark.parametrize("size", [60, 10_000])
@@ -25,3 +25,26 @@ def test_cells_against_brute_force(spark, monkeypatch, size):
             assert c == len(both[p]) and math.isclose(s, sum(1 / math.log(len(near[w])) for w in both[p]), abs_tol=1e-9)
     common = {(r["u"], r["v"]): r["common"] for r in structure.edge_triangles(edges).collect()}
     assert common == {p: len(near[p[0]] & near[p[1]]) for p in pairs if near[p[0]] & near[p[1]]}
+
+
+def test_counts_leave_cells_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 60)
+    monkeypatch.setattr(cells, "PART", 16)
+    pairs = sorted(random_edges(30, 140, 3))
+    edges, near = frame(spark, pairs), {n: {m for p in pairs for m in p if n in p and m != n} for n in range(30)}
+    plan = structure.edge_common_neighbours(edges)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [u" not in plan  # no row an edge and cell is shuffled to be summed
+    twice = frame(spark, [(0, 1), (2, 5), (0, 1)])
+    assert sorted((r["u"], r["v"], r["common"]) for r in structure.common_neighbours(edges, twice).collect()) == [(u, v, len(near[u] & near[v])) for u, v in ((0, 1), (2, 5)) if near[u] & near[v]]
+
+
+def test_significance_without_joins_of_edges(spark):
+    pairs = sorted(random_edges(30, 140, 3))
+    edges, near = frame(spark, pairs), {n: {m for p in pairs for m in p if n in p and m != n} for n in range(30)}
+    scored = anonymise.edge_significance(edges)
+    assert "Join LeftOuter" not in scored._jdf.queryExecution().analyzed().toString()
+    top = max(map(len, near.values()))
+    rows = {(r["u"], r["v"]): (r["nc"], r["common"]) for r in scored.collect()}
+    assert set(rows) == set(pairs)
+    for (u, v), (nc, common) in rows.items():
+        assert common == len(near[u] & near[v]) and math.isclose(nc, (len(near[u]) + len(near[v]) - 2 * common) / (2 * top), abs_tol=1e-12)
