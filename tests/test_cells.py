@@ -48,3 +48,14 @@ def test_significance_without_joins_of_edges(spark):
     assert set(rows) == set(pairs)
     for (u, v), (nc, common) in rows.items():
         assert common == len(near[u] & near[v]) and math.isclose(nc, (len(near[u]) + len(near[v]) - 2 * common) / (2 * top), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("size", [60, 10_000])
+def test_triangles_of_nodes_are_counted_in_cells(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "CELL", size)
+    pairs = sorted({*random_edges(30, 140, 3), (40, 41)})
+    near = {n: {m for p in pairs for m in p if n in p and m != n} for n in {x for p in pairs for x in p}}
+    got = structure.clustering(frame(spark, pairs))
+    assert "explode" not in got._jdf.queryExecution().analyzed().toString()  # no triangle leaves its cell
+    assert {r["n"]: r["triangles"] for r in got.collect()} == {n: sum(b in near[a] for a, b in itertools.combinations(s, 2)) for n, s in near.items()}
+    assert structure.clustering(frame(spark, [(0, 1), (1, 2)])).agg({"triangles": "sum"}).first()[0] == 0
