@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -357,3 +358,28 @@ def test_split_keeps_every_component_whole(spark):
     assert parts == {0, 10} and connected_components(train).count() == 12
     with pytest.raises(ValueError):
         segments.sampled_non_edges(edges, 1000)
+
+
+def test_rewire_reads_the_graph_once_for_all_rounds(spark, monkeypatch):
+    edges = set(random_edges(40, 220, 5))
+    rows = lambda s: [tuple(sorted(p)) for p in s]
+    count = lambda s: {n: sum(n in p for p in s) for n in range(40)}
+    deg = count(edges)
+    target = {n: max(0, d + (n * 7) % 9 - 4) for n, d in deg.items()}
+    md5 = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    now = set(edges)
+    for i in range(3):
+        gap = {n: d - target[n] for n, d in count(now).items()}
+        able = sorted((md5(i, u, v), u, v) for u, v in now if gap[u] > 0 and gap[v] > 0)
+        first = lambda n: {(u, v) for _, u, v in [x for x in able if n in x[1:]][: gap[n]]}  # noqa: B023, E731
+        gone = {(u, v) for _, u, v in able if (u, v) in first(u) and (u, v) in first(v)}
+        want = [n for _, n in sorted((md5(f"w{i}", n, j), n) for n, g in gap.items() for j in range(1, 1 - g))]
+        now = now - gone | {(min(p), max(p)) for p in zip(want[::2], want[1::2], strict=False) if p[0] != p[1]}
+    counted, plain = [], segments.degrees
+    monkeypatch.setattr(segments, "degrees", lambda e: counted.append(1) or plain(e))
+    goal = spark.createDataFrame([(n, t) for n, t in target.items()], "n long, target long")
+    assert sorted(tuple(r) for r in segments.rewire(frame(spark, sorted(edges)), goal).collect()) == sorted(rows(now))
+    assert len(counted) == 1 and now != edges
+    known = spark.createDataFrame([(n, deg[n], t) for n, t in target.items()], "n long, deg long, target long")
+    assert sorted(tuple(r) for r in segments.rewire(frame(spark, sorted(edges)), known).collect()) == sorted(rows(now))
+    assert len(counted) == 1
