@@ -1,7 +1,9 @@
 import os
 import time
 
-from veilgraph.plans.staging import CLEANUP, staged
+import pandas as pd
+
+from veilgraph.plans.staging import BATCH, CLEANUP, staged
 
 
 def shuffles(spark):
@@ -22,3 +24,15 @@ def test_staged_tables_leave_no_shuffles(spark):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_staged_tables_bound_batches(spark):
+    def size(parts):
+        for part in parts:
+            yield pd.DataFrame({"n": [len(part)]})
+
+    rows, own = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 1000) AS t"), spark.conf.get(BATCH)
+    sizes = lambda df: [r["n"] for r in df.collect()]
+    small = sizes(staged(rows.mapInPandas(size, "n long"), "sizes", "64k"))
+    assert sum(small) == 4000 and max(small) <= 100 and spark.conf.get(BATCH) == own
+    assert sizes(staged(rows.mapInPandas(size, "n long"), "sizes")) == [4000]

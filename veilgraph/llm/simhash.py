@@ -209,6 +209,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Texts whose shingles are counted to tell popular ones, a shingle's least count there, and the most that are told. They steer
 #: the work and not the result: any order of shingles that all texts share finds every pair.
 SAMPLE, POPULAR, MOST_POPULAR = 30000, 3, 200000
+#: Bytes of texts or sets that a Python function gets at once.
+BATCH = "4m"
 #: Words of the sketch by which pairs of texts that differ too much are told before they leave the join.
 SKETCH = 8
 
@@ -317,21 +319,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_described(t, popular.value, words, similarity) for t in texts], columns=columns)
 
-    seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), *_names(id_col, text_col), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "k1", "k2", "id", "x.*"), "sets")
+    seen = staged(docs.select(F.monotonically_increasing_id().alias("row"), *_names(id_col, text_col), F.col(id_col).alias("id"), of(F.col(text_col)).alias("x")).select("row", "k1", "k2", "id", "x.*"), "sets", BATCH)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) of rows that have the similarity."""
         asked = seen.select("row", "k1", "k2").join(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row")
         texts = docs.select(*_names(id_col, text_col), F.col(text_col).alias("t")).join(asked, ["k1", "k2"]).dropDuplicates(["row"])
-        sets = staged(texts.select("row", "t").mapInPandas(_set_bytes(words), "row long, s binary"), "shingles")
+        sets = staged(texts.select("row", "t").mapInPandas(_set_bytes(words), "row long, s binary"), "shingles", BATCH)
         held = pairs.join(sets.select(F.col("row").alias("u"), F.col("s").alias("p")), "u").join(sets.select(F.col("row").alias("v"), F.col("s").alias("q")), "v")
-        out = staged(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"), "linked")
+        out = staged(held.select("u", "v", exact("p", "q").alias("j")).where(F.col("j") >= similarity).select("u", "v"), "linked", BATCH)
         discard(sets)
         return out
 
     classes = staged(seen.groupBy("same").agg(F.min("row").alias("rep")), "classes")
     heads = seen.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    close = linked(staged(_proposed(heads.select("row", "fp"), most_bits), "pairs"))
+    close = linked(staged(_proposed(heads.select("row", "fp"), most_bits), "pairs", BATCH))
     closest = staged(connected_components(close).withColumnRenamed("node", "k"), "closest")
     by_shingle = Window.partitionBy("shingle")
     met = heads.select(F.col("row").alias("k"), F.explode("prefix").alias("shingle")).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1").drop("c")
