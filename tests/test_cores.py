@@ -23,3 +23,23 @@ def test_blocks_settle_at_once(spark, monkeypatch):
     monkeypatch.setattr(structure, "BLOCK", 250)
     pairs = sorted({*random_edges(40, 200, 5), *[(0, x) for x in range(1, 90)], *[(x, x + 1) for x in range(100, 112)]})
     assert {r["n"]: r["core"] for r in structure.core_numbers(frame(spark, pairs)).collect()} == brute(pairs)
+
+
+def test_blocks_tell_only_what_fell(spark, monkeypatch):
+    from veilgraph.operators import cores
+
+    told, staged = [], cores.staged
+
+    def spied(df, what):
+        out = staged(df, what)
+        if what == "core" and "kind" in out.columns:
+            told.append(sum(r["n"] for r in out.where(f"kind = {cores.TOLD}").collect()))
+        return out
+
+    monkeypatch.setattr(cores, "staged", spied)
+    monkeypatch.setattr(structure, "BLOCK", 60)
+    pairs = sorted({*random_edges(40, 200, 5), *[(x, x + 1) for x in range(100, 160)]})
+    got = structure.core_numbers(frame(spark, pairs))
+    assert {r["n"]: r["core"] for r in got.collect()} == brute(pairs)
+    assert 0 < told[0] <= 2 * len(pairs) and told[-1] == 0 and all(x < told[0] for x in told[1:])
+    assert structure.core_numbers(frame(spark, [])).collect() == []
