@@ -59,3 +59,28 @@ def test_triangles_of_nodes_are_counted_in_cells(spark, monkeypatch, size):
     assert "explode" not in got._jdf.queryExecution().analyzed().toString()  # no triangle leaves its cell
     assert {r["n"]: r["triangles"] for r in got.collect()} == {n: sum(b in near[a] for a, b in itertools.combinations(s, 2)) for n, s in near.items()}
     assert structure.clustering(frame(spark, [(0, 1), (1, 2)])).agg({"triangles": "sum"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("size", [25, 40])
+def test_passes_hold_few_copies_of_an_edge(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "CELL", size)
+    pairs = sorted({*random_edges(30, 140, 3), *[(0, x) for x in range(1, 30)]})
+    edges, near = frame(spark, pairs), {n: {m for p in pairs for m in p if n in p and m != n} for n in range(30)}
+    p = cells.colours(len(pairs))
+    passes = cells.passes_of(p)
+    assert p > 4
+    at, when = cells._cells(p)[1], cells._passes(p, passes)
+    for i, j in itertools.combinations_with_replacement(range(p), 2):
+        copies = [sum(when[c] == now for c in set(at[i, j].tolist())) for now in range(passes)]
+        assert 1 <= min(copies) and max(copies) <= 2 and sum(copies) == len(set(at[i, j].tolist()))
+    monkeypatch.setattr(cells, "PART", 16)
+    asked = [(u, v) for u in range(0, 30, 2) for v in range(u + 1, 32)]
+    for got, want in ((structure.edge_common_neighbours(edges), pairs), (structure.common_neighbours(edges, frame(spark, asked)), asked)):
+        both = {x: near[x[0]] & near.get(x[1], set()) for x in want}
+        rows = {(r["u"], r["v"]): (r["common"], r["adamic_adar"]) for r in got.collect()}
+        assert set(rows) == {x for x, c in both.items() if c}
+        assert all(c == len(both[x]) and math.isclose(s, sum(1 / math.log(len(near[w])) for w in both[x]), abs_tol=1e-9) for x, (c, s) in rows.items())
+    ends = {(r["u"], r["v"]): (r["du"], r["dv"]) for r in structure.edge_ends(edges).collect()}
+    assert ends == {(u, v): (len(near[u]), len(near[v])) for u, v in pairs}
+    want = {n: sum(b in near[a] for a, b in itertools.combinations(s, 2)) for n, s in near.items()}
+    assert {r["n"]: r["triangles"] for r in structure.clustering(edges).collect()} == want
