@@ -29,7 +29,7 @@ def propagated(edges: DataFrame, x: DataFrame, steps: int = 2) -> DataFrame:
     ring = both_ways(edges).unionByName(x.select("n", F.col("n").alias("m")))
     columns = [c for c in x.columns if c != "n"]
     for _ in range(steps):
-        x = ring.join(x.withColumnRenamed("n", "m"), "m").groupBy("n").agg(*[F.avg(c).alias(c) for c in columns])
+        x = staged(ring.join(x.withColumnRenamed("n", "m"), "m").groupBy("n").agg(*[F.avg(c).alias(c) for c in columns]), "step")
     return x
 
 
